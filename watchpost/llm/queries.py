@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, linedup, tokenbin
+from watchpost.llm import bpe, linedup, simhash, tokenbin
 from watchpost.llm.common import table
 
 
@@ -28,8 +28,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_byte_bpe)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_byte_bpe, op10_simhash)}
 
 
 _OP2 = r"""
