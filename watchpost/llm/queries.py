@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, linedup, simhash, tokenbin
-from watchpost.llm.common import table
+from watchpost.llm import bpe, langid, linedup, simhash, tokenbin, toxicity
+from watchpost.llm.common import held_out, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4)))
+    scored = toxicity.score_documents(docs, model, language="lang")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", "predicted", "flagged_by_language")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), width=3, distance=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "n_links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_byte_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op9_toxicity, op10_simhash)}
 
 
 _OP2 = r"""
