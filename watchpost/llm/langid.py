@@ -18,6 +18,7 @@ by name; rows without a language aren't learned; without any labelled row all is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -275,21 +276,21 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
     return KneserNey.train(training_sample(docs, sample_chars))
 
 
-#: The model of this worker process, by its broadcast's id: it remembers words between tasks.
-_models: dict[int, KneserNey] = {}
+#: The model of this worker process, by the name of its use: it remembers words between tasks.
+_models: dict[str, KneserNey] = {}
 
 
 def predict(docs: DataFrame, model: KneserNey, keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` (doc_id if not given) with lang_pred, score and rejected for each row. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
     names = [*keep, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _models:
+        if name not in _models:
             _models.clear()
-            _models[shared.id] = shared.value
-        own = _models[shared.id]
+            _models[name] = shared.value
+        own = _models[name]
         for batch in slices(batches):
             found = own.predict([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], names)
