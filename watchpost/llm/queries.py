@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, langid, linedup, simhash, tokenbin, toxicity
+from watchpost.llm import bpe, langid, linedup, rules, simhash, tokenbin, toxicity
 from watchpost.llm.common import held_out, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.apply_rules(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linedup.drop_repeated_lines(docs)
@@ -47,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op9_toxicity, op10_simhash)}
 
 
 _OP2 = r"""
