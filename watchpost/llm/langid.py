@@ -169,7 +169,7 @@ class KneserNey:
         """Scores words that are not remembered; beyond the bound all are forgotten first."""
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
-        new = list(words - self.known.keys())
+        new = list(words.difference(self.known))
         if new:
             start = len(self.known)
             if start + len(new) > len(self.sums):
