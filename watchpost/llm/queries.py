@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, langid, licenses, linedup, rules, simhash, tokenbin, toxicity
+from watchpost.llm import bpe, decontam, langid, licenses, linedup, rules, simhash, tokenbin, toxicity
 from watchpost.llm.common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4)))
@@ -57,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op7_license_scan, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 _OP2 = r"""
