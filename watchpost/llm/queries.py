@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, decontam, langid, licenses, linedup, rules, simhash, tokenbin, toxicity
+from watchpost.llm import bpe, decontam, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity
 from watchpost.llm.common import held_out, table
 
 
@@ -29,6 +29,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lbl.train(docs.where(~held_out(F.col("doc_id"), 7)))
+    return lbl.score(docs, model, counts, held_out(F.col("doc_id"), 7).alias("held_out"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return bpe.digests(encoded)
@@ -61,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op4_lm_scores, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 _OP2 = r"""
