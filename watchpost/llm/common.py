@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, code points 32 and 9 to 13, and the letters that are lower-cased.
@@ -57,3 +57,14 @@ def held_out(doc_id: Column, modulus: int) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def hash_sample(df: DataFrame, key: str, drawn: Column, rows: int) -> DataFrame:
+    """At most `rows` rows of each key, in the order of a hash, with their rank as `_r`. Rows that can't be among them leave
+    before any shuffle by key, so a key that holds most rows costs its task no more than about twice `rows`."""
+    place = F.pmod(drawn, F.lit(1 << 40))
+    placed = df.withColumn("_place", place)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    near = placed.join(sizes, key).where(F.col("_place") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2 * rows + 100) / F.col("_size")))
+    order = Window.partitionBy(key).orderBy("_place", *[c for c in df.columns if c != key])
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).drop("_place", "_size")

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, slices
+from watchpost.llm.common import as_bytes, hash_sample, slices
 
 #: Bound of the training sample: labelled rows of each class, in hash order.
 SAMPLE_ROWS = 4000
@@ -197,7 +197,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, longest: int = 3, precision
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learns from at most sample_rows labelled rows of each class, in hash order; label 0 is what rules reject."""
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
-    first = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_r") <= sample_rows)
+    first = hash_sample(marked, "_y", F.xxhash64("doc_id"), sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi")
     counted = statistics(texts).join(F.broadcast(first), "doc_id").select("_y", *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()])
     rows = counted.limit(4 * sample_rows).toPandas().sort_values(["_y", *FEATURES], kind="stable")
