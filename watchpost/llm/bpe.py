@@ -11,8 +11,8 @@ text's ids; ids outside the vocabulary raise ValueError. Input columns other tha
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
 
@@ -26,22 +26,25 @@ from pyspark.sql import functions as F
 from watchpost.llm.common import slices
 from watchpost.llm.mphash import PerfectHash
 
-#: Words a worker remembers; beyond that it starts anew, which bounds its memory.
+#: Words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
 REMEMBERED = 300_000
 #: A space that doesn't start a pre-token: the text is then matched as a whole, not word by word.
 _LOOSE = regex.compile(r" (?:\s|$)")
 
 
 class _Words(dict):
-    """Ids of a word as a tuple, made on first use."""
+    """Ids of a word as a tuple, made on first use. Words in use move on to each new generation."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, word):
-        ids = self.make(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -86,26 +89,29 @@ class ByteBpe:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merges by rank, leftmost first among equals: parts are a linked list over byte positions, pairs wait in a heap."""
-        n, ranks = len(piece), self.ranks
+        n, rank = len(piece), self.ranks.get
         end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        # A pair waits as one integer: rank, start and end, of 32 bits each.
+        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            pair = heappop(heap)
+            i, stop = pair >> 32 & 0xFFFFFFFF, pair & 0xFFFFFFFF
             middle = end[i]
             if not middle or middle >= n or end[middle] != stop:
                 continue  # a part of this pair has changed meanwhile
             end[i], end[middle] = stop, 0
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+                after = end[stop]
+                if (r := rank(piece[i:after])) is not None:
+                    heappush(heap, r << 64 | i << 32 | after)
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                heappush(heap, r << 64 | p << 32 | stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(rank(piece[i : end[i]]))
             i = end[i]
         return tuple(out)
 
