@@ -133,6 +133,8 @@ def build(final: str, *needs: str) -> str:
     for n in needs:
         add(n)
     head = ",\n".join(CTES[n][1] for n in done)
+    if final.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n" + final.removeprefix("WITH RECURSIVE ")
     if final.lstrip().startswith("WITH "):
         return (f"WITH {head},\n" if head else "WITH ") + final.lstrip()[5:]
     return (f"WITH {head}\n" if head else "") + final
