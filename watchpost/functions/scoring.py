@@ -21,7 +21,8 @@ def rounded(x: Column | str, digits: int) -> Column:
 
 
 def clamp(x: Column | str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x)))
+    """Held to 0..1; null stays null (least and greatest alone would skip it)."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x))))
 
 
 def anomaly_from_z(z: Column | str, low: float = 2.0, high: float = 6.0) -> Column:

@@ -91,7 +91,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     scores AS (SELECT district_id, date, 'search' AS detector, score FROM top2 UNION ALL SELECT district_id, date, 'hospital', score FROM hospital
         UNION ALL SELECT district_id, date, 'social', anomaly FROM trail WHERE signal_type = 'social_mentions' UNION ALL SELECT district_id, date, 'wastewater', anomaly FROM trail WHERE signal_type = 'wastewater_viral_load')"""),
     "wide": (("scores",), "wide AS (SELECT district_id, date, " + ", ".join(f"max(score) FILTER (WHERE detector = '{d}') AS {d}" for d in ("search", "hospital", "social", "wastewater")) + " FROM scores GROUP BY ALL)"),
-    "risk": (("wide",), "fused AS (SELECT district_id, date, " + rnd("CASE WHEN down > 0 THEN up / down ELSE 0.0 END * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * 1.0) * 100", 2) + " AS risk_score FROM (SELECT *, 0.0 + " + " + ".join(f"CAST({w} AS DOUBLE) * coalesce(greatest(0.0, least(1.0, {d})), 0.0)" for d, w in WEIGHTS.items()) + " AS up, 0.0 + " + " + ".join(f"CASE WHEN {d} IS NOT NULL THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for d, w in WEIGHTS.items()) + f" AS down FROM wide)),\n    risk AS (SELECT *, {level('risk_score')} AS level FROM fused)"),
+    "risk": (("wide",), "fused AS (SELECT district_id, date, " + rnd("CASE WHEN down > 0 THEN up / down ELSE 0.0 END * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * 1.0) * 100", 2) + " AS risk_score FROM (SELECT *, 0.0 + " + " + ".join(f"CAST({w} AS DOUBLE) * greatest(0.0, least(1.0, coalesce({d}, 0.0)))" for d, w in WEIGHTS.items()) + " AS up, 0.0 + " + " + ".join(f"CASE WHEN {d} IS NOT NULL THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for d, w in WEIGHTS.items()) + f" AS down FROM wide)),\n    risk AS (SELECT *, {level('risk_score')} AS level FROM fused)"),
     "latest": (("risk",), "latest AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY date DESC, risk_score DESC) AS k FROM risk) WHERE k = 1)"),
     "named": (("latest", "districts"), "named AS (SELECT l.*, coalesce(d.name, l.district_id) AS district_name, d.region FROM latest l LEFT JOIN districts d USING (district_id))"),
     "drivers": (("search", "context"), f"""drivers AS (SELECT district_id, date, signal_type, max({rnd('anomaly', 3)}) AS anomaly FROM (SELECT district_id, date, signal_type, anomaly FROM search
