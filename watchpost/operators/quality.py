@@ -75,7 +75,8 @@ def latest_confidence(report: DataFrame) -> DataFrame:
 
 def drift_report(agg: DataFrame) -> DataFrame:
     """(signal_type, psi, drift): daily means over districts, at least 30 days, the last fifth against the rest."""
-    daily = agg.groupBy("signal_type", "date").agg(F.avg("value").alias("value"))
+    # Rounded, so that a mean's last bits can't move it across a quantile edge.
+    daily = agg.groupBy("signal_type", "date").agg(rounded(F.avg("value"), 6).alias("value"))
     w = Window.partitionBy("signal_type")
     placed = daily.withColumns({"_k": F.row_number().over(w.orderBy("date")), "_n": F.count("*").over(w)}).where("_n >= 30")
     found = psi(placed.withColumn("_recent", F.col("_k") > F.floor(F.col("_n") * 0.8)), ["signal_type"], "_recent")

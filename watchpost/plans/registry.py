@@ -246,7 +246,7 @@ def district_drift(spark, d):
     return qu.district_drift(ad.daily_signals(spark, d)).withColumn("drift_score", sc.rounded("drift_score", 4))
 
 
-_SPLIT5 = "means AS (SELECT signal_type, date, avg(value) AS value FROM agg GROUP BY signal_type, date), split AS (SELECT *, k > floor(n * 0.8) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY signal_type ORDER BY date) AS k, count(*) OVER (PARTITION BY signal_type) AS n FROM means) WHERE n >= 30), "
+_SPLIT5 = f"means AS (SELECT signal_type, date, {rnd('avg(value)', 6)} AS value FROM agg GROUP BY signal_type, date), split AS (SELECT *, k > floor(n * 0.8) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY signal_type ORDER BY date) AS k, count(*) OVER (PARTITION BY signal_type) AS n FROM means) WHERE n >= 30), "
 
 
 @query(f"WITH {_SPLIT5}{psi_sql('split', 'signal_type', 'p')} SELECT signal_type, {rnd('psi', 4)} AS psi, CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS drift, psi >= 0.25 AS retrain FROM p", "agg")
