@@ -18,7 +18,9 @@ that repeat a doc_id follow each other, by text. Input columns other than doc_id
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,8 +36,8 @@ from watchpost.llm.mphash import PerfectHash, mix
 MAGIC = b"TOKSHRD1"
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-#: Words a worker remembers; beyond that it starts anew, which bounds its memory.
-REMEMBERED = 300_000
+#: Words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
+REMEMBERED = 600_000
 _SHARDS = "part long, shard long, before long, n_ids long, low long, high long, data binary"
 
 
@@ -96,28 +98,48 @@ class Shard:
 
 
 class _Encoder:
-    """Ids of a text as raw integers. No token spans white space, so words are encoded apart and remembered up to a bound."""
+    """Ids of a text as raw integers. No token spans white space, so words are encoded apart and remembered. A full stop or
+    comma at a word's end, after an ASCII letter, is always a token of its own, so both halves are looked up."""
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_str(spec), f"<u{width}", {}
+        # Machine integers of 2 or 4 bytes; shards are little-endian, as the machines that Spark runs on.
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), "H" if width == 2 else "I"
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.ends = {x: self._encoded([x])[0] for x in (b".", b",")}
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        return [array(self.kind, x.ids).tobytes() for x in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
+        """Makes sure that all of these are in the newest generation."""
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, self.kind).tobytes()
+            self.before, self.known = self.known, {}
+        known, before, plain, cut = self.known, self.before, set(), []
+        for w in words:
+            ids = before.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif w[-1:] in self.ends and w[-2:-1].isalpha():
+                cut.append(w)
+            else:
+                plain.add(w)
+        plain.update(w[:-1] for w in cut if w[:-1] not in known and w[:-1] not in before)
+        new = list(plain)
+        known.update(zip(new, self._encoded(new), strict=True))
+        for w in cut:
+            stem = known.get(w[:-1])
+            known[w] = (before[w[:-1]] if stem is None else stem) + self.ends[w[-1:]]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         words = [x.split() for x in texts]
-        for some in words:
-            try:
-                list(map(self.known.__getitem__, some))
-            except KeyError:
-                self.learn(set().union(*words))
-                break
+        missing = set(chain.from_iterable(words)).difference(self.known)
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                missing = set(chain.from_iterable(words))  # a new generation starts, which needs all of them
+            self.learn(missing)
         return [b"".join([*map(self.known.__getitem__, some), end]) for some in words]
 
 
@@ -148,11 +170,11 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
         last, copy = object(), 0
 
         def flush() -> pa.RecordBatch:
-            known = [x for x in (doc_ids[0], doc_ids[-1]) if x is not None]
-            numbers = [part, shard, before, size, min(known, default=None), max(known, default=None)]
+            low = next((x for x in doc_ids if x is not None), None)
+            numbers = [part, shard, before, size, low, doc_ids[-1]]
             return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in numbers), pa.array([pack_shard(doc_ids, copies, ids, width)], pa.binary())], ["part", "shard", "before", "n_ids", "low", "high", "data"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.encode(as_bytes(batch.column(1)), end), strict=True):
                 if ids and size + len(coded) // width > SHARD_IDS:
                     yield flush()
