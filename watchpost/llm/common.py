@@ -17,6 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a batch that are turned into Python objects at once.
 SLICE_ROWS = 256
+#: Keys that hash_sample draws for.
+MOST_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +66,8 @@ def hash_sample(df: DataFrame, key: str, drawn: Column, rows: int) -> DataFrame:
     before any shuffle by key, so a key that holds most rows costs its task no more than about twice `rows`."""
     place = F.pmod(drawn, F.lit(1 << 40))
     placed = df.withColumn("_place", place)
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    near = placed.join(sizes, key).where(F.col("_place") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2 * rows + 100) / F.col("_size")))
+    # The most frequent keys only, which bounds the broadcast; others aren't sampled.
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), key).limit(MOST_KEYS)
+    near = placed.join(F.broadcast(sizes), key).where(F.col("_place") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2 * rows + 100) / F.col("_size")))
     order = Window.partitionBy(key).orderBy("_place", *[c for c in df.columns if c != key])
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).drop("_place", "_size")

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import slices
+from watchpost.llm.common import hash_sample, slices
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -36,7 +36,7 @@ SAMPLE_CHARS = 6_000_000
 #: Rows of a language that are looked at in hash order, and texts longer than this are left to others.
 SAMPLE_ROWS, LONGEST = 3000, 200_000
 MIN_TEXTS = 20
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UND = "und"
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _PAD = np.uint32(0x110000)
@@ -79,12 +79,13 @@ class KneserNey:
     def __init__(self, languages: list[str], keys, values, contexts, backoff, unseen, limits):
         self.languages, self.keys, self.values, self.contexts, self.backoff = languages, keys, values, contexts, backoff
         self.unseen, self.limits = unseen, limits
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((0, len(languages)), np.float32)
+        self.forget()
 
     @classmethod
     def train(cls, texts: dict[str, list[str]], order: int = ORDER) -> KneserNey:
-        languages = sorted(texts)
+        languages = sorted(lang for lang, own in texts.items() if any(map(_WORD.search, own)))
+        if not languages:
+            return cls([], [], [], [], [], np.zeros(0, np.float32), np.zeros((0, 2)))
         per = [_counts(_WORD.findall("\n".join(texts[lang]).lower()), order) for lang in languages]
         keys, values, contexts, backoff = [], [], [], []
         alphabet = max(2, len(np.unique(np.concatenate([p[0]["gram"] for p in per] or [np.zeros(1, np.uint64)]))))
@@ -252,8 +253,7 @@ def training_sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[s
     """Whole texts by language, in hash order, within the bound."""
     ranked = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"), F.length("text").alias("_n")).where(F.col("_n") <= LONGEST)
     # Ranks need only hashes and lengths; the texts of the chosen hashes follow by a join with that small table.
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    first = ranked.select("lang", "_h", "_n").withColumn("_r", order).where(F.col("_r") <= SAMPLE_ROWS)
+    first = hash_sample(ranked.select("lang", "_h", "_n"), "lang", F.col("_h"), SAMPLE_ROWS)
     sizes = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_r", "_h", "_n"))).alias("rows")).collect()
     bound = sample_chars // max(1, len(sizes))
     chosen = []
