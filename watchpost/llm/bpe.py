@@ -35,15 +35,15 @@ _LOOSE = regex.compile(r" (?:\s|$)")
 class _Words(dict):
     """Ids of a word as a tuple, made on first use. Words in use move on to each new generation."""
 
-    def __init__(self, make):
+    def __init__(self, make, share=1):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.share = make, {}, share
 
     def __missing__(self, word):
         ids = self.before.get(word)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= REMEMBERED:
+        if len(self) * self.share >= REMEMBERED:
             self.before = dict(self)
             self.clear()
         self[word] = ids
@@ -65,7 +65,7 @@ class ByteBpe:
         self.ids = [ranks[t] for t in self.entries]
         # The levels as plain lists: single keys are probed without arrays.
         self.levels = [(size, bits.tolist(), ranks_.tolist()) for size, bits, ranks_ in zip(self.hash.sizes, self.hash.bits, self.hash.ranks, strict=True)]
-        self.pieces = _Words(self._piece)
+        self.pieces = _Words(self._piece, 3)  # words ask for a piece once, so fewer pieces are worth keeping
         self.words = _Words(self._word)
         self.singles = [ranks.get(bytes([b])) for b in range(256)]
 
