@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from watchpost.llm import bpe, decontam, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity
+from watchpost.llm import bpe, decontam, langid, lbl, licenses, linedup, neardup, rules, simhash, tokenbin, toxicity
 from watchpost.llm.mphash import PerfectHash
 
 LONG = "This shared line is long enough to be dropped when it repeats."
@@ -394,6 +394,59 @@ def test_thresholds_cover_the_distance():
         assert len(bits) == len(set(bits))
 
 
+# Near copies by shingle similarity
+
+
+def five_word_sets(text):
+    w = words(lower(text))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_copies(rng, base, n, changed):
+    """Texts of `base` with `changed` of its words made new in each."""
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(len(w), changed, replace=False):
+            w[k] = f"new{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [32, 3])
+def test_near_copies_match_brute_force(spark, bucket):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = ["", None, "one two", "One  two", "one two three"]
+    for changed in (0, 1, 2, 3, 4, 6, 9):
+        base = rng.choice(vocabulary, 160)
+        texts += [" ".join(base), *near_copies(rng, base, 8, changed)]
+    sets = [five_word_sets(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in neardup.near_copy_groups(make(spark, list(enumerate(texts))), bucket).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert neardup.near_copy_groups(none(spark)).count() == 0
+
+
+def test_pipeline_drops_copies_at_similarity(spark):
+    rng = np.random.default_rng(3)
+    base = rng.choice([f"w{i}" for i in range(500)], 160)
+    near, far = near_copies(rng, base, 1, 3)[0], near_copies(rng, base, 1, 12)[0]
+    left = corpus_pipeline.drop_near_copies(spark, make(spark, [(1, " ".join(base)), (2, near), (3, far)]), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 # Pipeline
 
 
