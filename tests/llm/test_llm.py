@@ -286,6 +286,22 @@ def test_contradicting_slots_do_not_count():
     assert decontam._held(10, pairs, True) < 1.0 == decontam._held(10, pairs, False)
 
 
+def test_names_that_begin_sentences(spark):
+    items = [(1, "Tom has 3 apples. Tom buys 4 more. How many apples?"), (2, "Eva sings. Max and Eva dance. Old Ben waits at home for 2 hours."), (3, "Tom runs. Tom sits. Tom eats. Tom naps.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [
+        (1, "Ann has 5 apples. Ann buys 7 more. How many apples?"),
+        (2, "Then Ann has 5 apples. Ann buys 7 more. How many apples? Enough."),
+        (3, "Ann runs. Bob sits. Cal eats. Dan naps."),
+        (7, "Ann runs. Ann sits. Ann eats. Ann naps."),
+        (4, "Zoe sings. Tim and Zoe dance, old Ken waits at home for 9 hours."),
+        (5, "Tom has 3 apples. Tom buys 4 more. How many apples?"),
+        (6, "Nobody has 5 pears. He buys 7 more. How many cars?"),
+    ]
+    got = {r.doc_id: (r.item_ids, r.reparameterised) for r in decontam.scan(make(spark, texts), bench).collect()}
+    assert got == {1: ([1], [1]), 2: ([1], [1]), 3: ([], []), 4: ([2], [2]), 5: ([1], []), 6: ([], []), 7: ([3], [3])}
+
+
 # Toxicity
 
 

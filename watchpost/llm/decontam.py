@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words lose punctuation at their ends and case; words of punctuation alone go. Beside this plain form, a template form has
-typed placeholders for numbers, units and names (capitalised words inside a sentence). Windows of five words of both forms
-are hashed. Documents keep only windows whose hash some benchmark window has, told from a broadcast table of hashes that is
+typed placeholders for numbers, units and names (capitalised words). A capitalised word that begins a sentence may be a name or
+not, and is read both ways. Windows of five words of both forms are hashed. Documents keep only windows whose hash some benchmark window has, told from a broadcast table of hashes that is
 filled in blocks of bounded size, so that a benchmark of any size takes more blocks, not more memory. The windows left are
 hash-joined with the benchmark's. A document holds an item if windows near each other cover 0.8 of the item's words: in
 plain form, or in template form when the slots agree, that is when equal values of the item are equal in the document.
@@ -114,32 +114,49 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None) -
     for kind in (PLAIN, TEMPLATE):
         h = table[ids, 0] if kind == PLAIN else np.where(starts_sentence, table[ids, 1], table[ids, 2])
         m = len(h) - WIDTH + 1
-        with np.errstate(over="ignore"):
-            sums = np.full(m, np.uint64(kind + 1))
-            for j in range(WIDTH):
-                sums = (sums ^ h[j : j + m]) * _BASE
-                sums ^= sums >> np.uint64(32)
         whole = owner[:m] == owner[WIDTH - 1 :]
-        if wanted is not None:
-            known, bits = wanted
-            at = np.flatnonzero(whole & bits[(sums >> np.uint64(44)).astype(np.int64)])
-            spot = np.minimum(np.searchsorted(known, sums[at]), len(known) - 1)
-            at = at[known[spot] == sums[at]]
-        else:
-            at = np.flatnonzero(whole)
-        for doc in np.unique(owner[at]):
-            own = at[owner[at] == doc]
-            slots = []
-            for i in own.tolist():
-                found = []
-                if kind == TEMPLATE:
-                    for j in range(i, i + WIDTH):
-                        word = words[doc][raw[j] - before[doc]]
-                        form = forms(word)[1 if starts_sentence[j] else 2]
-                        if form in _SLOTS:
-                            found.append(bare(word).decode("utf-8", "replace"))
-                slots.append(found)
-            yield int(doc), kind, sums[own].view(np.int64), (own - first[doc]).astype(np.int32), slots
+        readings = [(0, None)]
+        if kind == TEMPLATE:
+            # A capitalised sentence start has two readings; windows that hold some are read in every way.
+            either = starts_sentence & (table[ids, 1] != table[ids, 2])
+            ways = np.zeros(m, np.uint8)
+            for j in range(WIDTH):
+                ways |= either[j : j + m].astype(np.uint8) << np.uint8(j)
+            some = np.flatnonzero(whole & (ways > 0))
+            open_ = ways[some]
+            readings += [(way, some[(open_ & way) == way]) for way in range(1, 1 << WIDTH)]
+        for way, own in readings:
+            if own is not None and not len(own):
+                continue
+            n_own = m if own is None else len(own)
+            with np.errstate(over="ignore"):
+                sums = np.full(n_own, np.uint64(kind + 1))
+                for j in range(WIDTH):
+                    part = h[j : j + m] if own is None else table[ids[own + j], 2] if way >> j & 1 else h[own + j]
+                    sums = (sums ^ part) * _BASE
+                    sums ^= sums >> np.uint64(32)
+            near = whole if own is None else np.ones(n_own, bool)
+            if wanted is not None:
+                known, bits = wanted
+                at = np.flatnonzero(near & bits[(sums >> np.uint64(44)).astype(np.int64)])
+                spot = np.minimum(np.searchsorted(known, sums[at]), len(known) - 1)
+                at = at[known[spot] == sums[at]]
+            else:
+                at = np.flatnonzero(near)
+            sums, at = sums[at], at if own is None else own[at]
+            for doc in np.unique(owner[at]):
+                here = owner[at] == doc
+                slots = []
+                for i in at[here].tolist():
+                    found = []
+                    if kind == TEMPLATE:
+                        for j in range(i, i + WIDTH):
+                            word = words[doc][raw[j] - before[doc]]
+                            form = forms(word)[1 if starts_sentence[j] and not way >> (j - i) & 1 else 2]
+                            if form in _SLOTS:
+                                found.append(bare(word).decode("utf-8", "replace"))
+                    slots.append(found)
+                yield int(doc), kind, sums[here].view(np.int64), (at[here] - first[doc]).astype(np.int32), slots
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
