@@ -1,6 +1,7 @@
 """Properties and edge cases of the operators on small tables."""
 
 import datetime
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from watchpost.operators import projection as pr
 from watchpost.operators import quality as qu
 from watchpost.operators import risk as ri
 from watchpost.operators import rollups as ro
+from watchpost.plans import jobs, registry
 from watchpost.sources import ingest as ing
 from watchpost.sources import store
 
@@ -169,6 +171,19 @@ def test_forest_and_averaging(spark):
     assert abs(averaged[0] - pooled[0]) < 0.2 and averaged[0] > 0
 
 
+def test_registered_models_are_fitted_whole(spark, monkeypatch):
+    rows = spark.range(50).select(F.lit(0).alias("group"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)) / 100).alias(c) for c in jobs._FEATURES], (F.col("id") % 2).cast("double").alias("y"))
+    monkeypatch.setattr(jobs, "_labelled", lambda *_: rows)
+    steps = []
+    monkeypatch.setattr(mo, "_gradients", lambda data, features, weights: steps.append(1) or {g: ([0.0] * (len(features) + 1), 1) for g in weights})
+    for name in ("grouped_param_average", "pooled_logistic"):
+        steps.clear()
+        registry.QUERIES[name](spark, "")
+        assert len(steps) == 60
+    own = inspect.signature(mo.joint_context_iforest).parameters
+    assert (own["trees"].default, own["sample"].default) == (120, 256)
+
+
 def test_novelty_orders_patterns(spark):
     day = datetime.date(2024, 1, 1)
     known = [("known", day, s, 0.7) for s in ("search_fever", "search_rash", "hospital_admissions", "social_mentions")]

@@ -75,7 +75,7 @@ def _path_length(x: np.ndarray, depth: int, limit: int, rng: np.random.Generator
         _path_length(x, depth + 1, limit, rng, rows[(x[rows, f] < cut) == side], out, within[(x[within, f] < cut) == side])
 
 
-def joint_context_iforest(anomalies: DataFrame, trees: int = 60, sample: int = 128) -> DataFrame:
+def joint_context_iforest(anomalies: DataFrame, trees: int = 120, sample: int = 256) -> DataFrame:
     """(district_id, date, context): isolation-forest scores of the z-vectors of a district, scaled between the median and the
     99th percentile; districts of under 20 days have 0. Each district is a group of bounded size: its days."""
     wide = anomalies.groupBy("district_id", "date").pivot("signal_type", list(HOSPITAL)).agg(F.max("z")).fillna(0.0)

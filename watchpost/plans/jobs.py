@@ -325,14 +325,14 @@ def _accuracy(rows: DataFrame, weights: list[float]) -> DataFrame:
 
 @query()
 def grouped_param_average(spark, d):
-    rows = _labelled(spark, d)
-    return _accuracy(rows, mo.grouped_param_average(rows, "group", _FEATURES, "y", rounds=4))
+    rows = _labelled(spark, d).cache()
+    return _accuracy(rows, mo.grouped_param_average(rows, "group", _FEATURES, "y"))
 
 
 @query()
 def pooled_logistic(spark, d):
-    rows = _labelled(spark, d)
-    return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y", rounds=4))
+    rows = _labelled(spark, d).cache()
+    return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y"))
 
 
 __all__ = ["_latest"]
