@@ -325,6 +325,21 @@ def test_toxicity_learns(spark):
     assert {r.score for r in toxicity.score_documents(df, untrained).collect()} == {0.0}
 
 
+def test_hot_documents_leave_each_class_its_rows(spark, monkeypatch):
+    hot = [(0, f"plain words of row {i} go on and on", "en") for i in range(300)] + [(1, "the same row again", "en")] * 300
+    rest = [(i, f"nastyword {i} and other words", "en") for i in range(2, 32)]
+    df = spark.createDataFrame(hot + rest, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i > 1), int(i < 2)) for i in range(32)], "doc_id long, toxic int, quality int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, *_: seen.update(toxic=(texts, y)))
+    monkeypatch.setattr(rules, "learn", lambda x, bad: seen.update(bad=bad) or [])
+    toxicity.train(df, labels, sample_rows=50)
+    rules.train(df, labels, sample_rows=50)
+    texts, y = seen["toxic"]
+    assert (y == 1).sum() == 30 and (y == 0).sum() == 50 and len(set(texts)) == 80
+    assert seen["bad"].sum() == 30 and (~seen["bad"]).sum() == 50
+
+
 # SimHash
 
 

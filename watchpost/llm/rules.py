@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, hash_sample, slices
+from watchpost.llm.common import as_bytes, hash_sample, slices, written
 
 #: Bound of the training sample: labelled rows of each class, in hash order.
 SAMPLE_ROWS = 4000
@@ -195,12 +195,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, longest: int = 3, precision
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learns from at most sample_rows labelled rows of each class, in hash order; label 0 is what rules reject."""
+    """Learns from at most sample_rows distinct texts of each class, those of the first labelled rows in hash order; label 0 is what rules reject."""
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
     first = hash_sample(marked, "_y", F.xxhash64("doc_id"), sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi")
-    counted = statistics(texts).join(F.broadcast(first), "doc_id").select("_y", *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()])
-    rows = counted.limit(4 * sample_rows).toPandas().sort_values(["_y", *FEATURES], kind="stable")
+    # The sample's bound holds for labels; a doc_id may have many rows, so the joined texts are bounded again, class by class.
+    joined = written(docs.select("doc_id", "text").join(F.broadcast(first.select("doc_id", "_y").distinct()), "doc_id").withColumn("_h", F.xxhash64("text")))
+    kept = written(hash_sample(joined.dropDuplicates(["_y", "doc_id", "_h"]), "_y", F.xxhash64("doc_id", "_h"), sample_rows))
+    counted = [statistics(kept.where(F.col("_y") == y)).select(F.lit(y).alias("_y"), *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()]) for y in (0, 1)]
+    rows = counted[0].unionByName(counted[1]).toPandas().sort_values(["_y", *FEATURES], kind="stable")
     if not len(rows):
         return []
     return learn({name: rows[name].to_numpy(float) for name in FEATURES}, rows["_y"].to_numpy() == 0)
