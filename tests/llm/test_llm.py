@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -261,6 +262,17 @@ def test_license_texts_and_notices(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_long_licenses(spark):
+    folder, files = pathlib.Path("/usr/share/common-licenses"), {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files):
+        pytest.skip("no common licences on this machine")
+    texts = [(folder / f).read_text("utf-8") for f in files]
+    cut = texts[2][: texts[2].index("END OF TERMS AND CONDITIONS") + 27]
+    rows = [*enumerate(texts), (50, cut), (51, "Copyright (c) 2020 Someone\n" + texts[0].upper()), (52, texts[1] + " more"), (53, texts[1][:9000])]
+    got = {r.doc_id: r.license for r in licenses.scan(make(spark, rows)).collect()}
+    assert got == {**dict(enumerate(files.values())), 50: "GPL-3.0", 51: "Apache-2.0", 52: None, 53: None}
+
+
 # Decontamination
 
 ITEMS = [(1, "Anna bought 12 apples for 30 dollars and gave 5 apples to Peter before she walked 3 km home."), (2, "short item here"), (3, None), (4, "The old river flows slowly through the green valley past seven silent mills.")]

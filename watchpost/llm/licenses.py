@@ -81,6 +81,29 @@ TEXTS: list[tuple[str, str]] = [
         ("GPL-3.0", ("",), _GPL_NOTICE.format(n=3)),
     ) for title in titles),
 ]
+#: Whole texts of long licences, and those that have an end of terms up to there: name, length and words of the
+#: canonical text, its SHA-256. Each holds the word licence.
+WHOLE: list[tuple[str, int, int, str]] = [
+    ("Apache-2.0", 9818, 1587, "7f3470d008308097961c53e56250a1a6cd0cb848a916dc15092d085e6d2e0753"),
+    ("Apache-2.0", 8803, 1417, "7690818e56690768555c23e2a9e1bd3fafe07d480a8c6aa90ca3dcec91e173dc"),
+    ("Artistic-1.0-Perl", 5832, 982, "7f4e244304ead0e9f2b7143653ae7f6ac6120b733bdca4e38df4fc0c173cd6a8"),
+    ("CC0-1.0", 6689, 1085, "4f0f2460054039727d9349df12a36b06f675ac1ac5714dea9c6b47e2902b8406"),
+    ("GFDL-1.2", 19583, 3315, "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", 22018, 3732, "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", 11764, 2066, "1f231247856e736329d0b1ca4841eebfa464227ffd39648c2f86ae604ffb88d6"),
+    ("GPL-1.0", 9414, 1640, "485c654369a314feed7a477ce9b48156a341e5d2bbe6ff6dc9af42bc13a43510"),
+    ("GPL-2.0", 17116, 2974, "c546972978b8a035b4b2f228ac8d55b1598218f8568113183c1198ebb0889d38"),
+    ("GPL-2.0", 14482, 2503, "f895b5613a51e073eccbb5aecc8d8b152ef39ae2acc8b2eb9fc4b11ac1db3a63"),
+    ("GPL-3.0", 33405, 5683, "5725838a3ab0b43c9b3eb5bfa24b85b77adcaf3ae956c22259df3ef9700f2ad3"),
+    ("GPL-3.0", 30967, 5240, "e374363c7f6b48786da7f9eafed69be1f0e485123aefdf628a53f08352b53516"),
+    ("LGPL-2.0", 24129, 4199, "565119bb0dcf5c396f9506a585e8f354662c017a20a99f1ad88de128e0fd3e80"),
+    ("LGPL-2.0", 22276, 3864, "2bef69bcf60396a3fc661c8c44257edfb20b8f6876ea592f4732b87446338ee4"),
+    ("LGPL-2.1", 25216, 4400, "eca75eaada1ce7417495847f5deab96982ff790fe8d2f64944d806e134f734d0"),
+    ("LGPL-2.1", 23364, 4064, "d74190eb254968ffaca621350afbbf4a2d2a8e8c88b6baabae94cb60aefb6e68"),
+    ("LGPL-3.0", 7104, 1231, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22317, 3755, "9ae1cf032d3ccc5eee5d4b4fb4723c25e696447f0666bd5d8f2228cd16474233"),
+    ("MPL-2.0", 14270, 2413, "08d9ecf388394bc24cafcf6a6808413174206563e79350b03cda79c6dd11425b"),
+]
 #: How notices name a licence.
 NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("MIT License", "MIT"),
@@ -164,6 +187,7 @@ def scan(docs: DataFrame) -> DataFrame:
     n_notices: notice lines) for each row. One broadcast join with the known digests, no shuffle."""
     texts, notices = known_texts(), known_notices()
     reach, line_reach = _reach(texts), _reach(notices)
+    far = max([reach, *(n + _SLACK * words for _, n, words, _ in WHOLE)])
     lowered = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("t"))
     # Few texts have a copyright line, and a plain search is cheaper than the pattern.
     marked = F.col("t").contains("copyright") | F.col("t").contains("(c)") | F.col("t").contains("©") | F.col("t").contains("all rights reserved")
@@ -172,13 +196,14 @@ def scan(docs: DataFrame) -> DataFrame:
     # A notice holds one of these words in any spelling.
     lines = F.filter(lines, lambda x: x.contains("licen") | x.contains("under"))
     whole = F.trim(F.regexp_replace("t", "[ \n]+", " "))
-    # Only what a known text's length allows is worth making canonical to the end.
-    short = spaced.select("doc_id", F.when(F.length(F.translate("t", " \n", "")) <= reach, whole).alias("whole"), lines.alias("lines"))
+    letters = F.length(F.translate("t", " \n", ""))
+    # Only what a known text's length allows, and beyond the short ones only what names a licence, is worth making canonical to the end.
+    short = spaced.select("doc_id", F.when((letters <= reach) | (letters <= far) & F.col("t").contains("licen"), whole).alias("whole"), lines.alias("lines"))
     table = F.create_map(*[F.lit(x) for text, name in notices.items() for x in (hashlib.sha256(text.encode()).hexdigest(), name)])
     found = F.filter(F.transform("lines", lambda x: F.element_at(table, F.sha2(_rewritten(F.trim(x)), 256))), lambda x: x.isNotNull())
-    digest = F.when(F.length("whole").between(1, reach), F.sha2(_rewritten(F.col("whole")), 256))
+    digest = F.when(F.length("whole").between(1, far), F.sha2(_rewritten(F.col("whole")), 256))
     digested = short.select("doc_id", digest.alias("digest"), F.when(F.size("lines") > 0, found).otherwise(F.array().cast("array<string>")).alias("found"))
-    known = docs.sparkSession.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), name) for t, name in texts.items()], "digest string, license string")
+    known = docs.sparkSession.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), name) for t, name in texts.items()] + [(digest, name) for name, _, _, digest in WHOLE], "digest string, license string")
     return digested.join(F.broadcast(known), "digest", "left").select("doc_id", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
 
 
