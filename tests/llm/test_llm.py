@@ -210,7 +210,8 @@ def own_tiktoken():
 
 
 def test_bpe_matches_the_library(spark, docs, own_tiktoken, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 7)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    monkeypatch.setattr(bpe, "WORDS", 5)
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     extra = ["a  \n b", "  x", "x ", "\n\n x", " \n \n  a", "é́ \t\t z", "١٢٣ 456", "<|endoftext|>", "'S 's 'll"]
     df = docs.unionByName(make(spark, list(enumerate(extra, 100))))
@@ -239,12 +240,85 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(train, nothing).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.KneserNey.train({"en": [EN] * 3, "fr": [FR] * 3})
-    letters = sorted(set("".join((EN + FR).lower().split())))
-    ends = model._word_sums([f"th{c}" for c in letters]) - model._word_sums(["th"])
-    assert np.isfinite(ends).all()
-    assert model.cross_entropy(EN)[0][0] < model.cross_entropy(EN)[0][1]
+def test_odd_texts_and_clashing_columns(spark):
+    model = langid.train(spark.createDataFrame([(i, EN if i % 2 else FR, "en" if i % 2 else "fr") for i in range(20)], "doc_id long, text string, lang string"))
+    texts = ["Q", "\u0301\u0302", "a\u0301", "é", "of " * 40000, EN, EN, "x" * 30000, " I ", "I a I"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"score": F.lit("mine"), "_text": F.lit(1), "a.b": F.lit(2)})
+    got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
+    assert got[1].lang_pred == "und" and got[1].score == 0 and all(got[i].lang_pred in ("en", "fr") for i in range(10) if i != 1)
+    assert got[5][1:] == got[6][1:]
+    kept = langid.predict(odd, model, keep=odd.columns, names=("_lang", "_score", "_rejected"))
+    assert kept.columns == [*odd.columns, "_lang", "_score", "_rejected"] and {r.score for r in kept.select("score").collect()} == {"mine"}
+    assert langid.predict(odd.limit(0), model).count() == 0
+    same = langid.train(spark.createDataFrame([(i, EN, x) for i in range(20) for x in ("b", "a")], "doc_id long, text string, lang string"))
+    assert langid.predict(odd.where("doc_id = 5"), same).first().lang_pred == "a"
+
+
+def brute_kneser_ney(words, order=5, discount=0.75):
+    """Probability of a character after a context of characters, of marked words, by the definition; `^` and `$` are the marks."""
+    marked = [f"^{w}$" for w in words]
+    counts = [collections.Counter() for _ in range(order)]
+    for n in range(1, order + 1):
+        left = collections.defaultdict(set)
+        for w in marked:
+            for i in range(1, len(w)):
+                if i - n + 1 >= 0:
+                    gram = w[i - n + 1 : i + 1]
+                    if n == order or i - n + 1 == 0:
+                        counts[n - 1][gram] += 1
+                    else:
+                        left[gram].add(w[i - n])
+        for gram, before in left.items():
+            counts[n - 1][gram] += len(before)
+    alphabet = len(counts[0]) + 1
+
+    def p(char, context):
+        context = context[-(order - 1) :]
+        lower = p(char, context[1:]) if context else 1 / alphabet
+        own = {g: c for g, c in counts[len(context)].items() if g[:-1] == context}
+        total = sum(own.values())
+        if not total:
+            return lower
+        return max(own.get(context + char, 0) - discount, 0) / total + discount * len(own) / total * lower
+
+    return p, alphabet
+
+
+def test_kneser_ney_matches_brute_force_and_sums_to_one():
+    text = f"{EN} a an and ant q quick house horse"
+    model = langid.KneserNey.train({"en": [text] * 4})
+    p, alphabet = brute_kneser_ney(text.split() * 4)
+    for word in ["the", "q", "zzz", "unseenword", "é", "houses", "a"]:
+        got, _ = model.log_probabilities([word])
+        marked = f"^{word}$"
+        assert [x for (x,) in got] == pytest.approx([np.log(p(marked[i], marked[:i])) for i in range(1, len(marked))], abs=1e-4)
+    letters = sorted(set("".join(text.split())))
+    assert alphabet == len(letters) + 2
+    both = langid.KneserNey.train({"en": [EN] * 4, "fr": [FR] * 4})
+    letters = sorted(set("".join((EN + FR).split())))
+    for before in ("", "t", "th", "zq", "the", "maiso", "ééé"):
+        first = len(before)
+        rows = [both.log_probabilities([before + c])[0][first] for c in [*letters, "\u4e00"]]
+        end = both.log_probabilities([before])[0][first] if before else np.array([p_end(both)] * 2).ravel()[:2]
+        assert np.exp([*rows, end]).sum(0) == pytest.approx([1, 1], abs=1e-4)
+
+
+def p_end(model):
+    """Log-probability of the end mark right after the start mark, which no word has: what the start leaves to single characters."""
+    start, _, _ = langid._grams(["a"], 2)
+    at = np.searchsorted(model.contexts[1], start[0][0])
+    end = np.searchsorted(model.keys[0], start[0][2])
+    return model.backoff[1][at] + model.values[0][end]
+
+
+def test_rejection_is_calibrated_on_rows_apart(spark):
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(EN.split(), 12)) for _ in range(300)]
+    model = langid.KneserNey.train({"en": texts})
+    assert np.isfinite(model.limits[:4]).all() and (np.diff(model.limits[:, 0]) <= 0).all()
+    fresh = [" ".join(rng.choice(EN.split(), int(rng.integers(1, 14)))) for _ in range(500)]
+    assert sum(x[2] for x in model.predict(fresh)) <= 1
+    assert all(x[2] for x in model.predict(["xkcdq wvwzq qqjx zzkk pqpq wxyz", "ğüşöç ığdır çömçö ĵŝĉ"]))
 
 
 # Licences
@@ -513,6 +587,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
 
 
+def test_pipeline_leaves_clashing_columns_alone(spark, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(i, f"{EN} and number {i} of {' '.join(f'{w}{i}' for w in EN.split())}\n{LONG}") for i in range(12)]
+    clashes = {c: F.lit("mine") for c in ("score", "rejected", "lang_pred", "n_lines", "n_dropped", "keep_bitmap", "row", "doc", "component_id", "_gone", "ids", "t", "c0", "a.b")}
+    df = make(spark, texts).withColumns(clashes).withColumn("lang", F.when(F.col("doc_id") > 5, F.col("lang")))
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    rows = docs.collect()
+    assert len(rows) == 12 and all({r[c] for c in clashes} == {"mine"} and r.lang == "en" for r in rows)
+    assert all(r.n_chars == len(r.text) for r in rows) and sum(LONG in r.text for r in rows) == 1
+    assert corpus_pipeline.encode(spark, docs, "").count() == 12
+    few = corpus_pipeline.drop_repeated_lines(spark, df.drop("n_chars"), "")
+    assert few.columns == [c for c in df.columns if c != "n_chars"] and few.count() == 12
+
+
+def test_pipeline_on_empty_documents(spark, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_crc_of_ids_is_the_contract(spark):
     ids = np.array([5, 70000, 1], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(ids)

@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the ranks of a public tokenizer file.
 
 Each match of the split pattern is a pre-token. Pre-tokens that are whole vocabulary entries resolve through a minimal
-perfect hash with the entry's bytes as fingerprint; the others start as a linked list of bytes, and a heap of ranked
-pairs gives the merges in order. Results of both are remembered per word up to a bound, then forgotten together.
+perfect hash with the entry's bytes as fingerprint, all new ones of a slice at once; the others start as a linked list of
+bytes, and a heap of ranked pairs gives the merges in order. Workers remember pre-tokens and words with their ids as raw
+integers, so that a text's ids are joined, not listed; both memories are bounded and keep what is in use.
 
 Defined cases: null counts as empty and gives no ids; decoding joins bytes, which need not be valid UTF-8 for part of a
 text's ids; ids outside the vocabulary raise ValueError. Input columns other than doc_id and text are not looked at.
@@ -11,10 +12,11 @@ text's ids; ids outside the vocabulary raise ValueError. Input columns other tha
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +25,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import slices
+from watchpost.llm.common import kept, slices
 from watchpost.llm.mphash import PerfectHash
 
-#: Words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
-REMEMBERED = 300_000
-#: A space that doesn't start a pre-token: the text is then matched as a whole, not word by word.
-_LOOSE = regex.compile(r" (?:\s|$)")
+#: Pre-tokens and words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
+PIECES, WORDS = 500_000, 200_000
+#: Fixed value: the public pattern that lets a text be cut at white space before it is matched; texts under other patterns are matched whole.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space that isn't alone between words: such a text is matched as a whole too.
+_LOOSE = regex.compile(r"\s(?:\s|$)")
 
 
-class _Words(dict):
-    """Ids of a word as a tuple, made on first use. Words in use move on to each new generation."""
+class _Memory:
+    """Word -> ids as raw integers. What is in use moves on to each new generation."""
 
-    def __init__(self, make, share=1):
-        super().__init__()
-        self.make, self.before, self.share = make, {}, share
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
 
-    def __missing__(self, word):
-        ids = self.before.get(word)
-        if ids is None:
-            ids = self.make(word)
-        if len(self) * self.share >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def missing(self, words: set[str]) -> list[str]:
+        """Those that aren't remembered; the others are in the newest generation afterwards."""
+        new = words.difference(self.now)
+        if len(self.now) + len(new) > self.most:  # a new generation starts, which needs all of them
+            self.before, self.now, new = self.now, {}, words
+        found = new.intersection(self.before)
+        self.now |= {w: self.before[w] for w in found}
+        return list(new.difference(found))
 
 
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.ranks, self.find, self.cut = ranks, regex.compile(pattern).findall, pattern == SPACED
+        size = max(ranks.values(), default=-1) + 1
+        self.bytes_of = [b""] * size
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.length = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.start = np.cumsum(self.length) - self.length
         tokens = list(ranks)
         keys = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
         self.hash = PerfectHash.build(keys)
@@ -63,92 +69,112 @@ class ByteBpe:
         for slot, token in zip(self.hash.slots(keys).tolist(), tokens, strict=True):
             self.entries[slot] = token
         self.ids = [ranks[t] for t in self.entries]
-        # The levels as plain lists: single keys are probed without arrays.
-        self.levels = [(size, bits.tolist(), ranks_.tolist()) for size, bits, ranks_ in zip(self.hash.sizes, self.hash.bits, self.hash.ranks, strict=True)]
-        self.pieces = _Words(self._piece, 3)  # words ask for a piece once, so fewer pieces are worth keeping
-        self.words = _Words(self._word)
-        self.singles = [ranks.get(bytes([b])) for b in range(256)]
+        # Ranks of pairs of bytes by 256 * first + second: every merge begins with these.
+        self.pair = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.pieces, self.words, self.firsts = _Memory(PIECES), _Memory(WORDS), _Memory(WORDS)
 
     @classmethod
     def from_file(cls, data: bytes, pattern: str) -> ByteBpe:
         """From the lines of a rank file: base64 of the bytes, a space, the rank."""
         return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}, pattern)
 
-    def lookup(self, piece: bytes) -> int | None:
-        """The id of a piece that is an entry: one probe, and a comparison with the entry in the slot."""
-        key = xxhash.xxh64_intdigest(piece)
-        for level, (size, bits, ranks) in enumerate(self.levels):
-            x = (key + 0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF
-            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-            at = (x ^ (x >> 31)) % size
-            if bits[at]:
-                slot = ranks[at]
-                return self.ids[slot] if self.entries[slot] == piece else None
-        return None
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def lookup(self, pieces: list[bytes]) -> list[int | None]:
+        """The ids of pieces that are entries: one probe each, and a comparison with the entry in the slot."""
+        slots = self.hash.slots(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))).tolist()
+        return [self.ids[slot] if slot >= 0 and self.entries[slot] == piece else None for slot, piece in zip(slots, pieces, strict=True)]
+
+    def merge(self, piece: bytes) -> list[int]:
         """Merges by rank, leftmost first among equals: parts are a linked list over byte positions, pairs wait in a heap."""
-        n, rank = len(piece), self.ranks.get
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
-        before = list(range(-1, n - 1))
-        # A pair waits as one integer: rank, start and end, of 32 bits each.
-        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        n, rank, pair = len(piece), self.ranks.get, self.pair
+        end = list(range(1, n + 2))  # where the part that starts here ends; n once it is merged away, and nothing ends at 0
+        end[n] = 0
+        before = list(range(-1, n))
+        # A pair waits as one integer: rank, start and end, the latter of as many bits as positions need.
+        bits = n.bit_length()
+        mask, high = (1 << bits) - 1, 2 * bits
+        heap = [r << high | i << bits | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pair[a << 8 | b]) is not None]
         heapify(heap)
         while heap:
-            pair = heappop(heap)
-            i, stop = pair >> 32 & 0xFFFFFFFF, pair & 0xFFFFFFFF
+            least = heappop(heap)
+            i, stop = least >> bits & mask, least & mask
             middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
+            if end[middle] != stop:
                 continue  # a part of this pair has changed meanwhile
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                after = end[stop]
-                if (r := rank(piece[i:after])) is not None:
-                    heappush(heap, r << 64 | i << 32 | after)
-            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
-                heappush(heap, r << 64 | p << 32 | stop)
+            end[i], end[middle], before[stop] = stop, n, i
+            if stop < n and (r := rank(piece[i : (after := end[stop])])) is not None:
+                heappush(heap, r << high | i << bits | after)
+            if i and (r := rank(piece[(p := before[i]) : stop])) is not None:
+                heappush(heap, r << high | p << bits | stop)
         out, i = [], 0
         while i < n:
-            out.append(rank(piece[i : end[i]]))
-            i = end[i]
-        return tuple(out)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.lookup(data)
-        return self.merge(data) if whole is None else (whole,)
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """A word with the space before it."""
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(" " + word))))
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if _LOOSE.search(text):
-            return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
-        # Each space starts a pre-token here, so the text can be cut before every space.
-        first, *words = text.split(" ")
-        return list(chain(chain.from_iterable(map(self.pieces.__getitem__, self.find(first))), chain.from_iterable(map(self.words.__getitem__, words))))
-
-    def decode(self, ids: list[int]) -> bytes:
-        if ids and (min(ids) < 0 or max(ids) >= len(self.bytes_of)):
+            out.append(rank(piece[i : (i := end[i])]))
+        return out
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = self.pieces.missing(pieces)
+        known, coded = self.pieces.now, [p.encode() for p in new]
+        for name, piece, whole in zip(new, coded, self.lookup(coded), strict=True):
+            ids = self.merge(piece) if whole is None else (whole,)
+            known[name] = pack(f"={len(ids)}i", *ids)
+
+    def _cut_word(self, word: str, before: str) -> list[str]:
+        """The pre-tokens of a word and what stands before it; the usual kinds need no pattern."""
+        if word.isalpha():
+            return [before + word]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [before + word[:-1], word[-1]]
+        return self.find(before + word)
+
+    def _learn_words(self, memory: _Memory, words: set[str], before: str) -> None:
+        new = memory.missing(words)
+        found = [self._cut_word(w, before) for w in new]
+        self._learn_pieces(set(chain.from_iterable(found)))
+        known = self.pieces.now
+        memory.now |= {w: known[some[0]] if len(some) == 1 else b"".join([known[p] for p in some]) for w, some in zip(new, found, strict=True)}
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text as raw 32-bit integers of the machine."""
+        cuts: list[tuple[list[str], list[list[str]]] | list[str]] = []
+        firsts, words, pieces = set(), set(), set()
+        for text in texts:
+            if not self.cut or _LOOSE.search(text):
+                found = self.find(text)
+                pieces.update(found)
+                cuts.append(found)
+            else:
+                # Every space starts a pre-token here and every line break is one, so lines are cut before their spaces.
+                lines = [line.split(" ") for line in text.split("\n")]
+                for line in lines:
+                    words.update(line[1:])
+                firsts.update(line[0] for line in lines)
+                cuts.append(lines)
+        firsts.add("\n")
+        self._learn_words(self.firsts, firsts, "")
+        self._learn_words(self.words, words, " ")
+        self._learn_pieces(pieces)
+        first, word, piece, gap = self.firsts.now.__getitem__, self.words.now.__getitem__, self.pieces.now.__getitem__, self.firsts.now["\n"]
+        out = []
+        for own in cuts:
+            if own and isinstance(own[0], list):
+                out.append(gap.join([first(line[0]) + b"".join(map(word, line[1:])) for line in own]))
+            else:
+                out.append(b"".join(map(piece, own)))
+        return out
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids; `ends` tells where runs end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.bytes_of)):
             raise ValueError("an id outside the vocabulary")
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-
-#: The codec of this worker process, by a digest of its file and pattern.
-_codecs: dict[str, ByteBpe] = {}
+        length = self.length[ids]
+        upto = np.cumsum(length)
+        whole = self.blob[np.repeat(self.start[ids] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        stops = np.concatenate(([0], upto))[ends].tolist()
+        return [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def _codec(data: bytes, pattern: str) -> ByteBpe:
-    name = xxhash.xxh128_hexdigest(data + pattern.encode())
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = ByteBpe.from_file(data, pattern)
-    return _codecs[name]
+    """The codec of this worker process."""
+    return kept(("bpe", xxhash.xxh128_hexdigest(data + pattern.encode())), lambda: ByteBpe.from_file(data, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, decode: bool = False) -> DataFrame:
@@ -158,12 +184,12 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, decode: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch in slices(batches):
-            ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            coded = codec.encode([text or "" for text in batch.column(1).to_pylist()])
+            flat = np.frombuffer(b"".join(coded), np.int32)
+            ends = np.cumsum([len(x) // 4 for x in coded])
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))]
             if decode:
-                columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
+                columns.append(pa.array(codec.decode(flat, ends), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -177,7 +203,9 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
+            own = [x or [] for x in batch.column(1).to_pylist()]
+            found = codec.decode(np.fromiter(chain.from_iterable(own), np.int64), np.cumsum([len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")

@@ -1,24 +1,27 @@
-"""What the document operators share: reading a table, Arrow slices, shared storage and row keys."""
+"""What the document operators share: reading a table, Arrow slices, what a worker keeps, and row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchpost.sources.shared import shared_dir, written
+
+__all__ = ["as_bytes", "fresh", "hash_sample", "held_out", "kept", "lower_ascii", "shared_dir", "slices", "table", "written"]
+
 #: The white space that separates words, code points 32 and 9 to 13, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of a batch that are turned into Python objects at once.
-SLICE_ROWS = 256
-#: Keys that hash_sample draws for.
-MOST_KEYS = 10_000
+#: Rows of a batch, and bytes of its texts, that are turned into Python objects at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of few rows, which bounds the Python objects alive at once."""
+    """The same rows in batches of few rows and bytes, which bounds the Python objects alive at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+_kept: dict[tuple, Any] = {}
+
+
+def kept(name: tuple, make: Callable[[], Any]) -> Any:
+    """What this worker process made under that name. A worker keeps one such thing: those of other operators and stages leave, so
+    that a pipeline's memory is that of its largest stage."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -37,19 +61,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share: under spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-watchpost-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage ends there and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """These names, with underscores before those that columns of df have already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def held_out(doc_id: Column, modulus: int) -> Column:
@@ -62,12 +82,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, drawn: Column, rows: int) -> DataFrame:
-    """At most `rows` rows of each key, in the order of a hash, with their rank as `_r`. Rows that can't be among them leave
-    before any shuffle by key, so a key that holds most rows costs its task no more than about twice `rows`."""
-    place = F.pmod(drawn, F.lit(1 << 40))
-    placed = df.withColumn("_place", place)
-    # The most frequent keys only, which bounds the broadcast; others aren't sampled.
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), key).limit(MOST_KEYS)
-    near = placed.join(F.broadcast(sizes), key).where(F.col("_place") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2 * rows + 100) / F.col("_size")))
-    order = Window.partitionBy(key).orderBy("_place", *[c for c in df.columns if c != key])
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).drop("_place", "_size")
+    """At most `rows` rows of each key, those of the least hashes, with their rank as `_r`. Rows that can't be among them leave
+    before any shuffle of rows by key; the others are ranked within their partition first, so that no task gets a whole hot key."""
+    placed = df.withColumn("_place", F.pmod(drawn, F.lit(1 << 40)))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    near = placed.join(sizes, key).where(F.col("_place") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2 * rows + 100) / F.col("_size")))
+    rest = ["_place", *[c for c in df.columns if c != key]]
+    ranked = near.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*rest)))
+    return ranked.where(F.col("_r") <= rows).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*rest))).where(F.col("_r") <= rows).drop("_place", "_size", "_part")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, slices
+from watchpost.llm.common import as_bytes, kept, slices
 
 WIDTH = 5
 COVERED = 0.8
@@ -88,7 +88,6 @@ def forms(word: bytes) -> tuple[bytes, bytes, bytes]:
     return plain, plain, b"\x01name" if named else plain
 
 
-_words = _Words()
 _SLOTS = frozenset((b"\x01number", b"\x01unit", b"\x01name"))
 
 
@@ -96,15 +95,16 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None) -
     """For each text and form: text number, kind, window hashes, positions, slots. With `wanted`, only windows whose
     hash is in its sorted array, pre-filtered by its table of high bits."""
     words = [t.split() for t in texts]
+    _words = kept(("decontam",), _Words)
     _words.learn(set().union(*words))
     lengths = np.array([len(w) for w in words])
     n = int(lengths.sum())
     ids = np.fromiter(map(_words.number.__getitem__, chain.from_iterable(words)), np.int64, n)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    ends, kept = _words.flags[ids, 0], _words.flags[ids, 1]
+    ends, stays = _words.flags[ids, 0], _words.flags[ids, 1]
     starts_sentence = np.ones(n, bool)
     starts_sentence[1:] = ends[:-1] | (owner[1:] != owner[:-1])
-    raw = np.flatnonzero(kept)  # where each word that is left stands in the text
+    raw = np.flatnonzero(stays)  # where each word that is left stands in the text
     ids, owner, starts_sentence = ids[raw], owner[raw], starts_sentence[raw]
     if len(ids) < WIDTH:
         return

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, slices, written
+from watchpost.llm.common import as_bytes, kept, slices, written
 
 CLASSES, BUCKETS, DIM = 1024, 256, 16
 HOT = 131_072
@@ -216,13 +216,13 @@ def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums.n or 0, sums.v
     # The smallest count of a frequent word, such that no more than HOT words have it.
-    floor, kept = 1, 0
+    floor, taken = 1, 0
     for row in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toLocalIterator():
-        if kept + row.k > HOT:
+        if taken + row.k > HOT:
             floor = row.c + 1
             break
-        kept += row.k
-    hot = counts.where(F.col("c") >= floor).toPandas() if kept else counts.limit(0).toPandas()
+        taken += row.k
+    hot = counts.where(F.col("c") >= floor).toPandas() if taken else counts.limit(0).toPandas()
     h, c = hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
     buckets = hot["bucket"].to_numpy(np.int64)
     order = np.lexsort((h, -c))
@@ -254,22 +254,15 @@ def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
     return model, counts
 
 
-#: The model of this worker process, by the name of its use: it remembers words and normalisers between tasks.
-_models: dict[str, Lbl] = {}
-
-
 def score(docs: DataFrame, model: Lbl, counts: DataFrame, *keep: Column) -> DataFrame:
     """(doc_id, keep.., n_tokens, n_known, train_tokens, base_score, score) for each row; scores are log10 of the text's probability."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
     source = docs.select("text", "doc_id", *keep)
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
-    kept = source.columns[1:]
+    passed = source.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = shared.value
-        own = _models[name]
+        own = kept(("lbl", name), lambda: shared.value)  # it remembers words and normalisers between tasks
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             ids, cls, one, two, starts = own.classes(as_bytes(batch.column(0)))
@@ -286,7 +279,7 @@ def score(docs: DataFrame, model: Lbl, counts: DataFrame, *keep: Column) -> Data
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(np.arange(row, row + n)), pa.array(lengths), pa.array(hot), pa.array(base), pa.array(model_sum), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))],
-                [*kept, "_row", "n_tokens", "_hot", "_base", "_model", "_words", "_times"],
+                [*passed, "_row", "n_tokens", "_hot", "_base", "_model", "_words", "_times"],
             )
             row += n
 
@@ -297,6 +290,6 @@ def score(docs: DataFrame, model: Lbl, counts: DataFrame, *keep: Column) -> Data
     more = F.coalesce("_rare", F.lit(0.0))
     denominator = float(np.log10(model.total + model.distinct + 1))
     return joined.select(
-        *kept, "n_tokens", (F.col("_hot") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        *passed, "n_tokens", (F.col("_hot") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("_base") + more - F.col("n_tokens") * denominator).alias("base_score"), (F.col("_model") + more).alias("score"),
     )

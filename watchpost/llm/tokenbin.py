@@ -18,6 +18,7 @@ that repeat a doc_id follow each other, by text. Input columns other than doc_id
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, shared_dir, slices
+from watchpost.llm.common import as_bytes, kept, shared_dir, slices
 from watchpost.llm.mphash import PerfectHash, mix
 
 MAGIC = b"TOKSHRD1"
@@ -143,18 +144,10 @@ class _Encoder:
         return [b"".join([*map(self.known.__getitem__, some), end]) for some in words]
 
 
-_encoders: dict[tuple[str, int], _Encoder] = {}
-
-
 def _encoder(spec: str, width: int) -> _Encoder:
-    name = (xxhash.xxh128_hexdigest(spec), width)
-    if name not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
-        _encoders.clear()
-        _encoders[name] = _Encoder(spec, width)
-    return _encoders[name]
+    """The encoder of this worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
+    return kept(("tokens", xxhash.xxh128_hexdigest(spec), width), lambda: _Encoder(spec, width))
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1) -> None:
