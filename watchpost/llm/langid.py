@@ -1,104 +1,129 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language gets a model of characters within words: a word is lower-cased, padded with a boundary mark on both sides
-and read with up to `order` - 1 characters of context. Interpolated Kneser-Ney probabilities of all n-grams that any
-language has seen are put into one sorted array of n-gram hashes per order, with a column per language, so that a look-up
-by binary search scores all languages at once. A text's score for a language is its cross-entropy per character; the lowest
-one wins. A text is rejected when it has no letter, or when its cross-entropy lies above a limit calibrated on the training
-texts of that language, wider for short texts.
-
-Training takes a bounded sample of the labelled rows: whole texts in hash order until `sample_chars` characters are reached
-(over all languages together; a text that would cross the bound isn't taken, but each language gets its first `MIN_TEXTS` of up to
-`LONGEST` characters).
-
-Defined cases: null texts and texts without a letter are `und` with score 0; equal cross-entropies go to the first language
-by name; rows without a language aren't learned; without any labelled row all is `und`. Other columns pass unseen.
+Each language gets a model of characters within words: a word is lower-cased, gets a mark on both sides and is read with up to
+`order` - 1 characters of context, the start mark among them. Counts are Kneser-Ney's: occurrences for the longest n-grams and for those that
+begin with the start mark, distinct left neighbours for the others. Each order is interpolated with the next shorter one and the
+shortest with a uniform share over all languages' characters and one unseen character, so that probabilities of the next
+character sum to 1 in every context. Probabilities of all n-grams that any language has seen are put into one sorted array of
+n-gram hashes per order, with a column per language, so that a look-up by binary search scores all languages at once. A text's score for a
+language is its cross-entropy per character; the lowest one wins.
+
+Rejection is calibrated on labelled texts that the models haven't learned: excerpts of 1, 2, 4, .. words of them give the
+cross-entropies of true texts of each length, and a limit lies where an exponential tail would leave `FALSE_REJECTS` of them. A text
+without a letter, or above its length's limit, is rejected.
+
+Training takes a bounded sample of the labelled rows: texts in hash order until `sample_chars` characters are reached, in equal shares
+for the languages; a text of over an eighth of a share is left to others.
+
+Defined cases: null texts and texts without a letter (marks alone are none) are `und` with score 0; equal cross-entropies go to the
+first language by name; rows without a language aren't learned; without any labelled row all is `und`. Rows that repeat are
+learned once and judged each. Other columns pass unseen.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import hash_sample, slices
+from watchpost.llm.common import hash_sample, kept, slices, written
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Bound of the training sample, in characters over all languages.
-SAMPLE_CHARS = 6_000_000
-#: Rows of a language that are looked at in hash order, and texts longer than this are left to others.
-SAMPLE_ROWS, LONGEST = 3000, 200_000
-MIN_TEXTS = 20
+#: Bound of the training sample, in characters over all languages, and the rows of a language that it draws from.
+SAMPLE_CHARS, SAMPLE_ROWS = 6_000_000, 3000
+#: Share of true texts that rejection may cost, by its calibration; one text in APART is kept for that.
+FALSE_REJECTS, APART = 1e-4, 5
+#: Fewer texts apart than this calibrate nothing: then only texts without a letter are rejected.
+LEAST_APART = 30
+#: Lengths of excerpts: 1, 2, 4, .. words.
+LENGTHS = 12
 REMEMBERED = 200_000
 UND = "und"
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _PAD = np.uint32(0x110000)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each n-gram length, the hash of the n-gram that ends at each scored character (0: the word hasn't that much
-    context), and the word of each scored character. The end mark is scored, the start mark only gives context."""
+def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each n-gram length, the hash of the n-gram that ends at each character of the marked words (0: the word hasn't that much
+    before it); the place of each character in its word, 0 at the start mark, and its word."""
     lengths = np.array([len(w) for w in words], np.int64) + 2
     total = int(lengths.sum())
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    starts = np.cumsum(lengths) - lengths
     chars = np.full(total, _PAD, np.uint32)
     inner = np.ones(total, bool)
     inner[starts] = inner[starts + lengths - 1] = False
-    chars[inner] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    chars[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     place = np.arange(total) - np.repeat(starts, lengths)
-    word = np.repeat(np.arange(len(words)), lengths)
-    scored = place > 0
-    out, running = [], np.zeros(total, np.uint64)
+    out = []
     with np.errstate(over="ignore"):
         one = (chars.astype(np.uint64) + np.uint64(1)) * _BASE
         one ^= one >> np.uint64(29)
+        running = one
         for n in range(1, order + 1):
-            if n == 1:
-                running = one.copy()
-            else:  # longer by one character on the left
+            if n > 1:  # longer by one character on the left
                 moved = np.zeros(total, np.uint64)
-                moved[n - 1 :] = one[: total - n + 1]
+                moved[n - 1 :] = one[: max(0, total - n + 1)]
                 running = (running * np.uint64(0xBF58476D1CE4E5B9)) ^ (moved + np.uint64(n))
                 running ^= running >> np.uint64(31)
-            out.append(np.where(place >= n - 1, np.maximum(running, np.uint64(1)), np.uint64(0))[scored])
-    return out, word[scored]
+            out.append(np.where(place >= n - 1, np.maximum(running, np.uint64(1)), np.uint64(0)))
+    return out, place, np.repeat(np.arange(len(words)), lengths)
+
+
+def _counts(words: Counter[str], order: int) -> list[dict]:
+    """For each length: the n-grams, their Kneser-Ney counts, their contexts and their shorter n-grams."""
+    grams, place, word = _grams(list(words), order)
+    times = np.fromiter(words.values(), np.float64, len(words))[word]
+    out = []
+    for n in range(order):
+        here = np.flatnonzero((place > 0) & (place >= n))
+        gram = grams[n][here]
+        keys, first, which = np.unique(gram, return_index=True, return_inverse=True)
+        count = np.bincount(which, times[here], len(keys))
+        if n + 1 < order:
+            longer = grams[n + 1][here]
+            _, distinct = np.unique(longer, return_index=True)
+            distinct = distinct[longer[distinct] != 0]
+            begins = longer == 0  # with the start mark, which has no left neighbour
+            count = np.bincount(which[distinct], minlength=len(keys)) + np.bincount(which[begins], times[here][begins], len(keys))
+        context = grams[n - 1][here - 1] if n else np.zeros(len(here), np.uint64)
+        short = grams[n - 1][here] if n else np.zeros(len(here), np.uint64)
+        out.append({"gram": keys, "context": context[first], "short": short[first], "count": count.astype(float)})
+    return out
 
 
 class KneserNey:
     """`keys[n]` sorted hashes of n-grams of length n + 1, `values[n]` their log-probabilities (languages in columns),
-    `backoff[n]` the log-weights of the contexts in `contexts[n]`."""
+    `backoff[n]` the log-weights that contexts in `contexts[n]` leave to the shorter n-gram, `limits` by length and language."""
 
-    def __init__(self, languages: list[str], keys, values, contexts, backoff, unseen, limits):
+    def __init__(self, languages: list[str], keys, values, contexts, backoff, unseen: float, limits: np.ndarray):
         self.languages, self.keys, self.values, self.contexts, self.backoff = languages, keys, values, contexts, backoff
         self.unseen, self.limits = unseen, limits
         self.forget()
 
     @classmethod
     def train(cls, texts: dict[str, list[str]], order: int = ORDER) -> KneserNey:
-        languages = sorted(lang for lang, own in texts.items() if any(map(_WORD.search, own)))
+        learned = {lang: [t for i, t in enumerate(own) if i % APART != APART - 1] for lang, own in texts.items()}
+        counters = {lang: Counter(w for t in own for w in _WORD.findall(t.lower())) for lang, own in learned.items()}
+        languages = sorted(lang for lang, own in counters.items() if own)
         if not languages:
-            return cls([], [], [], [], [], np.zeros(0, np.float32), np.zeros((0, 2)))
-        per = [_counts(_WORD.findall("\n".join(texts[lang]).lower()), order) for lang in languages]
-        keys, values, contexts, backoff = [], [], [], []
-        alphabet = max(2, len(np.unique(np.concatenate([p[0]["gram"] for p in per] or [np.zeros(1, np.uint64)]))))
-        unseen = np.full(len(languages), 1.0 / alphabet / 100)
-        lower: list[dict] = []
+            return cls([], [], [], [], [], 0.0, np.zeros((LENGTHS, 0)))
+        per = [_counts(counters[lang], order) for lang in languages]
+        keys, values, contexts, backoff, shorter = [], [], [], [], None
+        unseen = 1.0 / (len(np.unique(np.concatenate([p[0]["gram"] for p in per]))) + 1)
         for n in range(order):
             all_keys = np.unique(np.concatenate([p[n]["gram"] for p in per]))
             all_contexts = np.unique(np.concatenate([p[n]["context"] for p in per]))
-            table = np.zeros((len(all_keys), len(languages)))
-            weights = np.ones((len(all_contexts), len(languages)))
+            p_all, weights = np.zeros((len(all_keys), len(languages))), np.ones((len(all_contexts), len(languages)))
             # Which context, and which shorter n-gram, each n-gram has; the same for all languages.
-            context_of = np.zeros(len(all_keys), np.uint64)
-            short_of = np.zeros(len(all_keys), np.uint64)
+            context_of, short_of = np.zeros(len(all_keys), np.uint64), np.zeros(len(all_keys), np.uint64)
             for p in per:
                 at = np.searchsorted(all_keys, p[n]["gram"])
                 context_of[at], short_of[at] = p[n]["context"], p[n]["short"]
@@ -107,43 +132,50 @@ class KneserNey:
                 count = np.zeros(len(all_keys))
                 count[np.searchsorted(all_keys, p[n]["gram"])] = p[n]["count"]
                 total = np.bincount(at_context, count, len(all_contexts))
-                kinds = np.bincount(at_context, count > 0, len(all_contexts))
                 seen = total > 0
-                weights[seen, j] = DISCOUNT * kinds[seen] / total[seen]
-                safe = np.where(seen, total, 1)[at_context]
-                table[:, j] = np.maximum(count - DISCOUNT, 0) / safe
-            if n == 0:
-                base = np.repeat(unseen[None, :], len(all_keys), 0)
-            else:
-                at = np.searchsorted(lower[n - 1]["keys"], short_of)
-                base = lower[n - 1]["p"][at]
-            p_all = table + weights[at_context] * base
-            lower.append({"keys": all_keys, "p": p_all})
+                weights[seen, j] = DISCOUNT * np.bincount(at_context, count > 0, len(all_contexts))[seen] / total[seen]
+                p_all[:, j] = np.maximum(count - DISCOUNT, 0) / np.where(seen, total, 1)[at_context]
+            p_all += weights[at_context] * (unseen if n == 0 else shorter[np.searchsorted(keys[n - 1], short_of)])
             keys.append(all_keys)
             values.append(np.log(p_all).astype(np.float32))
             contexts.append(all_contexts)
             backoff.append(np.log(weights).astype(np.float32))
-        model = cls(languages, keys, values, contexts, backoff, np.log(unseen).astype(np.float32), np.zeros((len(languages), 2)))
+            shorter = p_all
+        model = cls(languages, keys, values, contexts, backoff, float(np.log(unseen)), np.full((LENGTHS, len(languages)), np.inf))
         for j, lang in enumerate(languages):
-            found = []
-            for i in range(0, len(texts[lang]), 256):
-                words = [w for t in texts[lang][i : i + 256] if (w := _WORD.findall(t.lower()))]
-                model.learn(set().union(*words))
-                found += [model._entropy(w)[0][j] for w in words]
-            model.limits[j] = (np.mean(found), max(0.1, np.std(found))) if found else (0.0, 0.1)
+            model.limits[:, j] = model._calibrated(j, texts[lang][APART - 1 :: APART])
         model.forget()
         return model
 
+    def _calibrated(self, j: int, apart: list[str]) -> np.ndarray:
+        """Limits of cross-entropy by length, from excerpts of texts of language j."""
+        found: list[list[float]] = [[] for _ in range(LENGTHS)]
+        for text in apart:
+            words = _WORD.findall(text.lower())
+            self.learn(set(words))
+            for b in range(LENGTHS):
+                if len(words) >= 1 << b:
+                    for start in np.unique(np.linspace(0, len(words) - (1 << b), 8).astype(int)).tolist():
+                        found[b].append(self._entropy(words[start : start + (1 << b)])[0][j])
+        out, last = np.full(LENGTHS, np.inf), np.inf
+        for b, own in enumerate(found):
+            if len(apart) >= LEAST_APART and len(own) >= 10:
+                high = np.quantile(own, 0.9)
+                beyond = [x - high for x in own if x > high]
+                last = min(last, high + max(0.05, float(np.mean(beyond)) if beyond else 0.0) * np.log(0.1 / FALSE_REJECTS))
+            out[b] = last
+        return out
+
     def forget(self) -> None:
         """Drops the remembered words."""
         self.known, self.sums = {}, np.zeros((0, len(self.languages)), np.float32)
 
-    def _word_sums(self, words: list[str]) -> np.ndarray:
-        """Summed log-probability of each word under each language."""
-        grams, word = _grams(words, len(self.keys))
-        n = len(word)
-        out = np.zeros((n, len(self.languages)), np.float32)
-        left, weight = np.arange(n), np.zeros((n, len(self.languages)), np.float32)
+    def log_probabilities(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each character after the start mark, the end mark included: its log-probability under each language, and its word."""
+        grams, place, word = _grams(words, len(self.keys))
+        scored = np.flatnonzero(place > 0)
+        out = np.zeros((len(place), len(self.languages)), np.float32)
+        left, weight = scored, np.zeros((len(place), len(self.languages)), np.float32)
         for k in range(len(self.keys) - 1, -1, -1):
             if not len(left):
                 break
@@ -152,19 +184,19 @@ class KneserNey:
             hit = (self.keys[k][at] == gram) & (gram != 0)
             done = left[hit]
             out[done] = weight[done] + self.values[k][at[hit]]
-            left = left[~hit]
-            if len(left) and k > 0:  # the context, where it is known, says how much goes to shorter ones
-                context = _context_hash(grams, k, left)
+            left, gram = left[~hit], gram[~hit]
+            if len(left):  # the context, where it is known, says how much goes to shorter ones
+                context = grams[k - 1][left - 1] if k else np.zeros(len(left), np.uint64)
                 at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-                known = (self.contexts[k][at] == context) & (context != 0)
+                known = (self.contexts[k][at] == context) & (gram != 0)
                 weight[left[known]] += self.backoff[k][at[known]]
-        if len(left):
-            at0 = self.backoff[0][0] if len(self.backoff[0]) else 0
-            out[left] = weight[left] + at0 + self.unseen
-        sums = np.zeros((len(words), len(self.languages)), np.float32)
-        for j in range(len(self.languages)):
-            sums[:, j] = np.bincount(word, out[:, j], len(words))
-        return sums
+        out[left] = weight[left] + self.unseen
+        return out[scored], word[scored]
+
+    def _word_sums(self, words: list[str]) -> np.ndarray:
+        """Summed log-probability of each word under each language."""
+        p, word = self.log_probabilities(words)
+        return np.add.reduceat(p, np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
 
     def learn(self, words: set[str]) -> None:
         """Scores words that are not remembered; beyond the bound all are forgotten first."""
@@ -179,23 +211,22 @@ class KneserNey:
                 self.sums[start + i : start + i + len(new[i : i + 20_000])] = self._word_sums(new[i : i + 20_000])
             self.known |= {w: i for i, w in enumerate(new, start)}
 
-    def cross_entropy(self, text: str) -> tuple[np.ndarray, int]:
-        """Nats per character for each language, and the number of characters scored."""
-        words = _WORD.findall(text.lower())
-        self.learn(set(words))
-        return self._entropy(words) if words else (np.zeros(len(self.languages)), 0)
-
     def _entropy(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """The same for words that are remembered."""
+        """Nats per character for each language, and the number of characters, of words that are remembered."""
         n = sum(map(len, words)) + len(words)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return -self.sums[at].sum(0, dtype=np.float64) / n, n
 
+    def cross_entropy(self, text: str) -> tuple[np.ndarray, int]:
+        words = _WORD.findall(text.lower())
+        self.learn(set(words))
+        return self._entropy(words) if words else (np.zeros(len(self.languages)), 0)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """Language, score and whether the text is rejected, of each text."""
         all_words = [_WORD.findall(t.lower()) for t in texts]
         if self.languages:
-            self.learn(set().union(*all_words)) if all_words else None
+            self.learn(set().union(*all_words))
         out = []
         for words in all_words:
             if not words or not self.languages:
@@ -204,70 +235,23 @@ class KneserNey:
             ce, n = self._entropy(words)
             best = int(np.argmin(ce))
             share = np.exp(-(ce - ce[best]) * min(n, 50))
-            mean, spread = self.limits[best]
-            out.append((self.languages[best], float(1 / share.sum()), bool(ce[best] > mean + spread * (6 + 60 / np.sqrt(n)))))
+            out.append((self.languages[best], float(1 / share.sum()), bool(ce[best] > self.limits[min(len(words).bit_length(), LENGTHS) - 1, best])))
         return out
 
 
-def _context_hash(grams: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
-    """Contexts of n-grams of length k + 1: the n-gram of length k that ends one character before, 0 at a word's start."""
-    before = at - 1
-    context = np.where(before >= 0, grams[k - 1][before], np.uint64(0))
-    # The scored character before belongs to the same word unless this one is the word's first, whose context is the mark.
-    first = grams[1][at] if len(grams) > 1 else at * 0
-    return np.where(grams[k][at] == 0, np.uint64(0), np.where(_is_first(grams, at), first ^ np.uint64(k), context))
-
-
-def _is_first(grams: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Whether a scored character is the first of its word: it has a bigram with the start mark but no trigram."""
-    return grams[2][at] == 0 if len(grams) > 2 else np.zeros(len(at), bool)
-
-
-def _counts(words: list[str], order: int) -> list[dict]:
-    """For each length: the n-grams, their Kneser-Ney counts (occurrences for the longest, distinct left neighbours for
-    the others), their contexts and their shorter n-grams."""
-    if not words:
-        empty = np.zeros(0, np.uint64)
-        return [{"gram": empty, "context": empty, "short": empty, "count": np.zeros(0)} for _ in range(order)]
-    grams, _ = _grams(words, order)
-    out = []
-    for n in range(order):
-        here = np.flatnonzero(grams[n] != 0)
-        gram = grams[n][here]
-        context = _context_hash(grams, n, here) if n else np.zeros(len(here), np.uint64)
-        short = grams[n - 1][here] if n else np.zeros(len(here), np.uint64)
-        keys, first, counts = np.unique(gram, return_index=True, return_counts=True)
-        if n + 1 < order:
-            # Left neighbours: distinct longer n-grams that end in this one; at a word's start the occurrences themselves.
-            longer = grams[n + 1][here]
-            _, distinct = np.unique(longer, return_index=True)
-            distinct = distinct[longer[distinct] != 0]
-            kinds = np.bincount(np.searchsorted(keys, gram[distinct]), minlength=len(keys))
-            at_start = np.bincount(np.searchsorted(keys, gram[longer == 0]), minlength=len(keys))
-            counts = kinds + at_start
-        out.append({"gram": keys, "context": context[first], "short": short[first], "count": counts.astype(float)})
-    return out
-
-
 def training_sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Whole texts by language, in hash order, within the bound."""
-    ranked = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"), F.length("text").alias("_n")).where(F.col("_n") <= LONGEST)
-    # Ranks need only hashes and lengths; the texts of the chosen hashes follow by a join with that small table.
-    first = hash_sample(ranked.select("lang", "_h", "_n"), "lang", F.col("_h"), SAMPLE_ROWS)
-    sizes = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_r", "_h", "_n"))).alias("rows")).collect()
-    bound = sample_chars // max(1, len(sizes))
-    chosen = []
-    for row in sizes:
-        spent = 0
-        for x in row.rows:
-            if spent + x._n <= bound or x._r <= MIN_TEXTS:
-                spent += x._n
-                chosen.append((row.lang, x._h))
-    if not chosen:
+    """Texts by language, in hash order, within the bound."""
+    marked = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"), F.length("text").alias("_n"))
+    spoken = marked.select("lang").distinct().count()
+    if not spoken:
         return {}
-    picked = docs.sparkSession.createDataFrame(chosen, "lang string, _h long").distinct()
+    bound = sample_chars // spoken
+    short = marked.where(F.col("_n") <= bound // 8)
+    # Ranks need only hashes and lengths; the texts of the chosen hashes follow by a join with that small table.
+    first = hash_sample(short.select("lang", "_h", "_n").distinct(), "lang", F.col("_h"), SAMPLE_ROWS)
+    chosen = first.withColumn("_sum", F.sum("_n").over(Window.partitionBy("lang").orderBy("_r"))).where(F.col("_sum") <= bound).select("lang", "_h")
     texts: dict[str, list[str]] = {}
-    for row in ranked.join(F.broadcast(picked), ["lang", "_h"]).select("lang", "_h", "text").dropDuplicates(["lang", "_h"]).orderBy("lang", "_h").toLocalIterator():
+    for row in short.join(written(chosen), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "_h", "text").orderBy("lang", "_h").toLocalIterator():
         texts.setdefault(row.lang, []).append(row.text)
     return texts
 
@@ -276,24 +260,19 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
     return KneserNey.train(training_sample(docs, sample_chars))
 
 
-#: The model of this worker process, by the name of its use: it remembers words between tasks.
-_models: dict[str, KneserNey] = {}
-
-
-def predict(docs: DataFrame, model: KneserNey, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (doc_id if not given) with lang_pred, score and rejected for each row. No shuffle."""
+def predict(docs: DataFrame, model: KneserNey, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns of `keep` (doc_id if not given) with the predicted language, its score and whether it is rejected, under `names`, for each
+    row. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
-    names = [*keep, "lang_pred", "score", "rejected"]
+    columns = [*keep, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = shared.value
-        own = _models[name]
+        own = kept(("langid", name), lambda: shared.value)  # it remembers words between tasks
         for batch in slices(batches):
             found = own.predict([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], columns)
 
     kinds = "".join(f"`{f}` {docs.schema[f].dataType.simpleString()}, " for f in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}lang_pred string, score double, rejected boolean")
+    # Plain names on the way in, whatever the columns are called.
+    return docs.select(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kinds}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
