@@ -11,8 +11,7 @@ rows a task. What comes back to the documents is one compressed keep bitmap each
 
 Defined cases: null or empty text is one empty line; a null doc_id is one document below all others; rows that repeat a
 doc_id are one document when documents are counted, and each keeps its own text; a key repeated within the largest
-document stays each time. Extra columns pass through; no column of the input may be called `keep_bitmap`, `n_lines` or
-`n_dropped` (they are replaced).
+document stays each time. Extra columns pass through, whatever they are called; only those under the two names of the counts are replaced.
 """
 
 from __future__ import annotations
@@ -148,7 +147,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Dat
     return gone.mapInArrow(_bitmaps, "doc long, row long, keep_bitmap binary")
 
 
-def _apply(at_text: int, at_map: int, names: list[str], schema: pa.Schema | None = None):
+def _apply(at_text: int, at_map: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
@@ -169,11 +168,12 @@ def _apply(at_text: int, at_map: int, names: list[str], schema: pa.Schema | None
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
-    """docs with `text` cut to the lines that stay, and n_lines (before) and n_dropped."""
-    docs = docs.drop("keep_bitmap", "n_lines", "n_dropped")
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with `text` cut to the lines that stay, and the numbers of lines before and of lines dropped under `names`."""
+    docs = docs.drop(*names)
     bitmaps = keep_bitmaps(docs, min_docs, min_chars)
-    joined = docs.join(bitmaps, (_doc_key(docs) == bitmaps["doc"]) & (_row_key(docs) == bitmaps["row"]), "left").select(*[docs[c] for c in docs.columns], bitmaps["keep_bitmap"])
-    names = [*docs.columns, "n_lines", "n_dropped"]
+    # Plain names on the way into Python, whatever the columns are called.
+    plain = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    joined = docs.join(bitmaps, (_doc_key(docs) == bitmaps["doc"]) & (_row_key(docs) == bitmaps["row"]), "left").select(*plain, bitmaps["keep_bitmap"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_apply(docs.columns.index("text"), len(docs.columns), names), f"{kinds}, n_lines long, n_dropped long")
+    return joined.mapInArrow(_apply(docs.columns.index("text"), len(docs.columns), [*docs.columns, *names]), f"{kinds}, `{names[0]}` long, `{names[1]}` long")
