@@ -251,7 +251,8 @@ def training_sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[s
     first = hash_sample(short.select("lang", "_h", "_n").distinct(), "lang", F.col("_h"), SAMPLE_ROWS)
     chosen = first.withColumn("_sum", F.sum("_n").over(Window.partitionBy("lang").orderBy("_r"))).where(F.col("_sum") <= bound).select("lang", "_h")
     texts: dict[str, list[str]] = {}
-    for row in short.join(written(chosen), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "_h", "text").orderBy("lang", "_h").toLocalIterator():
+    # Chosen keys are bounded by the characters of their texts, so they may be broadcast.
+    for row in short.join(F.broadcast(written(chosen)), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "_h", "text").orderBy("lang", "_h").toLocalIterator():
         texts.setdefault(row.lang, []).append(row.text)
     return texts
 
