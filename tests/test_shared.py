@@ -1,5 +1,7 @@
 """Tables in shared storage."""
 
+import os
+
 import pytest
 
 from watchpost.sources import shared
@@ -12,6 +14,14 @@ def test_written_keeps_rows_and_types(spark):
     assert shared.written(df.limit(0)).count() == 0
 
 
+def test_scratch_tables_leave_with_their_block(spark):
+    with shared.scratch(spark) as keep:
+        table = keep(spark.range(5))
+        (path,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        total = shared.written(table.groupBy().sum("id"))
+    assert total.first()[0] == 10 and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_folders_are_new_and_a_cluster_needs_shared_storage(spark, monkeypatch):
     assert shared.shared_dir(spark) != shared.shared_dir(spark)
 
