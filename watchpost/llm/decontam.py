@@ -5,11 +5,16 @@ typed placeholders for numbers, units and names (capitalised words). A capitalis
 not, and is read both ways. Windows of five words of both forms are hashed. Documents keep only windows whose hash some benchmark window has, told from a broadcast table of hashes that is
 filled in blocks of bounded size, so that a benchmark of any size takes more blocks, not more memory. The windows left are
 hash-joined with the benchmark's. A document holds an item if windows near each other cover 0.8 of the item's words: in
-plain form, or in template form when the slots agree, that is when equal values of the item are equal in the document.
+plain form, or in template form when the slots agree, that is when equal values of the item are equal in the document; or if a run
+of 30 words stands in both, whatever part of the item that is. Items of two to four words are one window of their own width, and
+an item of one word is held by documents of that word alone.
 
-Defined cases: null and empty documents and items match nothing, nor do items of fewer than five words; of rows that
-repeat both doc_id and text one decision holds for all; items that repeat an item_id are found under it. Other columns are not
-looked at, and `without_benchmark` passes them on.
+The join is bounded by an exact prefix filter: covering that much takes at least k of an item's window positions, so one of all but the
+k - 1 most frequent positions is among them. Only those rarer windows find candidates; frequent ones are looked up for candidates alone.
+
+Defined cases: null and empty documents and items match nothing; of rows that repeat both doc_id and text one decision holds
+for all; items that repeat an item_id are found under it, each by its own words. Other columns are not looked at, and
+`without_benchmark` passes them on.
 """
 
 from __future__ import annotations
@@ -21,17 +26,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchpost.llm.common import as_bytes, kept, slices
+from watchpost.llm.common import as_bytes, kept, slices, written
 
 WIDTH = 5
 COVERED = 0.8
+#: Words in a row, in plain form, that are proof by themselves.
+RUN = 30
 #: Distinct hashes of benchmark windows that are looked for in one pass over the documents.
 BLOCK = 4_000_000
 REMEMBERED = 300_000
-PLAIN, TEMPLATE = 0, 1
+#: Kinds of windows; items of n < WIDTH words have the kind SHORT + n.
+PLAIN, TEMPLATE, SHORT = 0, 1, 10
 _NUMBER = re.compile(rb"[$]?[+-]?[0-9][0-9.,:/]*[%]?$")
 _GLUED = re.compile(rb"[$]?[0-9][0-9.,]*[a-z]{1,3}$")
 # Words for numbers and units.
@@ -60,15 +68,26 @@ class _Words:
         if len(self.number) + len(new) > REMEMBERED:
             self.forget()
             new = words
-        start = len(self.number)
+        new = list(new)
+        start, digest, usual = len(self.number), xxhash.xxh64_intdigest, _NUMBER_WORDS | _UNITS
         while start + len(new) > len(self.rows):
             self.rows, self.flags = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
-        digest = xxhash.xxh64_intdigest
-        for i, word in enumerate(new, start):
-            self.number[word] = i
-            plain, first, inside = forms(word)
-            self.rows[i] = digest(plain), digest(first), digest(inside)
-            self.flags[i] = word[-1:] in b".!?", bool(plain)
+        rows, flags = [], []
+        for word in new:
+            ends = word[-1:] in b".!?"
+            stem = word[:-1] if ends else word
+            if stem.isalpha() and stem.islower() and stem not in usual:  # ASCII letters: all forms are the word
+                h = digest(stem)
+                rows.append((h, h, h))
+                flags.append((ends, True))
+            else:
+                plain, first, inside = forms(word)
+                rows.append((digest(plain), digest(first), digest(inside)))
+                flags.append((ends, bool(plain)))
+        if rows:
+            self.rows[start : start + len(rows)] = np.array(rows, np.uint64)
+            self.flags[start : start + len(rows)] = flags
+            self.number |= {w: i for i, w in enumerate(new, start)}
 
 
 def bare(word: bytes) -> bytes:
@@ -91,90 +110,113 @@ def forms(word: bytes) -> tuple[bytes, bytes, bytes]:
 _SLOTS = frozenset((b"\x01number", b"\x01unit", b"\x01name"))
 
 
-def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
-    """For each text and form: text number, kind, window hashes, positions, slots. With `wanted`, only windows whose
-    hash is in its sorted array, pre-filtered by its table of high bits."""
+def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, widths: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
+    """For each text and kind: text number, kind, window hashes, positions, slots. `widths` are those of short items. With `wanted`, only
+    windows whose hash is in its sorted array, pre-filtered by its table of high bits."""
     words = [t.split() for t in texts]
-    _words = kept(("decontam",), _Words)
-    _words.learn(set().union(*words))
+    remembered = kept(("decontam",), _Words)
+    remembered.learn(set().union(*words))
     lengths = np.array([len(w) for w in words])
     n = int(lengths.sum())
-    ids = np.fromiter(map(_words.number.__getitem__, chain.from_iterable(words)), np.int64, n)
+    ids = np.fromiter(map(remembered.number.__getitem__, chain.from_iterable(words)), np.int64, n)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    ends, stays = _words.flags[ids, 0], _words.flags[ids, 1]
+    ends, stays = remembered.flags[ids, 0], remembered.flags[ids, 1]
     starts_sentence = np.ones(n, bool)
     starts_sentence[1:] = ends[:-1] | (owner[1:] != owner[:-1])
     raw = np.flatnonzero(stays)  # where each word that is left stands in the text
     ids, owner, starts_sentence = ids[raw], owner[raw], starts_sentence[raw]
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    before = np.cumsum(lengths) - lengths
+    table = remembered.rows
+
+    def asked(sums: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Where windows that lie in one text are wanted."""
+        if wanted is None:
+            return np.flatnonzero(near)
+        known, bits = wanted
+        at = np.flatnonzero(near & bits[(sums >> np.uint64(44)).astype(np.int64)])
+        return at[known[np.minimum(np.searchsorted(known, sums[at]), len(known) - 1)] == sums[at]]
+
+    def hashed(parts: list[np.ndarray], kind: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            sums = np.full(len(parts[0]), np.uint64(kind + 1))
+            for part in parts:
+                sums = (sums ^ part) * _BASE
+                sums ^= sums >> np.uint64(32)
+        return sums
+
+    def by_text(sums: np.ndarray, at: np.ndarray, kind: int, way: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
+        for doc in np.unique(owner[at]).tolist():
+            here = owner[at] == doc
+            slots = []
+            for i in at[here].tolist():
+                found = []
+                if kind == TEMPLATE:
+                    for j in range(i, i + WIDTH):
+                        word = words[doc][raw[j] - before[doc]]
+                        if forms(word)[1 if starts_sentence[j] and not way >> (j - i) & 1 else 2] in _SLOTS:
+                            found.append(bare(word).decode("utf-8", "replace"))
+                slots.append(found)
+            yield doc, kind, sums[here].view(np.int64), (at[here] - first[doc]).astype(np.int32), slots
+
+    for width in widths:
+        if len(ids) >= width:
+            m = len(ids) - width + 1
+            near = owner[:m] == owner[width - 1 :]
+            if width == 1:
+                near = (first[1:] - first[:-1] == 1)[owner]
+            sums = hashed([table[ids[j : j + m], 0] for j in range(width)], SHORT + width)
+            at = asked(sums, near)
+            yield from by_text(sums[at], at, SHORT + width, 0)
     if len(ids) < WIDTH:
         return
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    before = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    table = _words.rows
-    for kind in (PLAIN, TEMPLATE):
-        h = table[ids, 0] if kind == PLAIN else np.where(starts_sentence, table[ids, 1], table[ids, 2])
-        m = len(h) - WIDTH + 1
-        whole = owner[:m] == owner[WIDTH - 1 :]
-        readings = [(0, None)]
-        if kind == TEMPLATE:
-            # A capitalised sentence start has two readings; windows that hold some are read in every way.
-            either = starts_sentence & (table[ids, 1] != table[ids, 2])
-            ways = np.zeros(m, np.uint8)
-            for j in range(WIDTH):
-                ways |= either[j : j + m].astype(np.uint8) << np.uint8(j)
-            some = np.flatnonzero(whole & (ways > 0))
-            open_ = ways[some]
-            readings += [(way, some[(open_ & way) == way]) for way in range(1, 1 << WIDTH)]
-        for way, own in readings:
-            if own is not None and not len(own):
-                continue
-            n_own = m if own is None else len(own)
-            with np.errstate(over="ignore"):
-                sums = np.full(n_own, np.uint64(kind + 1))
-                for j in range(WIDTH):
-                    part = h[j : j + m] if own is None else table[ids[own + j], 2] if way >> j & 1 else h[own + j]
-                    sums = (sums ^ part) * _BASE
-                    sums ^= sums >> np.uint64(32)
-            near = whole if own is None else np.ones(n_own, bool)
-            if wanted is not None:
-                known, bits = wanted
-                at = np.flatnonzero(near & bits[(sums >> np.uint64(44)).astype(np.int64)])
-                spot = np.minimum(np.searchsorted(known, sums[at]), len(known) - 1)
-                at = at[known[spot] == sums[at]]
-            else:
-                at = np.flatnonzero(near)
-            sums, at = sums[at], at if own is None else own[at]
-            for doc in np.unique(owner[at]):
-                here = owner[at] == doc
-                slots = []
-                for i in at[here].tolist():
-                    found = []
-                    if kind == TEMPLATE:
-                        for j in range(i, i + WIDTH):
-                            word = words[doc][raw[j] - before[doc]]
-                            form = forms(word)[1 if starts_sentence[j] and not way >> (j - i) & 1 else 2]
-                            if form in _SLOTS:
-                                found.append(bare(word).decode("utf-8", "replace"))
-                    slots.append(found)
-                yield int(doc), kind, sums[here].view(np.int64), (at[here] - first[doc]).astype(np.int32), slots
+    m = len(ids) - WIDTH + 1
+    whole = owner[:m] == owner[WIDTH - 1 :]
+    plain = table[ids, 0]
+    sums = hashed([plain[j : j + m] for j in range(WIDTH)], PLAIN)
+    at = asked(sums, whole)
+    yield from by_text(sums[at], at, PLAIN, 0)
+    inside = table[ids, 2]
+    h = np.where(starts_sentence, table[ids, 1], inside)
+    sums = hashed([h[j : j + m] for j in range(WIDTH)], TEMPLATE)
+    at = asked(sums, whole)
+    yield from by_text(sums[at], at, TEMPLATE, 0)
+    # A capitalised sentence start has two readings; windows that hold some are read in every other way too.
+    either = starts_sentence & (h != inside)
+    ways = np.zeros(m, np.uint8)
+    for j in range(WIDTH):
+        ways |= either[j : j + m].astype(np.uint8) << np.uint8(j)
+    some = np.flatnonzero(whole & (ways > 0))
+    for way in range(1, 1 << WIDTH):
+        own = some[(ways[some] & way) == way]
+        if len(own):
+            sums = hashed([inside[own + j] if way >> j & 1 else h[own + j] for j in range(WIDTH)], TEMPLATE)
+            at = asked(sums, np.ones(len(own), bool))
+            yield from by_text(sums[at], own[at], TEMPLATE, way)
+
+
+def _sizes(texts: list[bytes]) -> list[int]:
+    return [sum(bool(bare(w)) for w in t.split()) for t in texts]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_words, kind, h, pos, slots) of every window of every item."""
+    """(item_id, item, n_words, kind, h, pos, slots) of every window of every item; item is the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = as_bytes(batch.column(1))
-            sizes = [sum(bool(bare(w)) for w in t.split()) for t in texts]
-            for doc, kind, h, pos, slots in _windows(texts, None):
-                k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[doc].as_py()] * k, batch.column(0).type), pa.array([sizes[doc]] * k, pa.int32()), pa.array([kind] * k, pa.int32()), pa.array(h), pa.array(pos), pa.array(slots, pa.list_(pa.string()))], ["item_id", "n_words", "kind", "h", "pos", "slots"])
+            texts = as_bytes(batch.column(2))
+            sizes = _sizes(texts)
+            for doc, kind, h, pos, slots in _windows(texts, None, list(range(1, WIDTH))):
+                n, k = sizes[doc], len(h)
+                if kind > SHORT and kind != SHORT + n:
+                    continue  # an item is a window of its own width only
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(i)[doc].as_py()] * k, batch.column(i).type) for i in (0, 1)), pa.array([n] * k, pa.int32()), pa.array([kind] * k, pa.int32()), pa.array(h), pa.array(pos), pa.array(slots, pa.list_(pa.string()))], ["item_id", "item", "n_words", "kind", "h", "pos", "slots"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.where("text is not null").select("item_id", "text").mapInArrow(run, f"item_id {kind}, n_words int, {_WINDOWS}")
+    return benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item"), "text").mapInArrow(run, f"item_id {kind}, item long, n_words int, {_WINDOWS}")
 
 
-def _hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
     """Windows of the documents whose hash is among these."""
     bits = np.zeros(1 << 20, bool)
     bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
@@ -182,17 +224,31 @@ def _hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [(pa.array([batch.column(0)[doc].as_py()] * len(h), pa.int64()), pa.array([batch.column(1)[doc].as_py()] * len(h), pa.int64()), pa.array([kind] * len(h), pa.int32()), pa.array(h), pa.array(pos), pa.array(slots, pa.list_(pa.string()))) for doc, kind, h, pos, slots in _windows(as_bytes(batch.column(2)), shared.value)]
+            parts = [(pa.array([batch.column(0)[doc].as_py()] * len(h), pa.int64()), pa.array([batch.column(1)[doc].as_py()] * len(h), pa.int64()), pa.array([kind] * len(h), pa.int32()), pa.array(h), pa.array(pos), pa.array(slots, pa.list_(pa.string()))) for doc, kind, h, pos, slots in _windows(as_bytes(batch.column(2)), shared.value, widths)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["doc", "row", "kind", "h", "pos", "slots"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, f"doc long, row long, {_WINDOWS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, f"doc long, row long, {_WINDOWS}")
 
 
 def _held(n_words: int, pairs: list[tuple[int, int, list[str], list[str]]], check_slots: bool) -> float:
     """The largest part of an item's words that windows near each other cover; pairs: position in the document, in the
     item, slots of either. With check_slots, windows that contradict the slots read so far don't count."""
     pairs, reach, best = sorted(pairs, key=lambda x: x[:2]), n_words + n_words // 2 + WIDTH, 0.0
+    if not check_slots:
+        # One pass with two ends: how many of the windows within reach cover each word.
+        times, covered, low = [0] * n_words, 0, 0
+        for pos, item_pos, _, _ in pairs:
+            for j in range(item_pos, item_pos + WIDTH):
+                covered += times[j] == 0
+                times[j] += 1
+            while pairs[low][0] < pos - reach:
+                for j in range(pairs[low][1], pairs[low][1] + WIDTH):
+                    times[j] -= 1
+                    covered -= times[j] == 0
+                low += 1
+            best = max(best, covered / n_words)
+        return best
     tried = None
     for k, (start, at, _, _) in enumerate(pairs):
         if tried is not None and start - at == tried:
@@ -202,11 +258,10 @@ def _held(n_words: int, pairs: list[tuple[int, int, list[str], list[str]]], chec
         for pos, item_pos, own, theirs in pairs[k:]:
             if pos > start + reach:
                 break
-            if check_slots:
-                read = dict(zip(theirs, own, strict=False))
-                if any(len({o for t, o in zip(theirs, own, strict=False) if t == v}) > 1 or values.get(v, read[v]) != read[v] for v in read):
-                    continue
-                values |= read
+            read = dict(zip(theirs, own, strict=False))
+            if any(len({o for t, o in zip(theirs, own, strict=False) if t == v}) > 1 or values.get(v, read[v]) != read[v] for v in read):
+                continue
+            values |= read
             covered[item_pos : item_pos + WIDTH] = True
         best = max(best, covered.mean())
         if best == 1:
@@ -214,42 +269,72 @@ def _held(n_words: int, pairs: list[tuple[int, int, list[str], list[str]]], chec
     return float(best)
 
 
+def _longest_run(pairs: list[tuple[int, int, list[str], list[str]]]) -> int:
+    """Words of the longest run that stands in both texts."""
+    best = run = 0
+    last = None
+    for diagonal, pos in sorted({(x[0] - x[1], x[0]) for x in pairs}):
+        run = run + 1 if last == (diagonal, pos - 1) else 1
+        last, best = (diagonal, pos), max(best, run)
+    return best + WIDTH - 1 if best else 0
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 64):
         out = []
-        for n_words, matches in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for n_words, shared in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if n_words < WIDTH:
+                out.append((1.0, 1.0, n_words))
+                continue
             by_kind: dict[int, list] = {PLAIN: [], TEMPLATE: []}
-            for m in matches:
-                by_kind[m["kind"]].append((m["pos"], m["item_pos"], m["slots"], m["item_slots"]))
-            plain = _held(n_words, by_kind[PLAIN], False)
-            out.append((plain, plain if plain >= COVERED else _held(n_words, by_kind[TEMPLATE], True)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["doc", "row", "item_id", "plain", "template"])
+            for m in shared:
+                by_kind[m["kind"]] += [(x["pos"], y["pos"], x["slots"], y["slots"]) for x in m["own"] for y in m["theirs"]]
+            plain, run = _held(n_words, by_kind[PLAIN], False), _longest_run(by_kind[PLAIN])
+            out.append((plain, plain if plain >= COVERED else _held(n_words, by_kind[TEMPLATE], True), run))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())], ["doc", "row", "item_id", "plain", "template", "run"])
+
+
+def _finding(items: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item_id, item, kind, h) of the windows that find candidates: all but the most frequent positions that can't all be missing."""
+    often = hits.groupBy("kind", "h").agg(F.count("*").alias("_often"))
+    at = items.join(often, ["kind", "h"]).groupBy("item_id", "item", "n_words", "kind", "pos").agg(F.sum("_often").alias("_often"), F.collect_set("h").alias("h"))
+    # Positions that no document has are the rarest of all: those present come after them.
+    present = Window.partitionBy("item_id", "item", "kind")
+    needed = F.when(F.col("n_words") < WIDTH, 1).otherwise(F.least(F.ceil(F.col("n_words") * COVERED / WIDTH - 1e-9), F.lit(RUN - WIDTH + 1)))
+    ranked = at.withColumn("_left", F.row_number().over(present.orderBy(F.desc("_often"), "pos")))
+    return ranked.where(F.col("_left") >= needed).select("item_id", "item", "kind", F.explode("h").alias("h"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc, row, item_id, plain, template) for documents and items that they hold; row is the hash of the document's text."""
-    spark, items = docs.sparkSession, item_windows(benchmark).where(F.col("n_words") >= WIDTH)
-    blocks = -(-items.select("h").distinct().count() // block)
+    """(doc, row, item_id, plain, template, run) for documents and items that they hold; row is the hash of the document's text."""
+    spark, items = docs.sparkSession, written(item_windows(benchmark))
     kind = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc long, row long, item_id {kind}, plain double, template double, run int"
+    blocks = -(-items.select("h").distinct().count() // block)
     if not blocks:
-        return spark.createDataFrame([], f"doc long, row long, item_id {kind}, plain double, template double")
+        return spark.createDataFrame([], schema)
+    widths = sorted(r.n_words for r in items.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect())
     hits = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).select("h").distinct().toPandas()["h"].to_numpy(np.int64)
-        found = _hits(docs, np.sort(own.view(np.uint64)))
+        found = _hits(docs, np.sort(own.view(np.uint64)), widths)
         hits = found if hits is None else hits.unionByName(found)
-    theirs = items.select("item_id", "n_words", "kind", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    joined = hits.join(theirs, ["kind", "h"])
-    grouped = joined.groupBy("doc", "row", "item_id").agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("kind", "pos", "item_pos", "slots", "item_slots")).alias("m"))
-    # Too few windows to cover the item in either form need no look at positions.
-    enough = grouped.where(F.size(F.array_distinct(F.transform("m", lambda x: x["item_pos"]))) * WIDTH >= COVERED * F.col("n_words"))
-    judged = enough.mapInArrow(_judge, f"doc long, row long, item_id {kind}, plain double, template double")
-    return judged.where((F.col("plain") >= COVERED) | (F.col("template") >= COVERED))
+    hits = written(hits)
+    pairs = written(hits.join(_finding(items, hits), ["kind", "h"]).select("doc", "row", "item_id", "item").distinct())
+    # Positions of equal windows stay together on both sides, so that a repeated window never multiplies.
+    theirs = items.groupBy("item_id", "item", "n_words", "kind", "h").agg(F.collect_list(F.struct("pos", "slots")).alias("theirs"))
+    own = hits.groupBy("doc", "row", "kind", "h").agg(F.collect_list(F.struct("pos", "slots")).alias("own"))
+    null_safe = lambda a, b, c: a[c].eqNullSafe(b[c])
+    joined = pairs.join(theirs, null_safe(pairs, theirs, "item_id") & (pairs["item"] == theirs["item"])).select(pairs["doc"], pairs["row"], pairs["item_id"], pairs["item"], "n_words", "kind", "h", "theirs")
+    both = joined.join(own, null_safe(joined, own, "doc") & (joined["row"] == own["row"]) & (joined["kind"] == own["kind"]) & (joined["h"] == own["h"])).select(joined["doc"], joined["row"], joined["item_id"], joined["item"], "n_words", joined["kind"], "own", "theirs")
+    grouped = both.groupBy("doc", "row", "item_id", "item").agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("kind", "own", "theirs")).alias("m"))
+    judged = grouped.select("doc", "row", "item_id", "n_words", "m").mapInArrow(_judge, schema)
+    return judged.where((F.col("plain") >= COVERED) | (F.col("template") >= COVERED) | (F.col("run") >= RUN))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, item_ids in order, reparameterised: items held in template form only) for each row."""
-    found = matches(docs, benchmark).groupBy("doc", "row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sort_array(F.collect_set(F.when(F.col("plain") < COVERED, F.col("item_id")))).alias("reparameterised"))
+    found = matches(docs, benchmark).groupBy("doc", "row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sort_array(F.collect_set(F.when((F.col("plain") < COVERED) & (F.col("run") < RUN), F.col("item_id")))).alias("reparameterised"))
     keys = docs.select("doc_id", F.xxhash64("text").alias("_row"))
     joined = keys.join(found, keys["doc_id"].cast("long").eqNullSafe(found["doc"]) & (keys["_row"] == found["row"]), "left")
     kind = found.schema["item_ids"].dataType.simpleString()
