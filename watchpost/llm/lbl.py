@@ -9,7 +9,8 @@ rest being left for unseen ones. Together that is a distribution over the seen w
 Workers score texts with the counts of the `HOT` most frequent words at hand (a broadcast of bounded size); each other word of a
 text becomes one (word hash, text, times) row that is joined with the table of all counts. Those words are rare, so the join has no hot key.
 
-Only the classes' vectors are fitted on a bounded sample: about `SAMPLE_ROWS` training texts, whole, by hash of the doc_id.
+The classes' vectors begin with a fit on about `SAMPLE_ROWS` training texts, which only gives all tasks one start. Then every task learns
+from all training texts of its partition, and the tasks' vectors are averaged by their tokens, so that the vectors learn from the whole corpus.
 
 Defined cases: null text has no words, and its end is scored; A-Z are lower-cased; rows that repeat a doc_id are learned and
 scored each; without training texts every probability is that of one unseen token. Columns other than doc_id and text are not looked at.
@@ -34,8 +35,13 @@ from watchpost.llm.common import as_bytes, kept, slices, written
 
 CLASSES, BUCKETS, DIM = 1024, 256, 16
 HOT = 131_072
+#: The common start: texts by hash, and the longest of them.
 SAMPLE_ROWS, LONGEST = 1500, 200_000
 EPOCHS, BATCH, NOISE, RATE = 4, 2048, 128, 0.01
+#: Learning from all texts: tokens whose order is mixed at once, batches, draws of noise, and the rate with the steps at which it halves.
+BLOCK, STEP, DRAWS, FINE, HALVES = 262_144, 4096, 64, 0.004, 200
+#: Tasks that add up the vectors of all others.
+ADDERS = 8
 REMEMBERED = 300_000
 #: Words that a task counts before it hands them on.
 COUNTED = 400_000
@@ -210,6 +216,94 @@ def fit_vectors(sequences: list[np.ndarray], unigram: np.ndarray, end: int, seed
     return r @ c1, r @ c2, q, bias
 
 
+class _Learner:
+    """Vectors of a task as it reads texts: noise-contrastive estimation from the common start, by Adam on batches."""
+
+    def __init__(self, params: list[np.ndarray], log_p: np.ndarray, seed: int):
+        self.params, self.log_p = [p.copy() for p in params], log_p
+        self.first, self.second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        self.rng, self.cumulative, self.step, self.tokens = np.random.default_rng(seed), np.cumsum(np.exp(log_p.astype(np.float64))), 0, 0
+        self.held, self.size = [], 0
+
+    def read(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        self.held.append((cls, one, two))
+        self.size += len(cls)
+        if self.size >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.size:
+            return
+        cls, one, two = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = self.rng.permutation(len(cls))
+        for k in range(0, len(order), STEP):
+            own = order[k : k + STEP]
+            self._learn(cls[own], one[own], two[own])
+        self.tokens += self.size
+        self.held, self.size = [], 0
+
+    def _learn(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        a1, a2, q, bias = self.params
+        n, shift = len(q), np.float32(np.log(DRAWS))
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(DRAWS) * self.cumulative[-1]), n - 1)
+        hat, target, drawn = a1[a] + a2[b], q[w], q[noise]
+        true = np.einsum("ij,ij->i", hat, target) + bias[w] - shift - self.log_p[w]
+        false = hat @ drawn.T + (bias[noise] - shift - self.log_p[noise])
+        d_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / np.float32(len(w))
+        d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / np.float32(len(w))
+        d_hat, d_target = d_true[:, None] * target + d_false @ drawn, d_true[:, None] * hat
+        added = lambda at, rows: np.stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])], 1).astype(np.float32)
+        g_q, g_bias = added(w, d_target), np.bincount(w, d_true, n).astype(np.float32)
+        np.add.at(g_q, noise, d_false.T @ hat)
+        np.add.at(g_bias, noise, d_false.sum(0))
+        self.step += 1
+        rate = FINE / (1 + self.step / HALVES)
+        fade1, fade2 = 1 - 0.9**self.step, 1 - 0.999**self.step
+        for x, g, m, v in zip(self.params, (added(a, d_hat), added(b, d_hat), g_q, g_bias), self.first, self.second, strict=True):
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            x -= np.float32(rate / fade1) * m / (np.sqrt(v / np.float32(fade2)) + np.float32(1e-8))
+
+
+def fit_all(docs: DataFrame, model: Lbl, unigram: np.ndarray) -> None:
+    """Vectors learned from every text: each task from the model's own, then their mean by tokens, added up by a few tasks."""
+    p = (unigram + 0.5) / (unigram + 0.5).sum()
+    shared, name = docs.sparkSession.sparkContext.broadcast((model, np.log(p).astype(np.float32))), uuid4().hex
+    shapes = [model.a1.shape, model.a2.shape, model.q.shape, model.bias.shape]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, log_p = kept(("lbl", name), lambda: shared.value)
+        part = TaskContext.get().partitionId()
+        learner = _Learner([own.a1, own.a2, own.q, own.bias], log_p, part)
+        for batch in slices(batches):
+            _, cls, one, two, _ = own.classes(as_bytes(batch.column(0)))
+            learner.read(cls, one, two)
+        learner.flush()
+        if learner.tokens:
+            yield row(learner.tokens, np.concatenate([x.ravel() for x in learner.params]).astype(np.float64) * learner.tokens)
+
+    def row(tokens: int, summed: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([summed.tobytes()], pa.binary())], ["tokens", "summed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, summed = 0, 0.0
+        for batch in slices(batches, 1):
+            tokens += batch.column(0)[0].as_py()
+            summed = summed + np.frombuffer(batch.column(1)[0].as_py(), np.float64)
+        if tokens:
+            yield row(tokens, summed)
+
+    kind = "tokens long, summed binary"
+    sums = docs.select("text").mapInArrow(learn, kind).repartition(ADDERS, "tokens").mapInArrow(add, kind).collect()
+    total = sum(r.tokens for r in sums)
+    if total:
+        mean, at = sum(np.frombuffer(r.summed, np.float64) for r in sums) / total, 0
+        for field, shape in zip(("a1", "a2", "q", "bias"), shapes, strict=True):
+            size = int(np.prod(shape))
+            setattr(model, field, mean[at : at + size].reshape(shape).astype(np.float32))
+            at += size
+
+
 def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
     """The model, and the table (h, bucket, c) of all counts, which is written to the shared folder."""
     counts = written(word_counts(docs))
@@ -222,7 +316,8 @@ def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
             floor = row.c + 1
             break
         taken += row.k
-    hot = counts.where(F.col("c") >= floor).toPandas() if taken else counts.limit(0).toPandas()
+    # The end is a class of its own however rare it is, so it always is among these.
+    hot = counts.where((F.col("c") >= floor) & F.lit(taken > 0) | (F.col("h") == _signed(xxhash.xxh64_intdigest(END)))).toPandas()
     h, c = hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
     buckets = hot["bucket"].to_numpy(np.int64)
     order = np.lexsort((h, -c))
@@ -231,7 +326,7 @@ def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
     end = np.uint64(xxhash.xxh64_intdigest(END))
     named = rank < CLASSES - 1
     hot_class = np.where(named, rank, -1)
-    hot_class[h == end] = CLASSES - 1  # the end always is a class
+    hot_class[h == end] = CLASSES - 1
     is_class = hot_class >= 0
     mass = np.zeros(BUCKETS)
     occurrences = np.zeros(BUCKETS)
@@ -246,11 +341,12 @@ def train(docs: DataFrame) -> tuple[Lbl, DataFrame]:
     blank = np.zeros((CLASSES + BUCKETS, DIM), np.float32)
     model = Lbl(h[place], np.log10(c[place] + 1), hot_class[place], np.log10(mass + 1), int(total), int(distinct), blank, blank, blank, np.zeros(len(blank), np.float32))
     rows = int(c[h == end][0]) if (h == end).any() else 0
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(1, rows)) * (1 << 30))
-    sample = docs.where(share & (F.length("text") <= LONGEST)).select("text", F.xxhash64("doc_id", "text").alias("o")).limit(2 * SAMPLE_ROWS).toPandas().sort_values(["o", "text"])
-    sequences = [model.classes([t.encode()])[1] for t in sample["text"]]
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(1, rows)) * (1 << 30))
+    start = docs.where(share & (F.length("text") <= LONGEST)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(2 * SAMPLE_ROWS).toPandas()
+    sequences = [model.classes([t.encode()])[1] for t in start["text"]]
     model.forget()
     model.a1, model.a2, model.q, model.bias = fit_vectors(sequences, unigram, CLASSES - 1)
+    fit_all(docs, model, unigram)
     return model, counts
 
 
