@@ -358,15 +358,57 @@ def test_benchmark_items(spark):
     mixed = ITEMS[3][1].replace("old", "ancient")
     texts = [(1, "intro " * 20 + ITEMS[0][1] + " outro" * 20), (2, "Intro. " + other), (3, ITEMS[3][1].upper()), (4, "the old river flows " * 3), (5, None), (6, ""), (7, "intro. " + mixed + " end"), (None, ITEMS[3][1]), (8, ITEMS[1][1])]
     got = {r.doc_id: r for r in decontam.scan(make(spark, texts), bench).collect()}
-    assert {k: r.item_ids for k, r in got.items() if r.contaminated} == {1: [1], 2: [1], 3: [4], 7: [4], None: [4]}
+    assert {k: r.item_ids for k, r in got.items() if r.contaminated} == {1: [1], 2: [1], 3: [4], 7: [4], None: [4], 8: [2]}
     assert got[2].reparameterised == [1] and got[1].reparameterised == []
     blocked = decontam.matches(make(spark, texts), bench, block=7)
-    assert {(r.doc, r.item_id) for r in blocked.collect()} == {(1, 1), (2, 1), (3, 4), (7, 4), (None, 4)}
+    assert {(r.doc, r.item_id) for r in blocked.collect()} == {(1, 1), (2, 1), (3, 4), (7, 4), (None, 4), (8, 2)}
     left = decontam.without_benchmark(make(spark, texts).withColumn("row", F.lit(0)), bench)
-    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 8]
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6]
     assert decontam.scan(none(spark), bench).count() == 0 and decontam.scan(make(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_held(text, item, covered=0.8, run=30, width=5):
+    """Whether a document holds an item in plain form, over all alignments, by the definition."""
+    plain = lambda t: [w for w in (decontam.bare(x.encode()).decode() for x in words(t)) if w]
+    d, i = plain(text or ""), plain(item or "")
+    if not i or not d:
+        return False
+    if len(i) == 1:
+        return d == i
+    if len(i) < width:
+        return any(d[k : k + len(i)] == i for k in range(len(d)))
+    at = [(k, j) for k in range(len(d) - width + 1) for j in range(len(i) - width + 1) if d[k : k + width] == i[j : j + width]]
+    reach = len(i) + len(i) // 2 + width
+    for start, _ in at:
+        got = {j + x for k, j in at if start <= k <= start + reach for x in range(width)}
+        if len(got) >= covered * len(i):
+            return True
+    longest = max((n for k, j in at for n in range(1, len(i) + 1) if len(d) >= k + n and d[k : k + n] == i[j : j + n]), default=0)
+    return longest >= run
+
+
+def test_benchmark_matches_brute_force_with_common_windows(spark):
+    rng = np.random.default_rng(2)
+    common = "all of the questions begin with this very same long introduction to the task"
+    word = lambda n: " ".join(f"w{rng.integers(300)}x" for _ in range(n))
+    items = [(i, f"{common} {word(int(rng.integers(2, 30)))}") for i in range(25)] + [(30, common), (31, word(80)), (32, "two words"), (33, "three short words"), (34, "one"), (35, "a b c d"), (36, ""), (37, None)]
+    texts = [(i, f"{common} {word(20)}") for i in range(40)]
+    texts += [(50 + i, f"{word(10)} {t} {word(10)}") for i, t in items[:20]]  # whole items
+    texts += [(100 + i, " ".join(w for k, w in enumerate((t or "").split()) if k % 9 != 4)) for i, t in items[:20]]  # torn items
+    texts += [(150, " ".join(items[26][1].split()[20:52])), (151, " ".join(items[26][1].split()[20:45])), (152, "these are two words here"), (153, "One."), (154, "one more"), (155, "x a b c d"), (156, "a b c"), (157, f"{common} " * 60), (158, None), (159, "Two, words!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: set(r.item_ids) for r in decontam.scan(make(spark, [*texts, texts[45]]), bench).collect()}
+    assert got == {d: {i for i, item in items if brute_held(t, item)} for d, t in texts}
+
+
+def test_repeated_windows_do_not_multiply(spark):
+    phrase = "one two three four five six "
+    bench = spark.createDataFrame([(1, phrase * 40), (1, "another text under the same item id"), (2, "five words make one window")], "item_id long, text string")
+    texts = [(1, phrase * 3000), (2, "another text under the same item id"), (3, "nothing to see"), (4, "five words make one window. " * 4000)]
+    got = {r.doc_id: r.item_ids for r in decontam.scan(make(spark, texts), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [2]}
+
+
 def test_contradicting_slots_do_not_count():
     pairs = [(0, 0, ["5", "7"], ["3", "3"]), (5, 5, ["5"], ["3"])]
     assert decontam._held(10, pairs, True) < 1.0 == decontam._held(10, pairs, False)

@@ -29,7 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchpost.llm import neardup
 from watchpost.llm.common import as_bytes, slices, written
+from watchpost.llm.components import components
 
 #: Fingerprints that steer the choice of parts and thresholds.
 SAMPLE = 20_000
@@ -191,27 +193,9 @@ def _by_middle(members: DataFrame, distance: int) -> DataFrame:
     return keyed.join(least, "key").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for nodes that have an edge. Large-star and small-star rounds."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m")))  # a table, so that the join below may split a node with very many edges
-        large = written(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
-        small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small)
-        moved = after.join(edges, ["a", "b"], "left_anti").take(1)
-        gone = edges.join(after, ["a", "b"], "left_anti").take(1)
-        edges = after
-        if not moved and not gone:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-
-
 def near_duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id, class_id, n_links): each row's fingerprint, the smallest doc_id of its group and of its exact
-    class, and the number of links that the search returned for its class."""
+    class, and the number of links that the search returned for its class (in buckets of over `bucket` classes those are stars)."""
     prints = written(fingerprints(docs, width))
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
     found = written(links(classes.select("fp"), distance, bucket).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -222,3 +206,13 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 2, bu
     top = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     labels = written(named.join(top, "root").join(degree, "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "class_id", "n_links")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, component_id) of texts whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Fingerprints can't find these at any size: on near copies at 0.8 and above of the check's documents 64 bits differ in 7 on average, and 12
+    are needed to find 0.93 of them; the best parts and thresholds for 12 bits then meet a fixed share of all pairs of
+    documents (README gives figures), which grows with their square. So candidates of this form of the operator come from minimum hashes of the same
+    shingles, and each is verified on the sets."""
+    return neardup.near_copy_groups(docs)
