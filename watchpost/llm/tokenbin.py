@@ -18,6 +18,7 @@ that repeat a doc_id follow each other, by text. Input columns other than doc_id
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -39,6 +40,11 @@ MAGIC = b"TOKSHRD1"
 SHARD_IDS = 2_000_000
 #: Words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
 REMEMBERED = 600_000
+#: The normaliser and splitter under which no token spans white space, and a full stop or comma after an ASCII letter stands alone.
+_APART = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 _SHARDS = "part long, shard long, before long, n_ids long, low long, high long, data binary"
 
 
@@ -99,14 +105,16 @@ class Shard:
 
 
 class _Encoder:
-    """Ids of a text as raw integers. No token spans white space, so words are encoded apart and remembered. A full stop or
-    comma at a word's end, after an ASCII letter, is always a token of its own, so both halves are looked up."""
+    """Ids of a text as raw integers. Where the tokenizer's rules let no token span white space, words are encoded apart and
+    remembered, and a word and the full stop or comma at its end are looked up by halves; under other rules texts are encoded whole."""
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
         # Machine integers of 2 or 4 bytes; shards are little-endian, as the machines that Spark runs on.
         self.tokenizer, self.kind = Tokenizer.from_str(spec), "H" if width == 2 else "I"
+        rules = json.loads(spec)
+        self.apart = (rules["normalizer"], rules["pre_tokenizer"]) == _APART and rules.get("post_processor") is None
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.ends = {x: self._encoded([x])[0] for x in (b".", b",")}
@@ -135,6 +143,8 @@ class _Encoder:
             known[w] = (before[w[:-1]] if stem is None else stem) + self.ends[w[-1:]]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        if not self.apart:
+            return [coded + end for coded in self._encoded(texts)]
         words = [x.split() for x in texts]
         missing = set(chain.from_iterable(words)).difference(self.known)
         if missing:
