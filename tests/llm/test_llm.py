@@ -70,20 +70,44 @@ def test_perfect_hash_is_minimal():
 # Quality rules
 
 
+def brute_statistics(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed by their definitions."""
+    text = text or ""
+    w = words(text)
+    seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    covered = set()
+    for k in range(len(w) - 4):
+        if seen[tuple(w[k : k + 5])] > 1:
+            covered |= set(range(k, k + 5))
+    lines, dup = text.split("\n"), 0
+    for k, line in enumerate(lines):
+        dup += bool(words(line)) and line in lines[:k]
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return len(w), sum(map(len, w)), symbols, dup, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+ODD = ["# * $ % & | < >", "a\nb\na\na\n\n\n \n \nb", "x y z\n" * 9, "one two three four five " * 3, "one two three four five six seven eight nine ten", "\x0bü\x0c# é|\x1c x", "a b a b a b a b a b a b", "1 2 3 4 5 6 7 8 9 ten!!\r\n1 2 3 4 5 6 7 8 9 ten!!"]
+
+
 def test_statistics(spark, docs):
-    got = {(r.doc_id, r.n_words): r for r in rules.statistics(docs).collect()}
-    for i, t in edge_texts():
-        w = words(t)
-        seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-        covered = set()
-        for k in range(len(w) - 4):
-            if seen[tuple(w[k : k + 5])] > 1:
-                covered |= set(range(k, k + 5))
-        r = got[i, len(w)]
-        assert (r.word_chars, r.n_repeat_words) == (sum(map(len, w)), len(covered))
+    texts = [*edge_texts(), *enumerate(ODD, 200)]
+    df = make(spark, texts).withColumns({"kept": F.lit("mine"), "n_words": F.lit("mine"), "rule": F.lit(7)})
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.apply_rules(df, []).collect())
+    assert got == collections.Counter((i, *brute_statistics(t)) for i, t in texts)
     assert rules.statistics(none(spark)).count() == 0
 
 
+def test_kept_follows_the_list(spark, docs):
+    list_ = [rules.Rule((rules.Condition("symbol_share", True, 0.2), rules.Condition("n_words", False, 100.0))), rules.Rule((rules.Condition("repeat_share", True, 0.05),))]
+    texts = [*edge_texts(), *enumerate(ODD, 200)]
+    rows = rules.apply_rules(make(spark, texts), list_).collect()
+    for r in rows:
+        first = r.n_symbols / max(r.word_chars, 1) > 0.2 and r.n_words <= 100
+        second = r.n_repeat_words / max(r.n_words, 1) > 0.05
+        assert r.rule == (1 if first else 2 if second else 0) and r.kept == (not r.base_failed and not r.rule)
+    assert len(rows) == len(texts)
+
+
 def test_decision_list_learns_thresholds():
     rng = np.random.default_rng(0)
     x = {name: rng.uniform(0, 1, 800) for name in rules.FEATURES}
@@ -157,6 +181,13 @@ def test_token_files_round_trip(spark, docs, monkeypatch):
     assert tokenbin.token_files(none(spark), path).count() == 0
 
 
+def test_token_files_under_other_rules(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")  # its tokens hold the space before a word
+    tokenizer = Tokenizer.from_file(path)
+    got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in tokenbin.token_files(docs, path, end_id=50256).collect())
+    assert got == sorted((str(i), [*tokenizer.encode(t or "", add_special_tokens=False).ids, 50256]) for i, t in edge_texts())
+
+
 def test_shard_lookup(spark, docs, tmp_path):
     ids = [np.arange(n, dtype="<u2").tobytes() for n in (3, 0, 5)]
     shard = tokenbin.Shard(tokenbin.pack_shard([7, None, 9], [0, 0, 0], ids, 2))
@@ -189,6 +220,52 @@ def test_base_scores_and_normalisation(spark, docs):
     assert whole.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_token_scores_are_a_distribution(spark):
+    texts = [EN, FR, EN + " again and again", "one two one three"] * 3
+    model, counts = lbl.train(make(spark, list(enumerate(texts))))
+    vocabulary = sorted({w for t in texts for w in words(lower(t))})
+    # The probability of every seen word, the end, and one unseen word a bucket, after a text of two words.
+    before = "the quick"
+    whole = {r.doc_id: r.score for r in lbl.score(make(spark, [(0, before), *((k, f"{before} {w}") for k, w in enumerate(vocabulary, 1))]), model, counts).collect()}
+    cls = model.classes([before.encode()])[1]
+    one, two = np.full(len(model.q), cls[1]), np.full(len(model.q), cls[0])
+    log_p = model.log_probability(np.arange(len(model.q)), one, two)
+    ids, named, *_ = model.classes([" ".join(vocabulary).encode()])
+    seen = 10 ** (log_p[named] + model.gain[ids])
+    unseen = sum(10 ** (log_p[lbl.CLASSES + b] - model.within[b]) for b in range(lbl.BUCKETS))
+    empty = sum(10 ** log_p[k] for k in range(lbl.CLASSES - 1) if k not in set(named.tolist()))
+    assert seen.sum() + unseen + empty == pytest.approx(1, abs=1e-3)
+    assert len(whole) == len(vocabulary) + 1 and all(v < 0 for v in whole.values())
+
+
+def test_vectors_learn_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(lbl, "SAMPLE_ROWS", 4)
+    rng = np.random.default_rng(0)
+    pairs = [(f"left{k}", f"right{k}") for k in range(12)]
+    texts = [" ".join(w for k in rng.integers(0, 12, 40) for w in pairs[k]) for _ in range(400)]
+    start, fit = {}, lbl.fit_all
+
+    def spied(docs, model, unigram):
+        start.update(a1=model.a1, q=model.q, bias=model.bias, a2=model.a2, p=(unigram + 0.5) / (unigram + 0.5).sum())
+        fit(docs, model, unigram)
+
+    monkeypatch.setattr(lbl, "fit_all", spied)
+    model, _ = lbl.train(make(spark, list(enumerate(texts))).repartition(3))
+    assert (model.a1 != start["a1"]).any() and (model.q != start["q"]).any()
+    # One task's learning, in batches small enough for so few texts.
+    monkeypatch.setattr(lbl, "BLOCK", 4096)
+    monkeypatch.setattr(lbl, "STEP", 64)
+    learner = lbl._Learner([start["a1"], start["a2"], start["q"], start["bias"]], np.log(start["p"]).astype(np.float32), 0)
+    for text in texts:
+        learner.read(*model.classes([text.encode()])[1:4])
+    learner.flush()
+    assert learner.tokens == 400 * 81
+    model.a1, model.a2, model.q, model.bias = learner.params
+    model.log_z[:] = np.nan
+    right, wrong = (model.classes([(t * 5).encode()])[1:4] for t in ("left3 right3 left7 right7 ", "left3 right7 left7 right3 "))
+    assert model.log_probability(*right).sum() > model.log_probability(*wrong).sum() + 5
+
+
 def test_scores_of_unseen_words_and_rare_joins(spark, docs, monkeypatch):
     monkeypatch.setattr(lbl, "HOT", 3)
     train = make(spark, [(1, EN), (2, FR), (3, EN)])
@@ -209,9 +286,7 @@ def own_tiktoken():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_matches_the_library(spark, docs, own_tiktoken, monkeypatch):
-    monkeypatch.setattr(bpe, "PIECES", 7)
-    monkeypatch.setattr(bpe, "WORDS", 5)
+def test_bpe_matches_the_library(spark, docs, own_tiktoken):
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     extra = ["a  \n b", "  x", "x ", "\n\n x", " \n \n  a", "é́ \t\t z", "١٢٣ 456", "<|endoftext|>", "'S 's 'll"]
     df = docs.unionByName(make(spark, list(enumerate(extra, 100))))
@@ -225,6 +300,28 @@ def test_bpe_matches_the_library(spark, docs, own_tiktoken, monkeypatch):
     assert (first.n_tokens, first.ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_bpe_forgets_and_finds_again(own_tiktoken, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    monkeypatch.setattr(bpe, "WORDS", 5)
+    file, pattern = pathlib.Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
+    whole = bpe.ByteBpe.from_file(file, pattern + "|never")  # a pattern that texts aren't cut for
+    cut = bpe.ByteBpe.from_file(file, pattern)
+    assert cut.cut and not whole.cut
+    rng = np.random.default_rng(0)
+    parts = ["word", "Erschverkeit", "naïve", "x.", "y,", "don't", "12,5", "日本", "🙂", "\n", "\t", " ", "  ", "\n\n", "'s", "a\u0301", "\r\n", "zz" * 300]
+    for _ in range(60):
+        texts = ["".join(str(rng.choice(parts)) + " " * int(rng.integers(2)) for _ in range(12)) for _ in range(5)]
+        expected = [own_tiktoken.encode_ordinary(t) for t in texts]
+        for codec in (cut, whole):
+            coded = codec.encode(texts)
+            assert [np.frombuffer(x, np.int32).tolist() for x in coded] == expected
+            flat, ends = np.frombuffer(b"".join(coded), np.int32), np.cumsum([len(x) // 4 for x in coded])
+            assert codec.decode(flat, ends) == [t.encode() for t in texts]
+    assert cut.decode(np.zeros(0, np.int32), np.array([0, 0])) == [b"", b""]
+    with pytest.raises(ValueError, match="vocabulary"):
+        cut.decode(np.array([10**6]), np.array([1]))
+
+
 # Languages
 
 
@@ -453,6 +550,41 @@ def test_toxicity_learns(spark):
     assert {r.score for r in toxicity.score_documents(df, untrained).collect()} == {0.0}
 
 
+def test_toxicity_edges(spark):
+    rows = [(i, ("nastyword " if i % 3 == 0 else "") + EN, "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] * 2, "doc_id long, toxic int")
+    clash = df.withColumns({"_h": F.lit(1), "_n": F.lit("x"), "_y": F.lit(None), "score": F.lit("mine"), "_lang": F.lit(0), "t": F.lit(0)})
+    model = toxicity.train(clash, marks.withColumn("score", F.lit("x")))
+    got = toxicity.score_documents(clash.unionByName(clash), model, language="lang").collect()
+    assert len(got) == 120 and all(r.predicted == (r.doc_id % 3 == 0) for r in got)
+    assert np.ptp([r.score for r in got if r.doc_id % 3]) < 1e-6  # equal texts tie, whatever stands beside them
+    assert toxicity.score_documents(df.limit(0), model).count() == 0
+    assert not toxicity.train(df.limit(0), marks).trained and not toxicity.train(df.drop("lang"), marks.where("toxic = 0")).trained
+    assert toxicity.train(df.drop("lang"), marks).trained
+
+
+def test_operators_pass_by_clashing_columns(spark):
+    texts = [(1, EN), (2, EN), (3, FR), (4, None), (4, None), (5, "x" * 40000)]
+    df = make(spark, texts)
+    clash = df.withColumns({c: F.lit("mine") for c in ("fp", "h", "c", "row", "doc", "cls", "keys", "digest", "license", "lines", "whole", "n_tokens", "score", "_row", "_words", "start", "ids", "item_id", "pos", "node")})
+    bench = spark.createDataFrame([(1, EN, "mine")], "item_id long, text string, h string")
+
+    def scored(d):
+        model, counts = lbl.train(d)
+        return lbl.score(d, model, counts).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6))
+
+    for run in (simhash.near_duplicate_groups, simhash.similar_groups, licenses.scan, scored, lambda d: decontam.scan(d, bench), lambda d: tokenbin.token_files(d, public_tokenizers.path("word_bpe_49k.json"))):
+        assert sorted_rows(run(clash)) == sorted_rows(run(df))
+
+
+def test_licenses_of_repeated_long_and_tied_rows(spark):
+    mit = next(t for n, t in licenses.TEXTS if n == "MIT")
+    texts = [(1, mit), (1, mit), (2, mit), (3, mit + " x" * 100000), (4, "Released under the MIT License.\n" * 3000), (None, mit)]
+    got = sorted(map(str, licenses.scan(make(spark, texts)).select("doc_id", "license", "notices", "n_notices").collect()))
+    assert got == sorted(f"Row(doc_id={i}, license={l!r}, notices={n!r}, n_notices={k})" for i, l, n, k in [(1, "MIT", "", 0), (1, "MIT", "", 0), (2, "MIT", "", 0), (None, "MIT", "", 0), (3, None, "", 0), (4, None, "MIT", 3000)])
+
+
 def test_hot_documents_leave_each_class_its_rows(spark, monkeypatch):
     hot = [(0, f"plain words of row {i} go on and on", "en") for i in range(300)] + [(1, "the same row again", "en")] * 300
     rest = [(i, f"nastyword {i} and other words", "en") for i in range(2, 32)]
