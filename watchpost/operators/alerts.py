@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.functions.scoring import LEVELS, level_order
@@ -29,6 +29,12 @@ def alert_filter(assessed: DataFrame, min_level: str = "Watch") -> DataFrame:
     return assessed.where(level_order("level") >= max(1, LEVELS.index(min_level)))
 
 
+def ranked(alerts: DataFrame) -> DataFrame:
+    """With rank: the order of a day's alerts, most severe first, then by risk; equal ones by district."""
+    day = Window.partitionBy("date").orderBy(F.desc(level_order("level")), F.desc("risk_score"), "district_id")
+    return alerts.withColumn("rank", F.row_number().over(day))
+
+
 def alert_id(assessed: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "district_id", F.date_format("date", "yyyy-MM-dd"), "level")
     return assessed.withColumn("alert_id", F.substring(F.sha1(key), 1, 12))

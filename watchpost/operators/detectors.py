@@ -21,7 +21,7 @@ CELL = ["district_id", "date"]
 
 def search_anomalies(agg: DataFrame) -> DataFrame:
     z = deseasonal_z(agg.where(F.col("signal_type").isin(*SEARCH)))
-    return z.select(*CELL, "signal_type", anomaly_from_z("z").alias("anomaly"))
+    return z.select(*CELL, "signal_type", "z", anomaly_from_z("z").alias("anomaly"))
 
 
 def trailing_anomalies(agg: DataFrame, signals: tuple[str, ...]) -> DataFrame:
@@ -43,11 +43,16 @@ def detect_search(agg: DataFrame) -> DataFrame:
 def joint_context(anomalies: DataFrame) -> DataFrame:
     """(district_id, date, context): length of the z-vector, scaled between its median and 99th percentile in the district;
     districts of under 20 days have none."""
-    length = anomalies.groupBy(*CELL).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_r"))
-    scale = length.groupBy("district_id").agg(F.percentile("_r", F.array(F.lit(0.5), F.lit(0.99))).alias("_q"), F.count("*").alias("_n"))
+    return _scaled(anomalies.groupBy(*CELL).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_r")))
+
+
+def _scaled(cells: DataFrame) -> DataFrame:
+    """`_r` of each cell as `context`, between its median and 99th percentile over the district's days; null where there is none."""
+    days = Window.partitionBy("district_id")
+    placed = cells.withColumns({"_q": F.percentile("_r", F.array(F.lit(0.5), F.lit(0.99))).over(days), "_n": F.count("_r").over(days)})
     low, high = F.col("_q")[0], F.col("_q")[1]
     context = F.when((F.col("_n") >= 20) & (high > low), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_r") - low) / (high - low)))).otherwise(0.0)
-    return length.join(F.broadcast(scale), "district_id").select(*CELL, context.alias("context"))
+    return placed.withColumn("context", F.when(F.col("_r").isNotNull(), context)).drop("_r", "_q", "_n")
 
 
 def detect_hospital(agg: DataFrame) -> DataFrame:
@@ -78,11 +83,35 @@ def scores_to_frame(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*CELL).pivot("detector", list(DETECTORS)).agg(F.max("score"))
 
 
+def all_anomalies(agg: DataFrame) -> DataFrame:
+    """(district_id, date, signal_type, z, anomaly) of every signal that a detector reads, each series gone through once."""
+    return search_anomalies(agg).unionByName(trailing_anomalies(agg, HOSPITAL + SOCIAL + WASTEWATER))
+
+
+def scores_wide(anomalies: DataFrame) -> DataFrame:
+    """The frame of all detectors' scores from all_anomalies, in one aggregation by cell."""
+    of = lambda signals, x: F.when(F.col("signal_type").isin(*signals), x)
+    worst = F.sort_array(F.collect_list(of(SEARCH, F.struct((-F.col("anomaly")).alias("low"), "signal_type"))))
+    cells = anomalies.groupBy(*CELL).agg(
+        worst.alias("_worst"),
+        F.avg(of(HOSPITAL, F.col("anomaly"))).alias("_base"),
+        F.sqrt(F.sum(of(HOSPITAL, F.col("z") * F.col("z")))).alias("_r"),
+        F.max(of(SOCIAL, F.col("anomaly"))).alias("social"),
+        F.max(of(WASTEWATER, F.col("anomaly"))).alias("wastewater"),
+    )
+    first, second = (-F.get("_worst", F.lit(i))["low"] for i in (0, 1))
+    search = F.when(F.size("_worst") > 0, 0.6 * first + F.coalesce(0.4 * second, F.lit(0.0)))
+    hospital = F.when(F.col("_base").isNotNull(), F.least(F.lit(1.0), F.col("_base") * (1 + 0.4 * F.col("context"))))
+    return _scaled(cells).select(*CELL, search.alias("search"), hospital.alias("hospital"), "social", "wastewater")
+
+
 def drivers(agg: DataFrame) -> DataFrame:
+    return drivers_of(all_anomalies(agg))
+
+
+def drivers_of(anomalies: DataFrame) -> DataFrame:
     """(district_id, date, signal_type, anomaly): the largest anomaly of each signal over 0.01, with three decimals, and the
     hospital context as a driver of its own."""
-    hospital = trailing_anomalies(agg, HOSPITAL)
-    single = trailing_anomalies(agg, SOCIAL + WASTEWATER)
-    context = joint_context(hospital).select(*CELL, F.lit("multivariate_context").alias("signal_type"), F.col("context").alias("anomaly"))
-    every = search_anomalies(agg).unionByName(hospital.drop("z")).unionByName(single.drop("z")).unionByName(context)
+    context = joint_context(anomalies.where(F.col("signal_type").isin(*HOSPITAL))).select(*CELL, F.lit("multivariate_context").alias("signal_type"), F.col("context").alias("anomaly"))
+    every = anomalies.drop("z").unionByName(context)
     return every.where("anomaly > 0.01").groupBy(*CELL, "signal_type").agg(F.max(rounded("anomaly", 3)).alias("anomaly"))

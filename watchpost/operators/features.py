@@ -12,11 +12,15 @@ SIGNAL_TYPES = ("hospital_admissions", "icu_occupancy", "ventilator_usage", "mor
 
 def weighted_source_mean(signals: DataFrame, reliability: DataFrame) -> DataFrame:
     """(district_id, date, signal_type, value): mean over sources by reliability, at least 1e-3 and 1 for unknown sources.
-    Missing values drop from the numerator but keep their weight; a cell of missing values gives 0; rows without a key go."""
+    Missing values drop from the numerator but keep their weight; a cell of missing values gives 0; rows without a key go. Weights
+    count with four decimals and values with eight, in exact sums, so that no order of rows changes a mean; what no decimal
+    holds (infinite, or from 1e20) is missing."""
     weights = reliability.select("source_id", F.greatest("reliability", F.lit(1e-3)).alias("_w"))
     kept = signals.where("district_id is not null and date is not null and signal_type is not null")
     joined = kept.join(weights, "source_id", "left").withColumn("_w", F.coalesce("_w", F.lit(1.0))).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    return joined.groupBy(*CELL).agg((F.coalesce(F.sum(F.col("_w") * F.col("value")), F.lit(0.0)) / F.sum("_w")).alias("value"))
+    weight, value = F.col("_w").cast("decimal(5,4)"), F.col("value").try_cast("decimal(28,8)")
+    total = F.coalesce(F.sum(weight * value).cast("double"), F.lit(0.0))
+    return joined.groupBy(*CELL).agg((total / F.sum(weight).cast("double")).alias("value"))
 
 
 def pivot_signals(agg: DataFrame, types: tuple[str, ...] = SIGNAL_TYPES) -> DataFrame:

@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.functions.scoring import rounded
+from watchpost.sources.shared import written
 
 HORIZONS = (7, 14, 21, 30)
 INTRINSIC, BETA = 0.04, 0.085
+DAYS_AT_ONCE = 7
 
 
 def adjacency(districts: DataFrame) -> DataFrame:
     """(u, v): each pair of neighbours once, u < v; names that are no district drop out."""
     pairs = districts.select("district_id", F.explode("neighbors").alias("other")).select(F.least("district_id", "other").alias("u"), F.greatest("district_id", "other").alias("v")).where("u <> v").distinct()
     known = districts.select(F.col("district_id").alias("v"))
-    return pairs.join(F.broadcast(known), "v", "left_semi").join(F.broadcast(known.withColumnRenamed("v", "u")), "u", "left_semi").select("u", "v")
+    return pairs.join(known, "v", "left_semi").join(known.withColumnRenamed("v", "u"), "u", "left_semi").select("u", "v")
 
 
 def gravity_edges(districts: DataFrame) -> DataFrame:
     """(region, u, v, weight): population products over squared great-circle distance of at least 1 km, over the region's maximum."""
     a = districts.select(F.col("district_id").alias("u"), "region", F.col("population").alias("pa"), F.radians("lat").alias("la"), F.radians("lon").alias("oa"))
     b = districts.select(F.col("district_id").alias("v"), F.col("population").alias("pb"), F.radians("lat").alias("lb"), F.radians("lon").alias("ob"))
-    joined = adjacency(districts).join(F.broadcast(a), "u").join(F.broadcast(b), "v")
+    joined = adjacency(districts).join(a, "u").join(b, "v")
     sine = lambda x: F.sin(x / 2) * F.sin(x / 2)
     h = sine(F.col("lb") - F.col("la")) + F.cos("la") * F.cos("lb") * sine(F.col("ob") - F.col("oa"))
     km = F.greatest(F.lit(1.0), 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
@@ -49,32 +51,26 @@ def neighbor_features(normal: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def spread_forecast(latest: DataFrame, districts: DataFrame, edges: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """(region, district_id, horizon_days, risk_probability): daily diffusion, a fold over one array for each region, so that
-    no day shuffles. Districts without a risk start at 0."""
+    """(region, district_id, horizon_days, risk_probability): daily diffusion. A day is a join of the edges with the probabilities of
+    their far ends, summed by district, so that a region of any size is split as Spark splits joins. The state is written
+    every DAYS_AT_ONCE days, which bounds the lineage. Districts without a risk start at 0."""
     start = districts.select("region", "district_id").join(latest.select("district_id", "risk_score"), "district_id", "left")
-    w = Window.partitionBy("region").orderBy("district_id")
-    numbered = start.select("region", "district_id", (F.coalesce("risk_score", F.lit(0.0)) / 100).alias("p"), (F.row_number().over(w) - 1).alias("i"))
-    place = numbered.select("district_id", F.col("i").alias("j"))
-    near = mirrored(edges).join(place, F.col("v") == F.col("district_id")).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("near"))
-    nodes = numbered.join(near, numbered["district_id"] == near["u"], "left").select("region", "i", "district_id", "p", F.coalesce("near", F.array().cast("array<struct<j:int,weight:double>>")).alias("near"))
-    graph = nodes.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("i", "district_id", "p", "near"))).alias("nodes"))
-
-    def day(ps, _):
-        def one(p, i):
-            pull = F.aggregate(F.col("nodes")[i]["near"], F.lit(0.0), lambda s, e: s + e["weight"] * F.get(ps, e["j"]))
-            return F.least(F.lit(1.0), p + (1 - p) * (INTRINSIC * p + BETA * pull))
-
-        return F.transform(ps, one)
-
-    out, before, state = graph.withColumn("ps", F.transform("nodes", lambda x: x["p"])), 0, []
-    for h in horizons:
-        out = out.withColumn("ps", F.aggregate(F.sequence(F.lit(1), F.lit(h - before)), F.col("ps"), day))
-        out = out.withColumn(f"_h{h}", F.col("ps"))
-        before = h
-        state.append(F.struct(F.lit(h).alias("h"), F.col(f"_h{h}").alias("ps")))
-    points = out.select("region", "nodes", F.explode(F.array(*state)).alias("s"))
-    long = points.select("region", F.col("s.h").alias("horizon_days"), F.posexplode(F.arrays_zip(F.transform("nodes", lambda x: x["district_id"]).alias("d"), F.col("s.ps").alias("p"))).alias("i", "x"))
-    return long.select("region", F.col("x.d").alias("district_id"), "horizon_days", rounded("x.p", 4).alias("risk_probability"))
+    state = written(start.select("region", "district_id", (F.coalesce("risk_score", F.lit(0.0)) / 100).alias("p")))
+    # A district is joined with itself too, under no weight, so that one join and one aggregation make a day.
+    itself = state.select("region", "district_id", F.col("district_id").alias("other"), F.lit(None).cast("double").alias("weight"))
+    near = written(itself.unionByName(mirrored(edges).select("region", F.col("u").alias("district_id"), F.col("v").alias("other"), "weight")))
+    p, pull = F.max(F.when(F.col("weight").isNull(), F.col("p"))), F.coalesce(F.sum(F.col("weight") * F.col("p")), F.lit(0.0))
+    after = F.least(F.lit(1.0), F.col("_p") + (1 - F.col("_p")) * (INTRINSIC * F.col("_p") + BETA * F.col("_pull")))
+    out = None
+    for day in range(1, max(horizons) + 1):
+        pulled = near.join(state.select(F.col("district_id").alias("other"), "p"), "other").groupBy("region", "district_id").agg(p.alias("_p"), pull.alias("_pull"))
+        state = pulled.select("region", "district_id", after.alias("p"))
+        if day in horizons or day % DAYS_AT_ONCE == 0:
+            state = written(state)
+        if day in horizons:
+            own = state.select("region", "district_id", F.lit(day).alias("horizon_days"), rounded("p", 4).alias("risk_probability"))
+            out = own if out is None else out.unionByName(own)
+    return out
 
 
 def forecast_rank(forecasts: DataFrame) -> DataFrame:

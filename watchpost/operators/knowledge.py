@@ -56,9 +56,9 @@ def signal_idf(profile: DataFrame) -> DataFrame:
 def weather_state(agg: DataFrame) -> DataFrame:
     """(district_id, date, driver, state): high from the series' 0.7 quantile, low up to its 0.3 quantile."""
     weather = agg.where(F.col("signal_type").startswith("weather_"))
-    q = weather.groupBy("district_id", "signal_type").agg(F.percentile("value", F.array(F.lit(0.3), F.lit(0.7))).alias("_q"))
+    q = F.percentile("value", F.array(F.lit(0.3), F.lit(0.7))).over(Window.partitionBy("district_id", "signal_type"))
     state = F.when(F.col("value") >= F.col("_q")[1], "high").when(F.col("value") <= F.col("_q")[0], "low").otherwise("normal")
-    return weather.join(F.broadcast(q), ["district_id", "signal_type"]).select("district_id", "date", F.regexp_replace("signal_type", "^weather_", "").alias("driver"), state.alias("state"))
+    return weather.withColumn("_q", q).select("district_id", "date", F.regexp_replace("signal_type", "^weather_", "").alias("driver"), state.alias("state"))
 
 
 def match_diseases(drivers: DataFrame, weather: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from watchpost.functions.scoring import clamp, rounded
 from watchpost.operators.detectors import HOSPITAL, SEARCH
 from watchpost.operators.knowledge import DISEASES
+from watchpost.sources.shared import written
 
 NOVELTY_SIGNALS = (*HOSPITAL, *SEARCH, "social_mentions", "wastewater_viral_load")
 
@@ -97,34 +96,29 @@ def joint_context_iforest(anomalies: DataFrame, trees: int = 120, sample: int =
 
 
 def grouped_param_average(rows: DataFrame, group: str, features: list[str], label: str, rounds: int = 20, epochs: int = 3, rate: float = 0.5) -> list[float]:
-    """Rounds of local steps in every group from shared weights, then the mean of the weights by group size. A group's rows go through
-    as sums of gradients per batch, so no group has to fit in memory; only parameters reach the driver."""
-    w = np.zeros(len(features) + 1)
-    data = rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double") for c in features], F.col(label).cast("double").alias("y")).na.drop()
-    groups = [r.g for r in data.select("g").distinct().collect()]
+    """Rounds of local gradient steps in every group from shared weights, then the mean of the weights by group size. Groups' weights stay a
+    table: a step joins it with the rows and sums gradients by group, so that no group has to fit anywhere; only the mean reaches the driver.
+    Rows with a missing value are left out; without rows all weights are 0."""
+    data = written(rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop())
+    names = [f"w{i}" for i in range(len(features) + 1)]
+    mean = [0.0] * len(names)
     for _ in range(rounds):
-        weights = dict.fromkeys(groups, w)
+        state = None
         for _ in range(epochs):
-            grads = _gradients(data, features, weights)
-            weights = {g: weights[g] - rate * np.array(v) / n for g, (v, n) in grads.items()}
-        total = sum(n for _, n in grads.values())
-        w = sum(weights[g] * n for g, (_, n) in grads.items()) / total
-    return [float(v) for v in w]
-
-
-def _gradients(data: DataFrame, features: list[str], weights: dict[str, np.ndarray]) -> dict[str, tuple[list[float], int]]:
-    """Summed gradient and size of each group, partial sums on the workers."""
-    k = len(features) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for g, own in part.groupby("g"):
-                x1 = np.concatenate([own[features].to_numpy(float), np.ones((len(own), 1))], 1)
-                err = 1 / (1 + np.exp(-x1 @ weights[g])) - own["y"].to_numpy(float)
-                yield pd.DataFrame([[g, len(own), *(x1.T @ err)]], columns=["g", "n", *[f"d{i}" for i in range(k)]])
-
-    summed = data.mapInPandas(run, "g string, n long, " + ", ".join(f"d{i} double" for i in range(k))).groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(k)])
-    return {r.g: ([r[f"d{i}"] for i in range(k)], r.n) for r in summed.collect()}
+            held = data.withColumns({w: F.lit(v) for w, v in zip(names, mean, strict=True)}) if state is None else data.join(state.drop("n"), "g")
+            state = _stepped(held, names, rate)
+        found = state.agg(*[(F.sum(F.col("n") * F.col(w)) / F.sum("n")).alias(w) for w in names]).first()
+        mean = [found[w] or 0.0 for w in names]
+    return mean
+
+
+def _stepped(held: DataFrame, names: list[str], rate: float) -> DataFrame:
+    """(g, n, weights) after one step of each group: `held` has the rows with their group's weights."""
+    inputs = [F.col(f"x{i}") for i in range(len(names) - 1)] + [F.lit(1.0)]
+    z = sum((F.col(w) * x for w, x in zip(names, inputs, strict=True)), F.lit(0.0))
+    miss = held.withColumn("_miss", 1 / (1 + F.exp(-z)) - F.col("y"))
+    sums = miss.groupBy("g").agg(F.count("*").alias("n"), *[F.first(w).alias(w) for w in names], *[F.sum(F.col("_miss") * x).alias(f"d{i}") for i, x in enumerate(inputs)])
+    return sums.select("g", "n", *[(F.col(w) - rate * F.col(f"d{i}") / F.col("n")).alias(w) for i, w in enumerate(names)])
 
 
 def pooled_logistic(rows: DataFrame, features: list[str], label: str, rounds: int = 20, epochs: int = 3, rate: float = 0.5) -> list[float]:

@@ -61,12 +61,18 @@ def district_drift(signals: DataFrame) -> DataFrame:
     return signals.select("district_id").distinct().join(found, "district_id", "left").select("district_id", F.coalesce("drift_score", F.lit(0.0)).alias("drift_score"))
 
 
-def quality_report(signals: DataFrame) -> DataFrame:
-    """(district_id, date, confidence, missing_ratio, outlier_ratio, drift_score). Drift is reported and not used."""
+def daily_confidence(signals: DataFrame) -> DataFrame:
+    """(district_id, date, confidence, missing_ratio, outlier_ratio): mean reliability of the sources, less for missing types and outliers."""
     mean = source_reliability(signals).agg(F.avg("reliability").alias("_r"))
-    cells = missing_ratio(signals).join(outlier_ratio(signals), ["district_id", "date"]).join(district_drift(signals), "district_id").crossJoin(F.broadcast(mean))
+    cells = missing_ratio(signals).join(outlier_ratio(signals), ["district_id", "date"]).crossJoin(F.broadcast(mean))
     confidence = clamp(F.col("_r") * (1 - 0.6 * F.col("missing_ratio")) * (1 - 0.3 * F.col("outlier_ratio")))
-    return cells.select("district_id", "date", rounded(confidence, 4).alias("confidence"), rounded("missing_ratio", 4).alias("missing_ratio"), rounded("outlier_ratio", 4).alias("outlier_ratio"), rounded("drift_score", 4).alias("drift_score"))
+    return cells.select("district_id", "date", rounded(confidence, 4).alias("confidence"), "missing_ratio", "outlier_ratio")
+
+
+def quality_report(signals: DataFrame) -> DataFrame:
+    """(district_id, date, confidence, missing_ratio, outlier_ratio, drift_score). Drift is reported and not used."""
+    cells = daily_confidence(signals).join(district_drift(signals), "district_id")
+    return cells.select("district_id", "date", "confidence", rounded("missing_ratio", 4).alias("missing_ratio"), rounded("outlier_ratio", 4).alias("outlier_ratio"), rounded("drift_score", 4).alias("drift_score"))
 
 
 def latest_confidence(report: DataFrame) -> DataFrame:

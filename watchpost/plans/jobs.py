@@ -10,6 +10,7 @@ from watchpost.operators import alerts as al
 from watchpost.operators import briefing as br
 from watchpost.operators import detectors as de
 from watchpost.operators import geo
+from watchpost.operators import graph as gr
 from watchpost.operators import knowledge as kn
 from watchpost.operators import models as mo
 from watchpost.operators import policy as po
@@ -18,9 +19,10 @@ from watchpost.operators import risk as ri
 from watchpost.operators import rollups as ro
 from watchpost.operators import variants as va
 from watchpost.plans.oracle import LEVEL_ORDER, case, listed, rnd, values
-from watchpost.plans.registry import _SPREAD, _agg, _assessed, _latest, _risk, _spread, query
+from watchpost.plans.registry import _SPREAD, _agg, _assessed, _confidence, _risk, _signals, query
 from watchpost.sources import adapters as ad
 from watchpost.sources import ingest as ing
+from watchpost.sources.shared import written
 
 # Ingest
 
@@ -84,8 +86,9 @@ def regional_broadcast(spark, d):
 @query("""SELECT 'events' AS source, 'ok' AS status, (SELECT count(*) FROM daily) AS n_rows UNION ALL SELECT 'orders', 'ok', (SELECT count(*) FROM agg) UNION ALL SELECT 'weather', 'failed', 0""", "daily", "agg")
 def source_union(spark, d):
     keep = ["district_id", "date", "signal_type", "value"]
-    rows = ing.union_sources({"events": ad.daily_signals(spark, d).select(*keep), "orders": _agg(spark, d)})
-    return ing.source_summary(rows, ["events", "orders", "weather"])
+    readers = {"events": lambda: ad.daily_signals(spark, d).select(*keep), "orders": lambda: _agg(spark, d), "weather": lambda: ad.read(spark, d, "weather_stations", *keep)}
+    frames, _ = ing.read_sources(readers)
+    return ing.source_summary(ing.union_sources(frames), list(readers))
 
 
 # Geometry: a grid of squares, one for each customer
@@ -237,9 +240,12 @@ def distinct_actions(spark, d):
     return al.distinct_actions(al.actions(al.alert_filter(_assessed(spark, d))))
 
 
-def _latest_assessed(spark, d) -> DataFrame:
-    last = ri.latest_by_district(_risk(spark, d)).select("district_id", "date")
-    return _assessed(spark, d).join(last, ["district_id", "date"], "left_semi").join(F.broadcast(ad.districts(spark, d).select("district_id", "region")), "district_id")
+def _briefing(spark, d) -> DataFrame:
+    """Briefing contexts from the latest assessment of each district and the outlook, over signals that are written once."""
+    places = ad.districts(spark, d)
+    assessed = written(ri.latest_by_district(ri.risk_assessment(_signals(spark, d), places)))
+    outlook = ro.spread_outlook(gr.spread_forecast(assessed, places, gr.gravity_edges(places)), assessed)
+    return br.briefing_context(assessed.join(places.select("district_id", "region"), "district_id"), outlook)
 
 
 _LATEST = "la AS (SELECT a.*, region FROM assessed a JOIN (SELECT district_id, date FROM latest) USING (district_id, date) JOIN districts USING (district_id))"
@@ -254,8 +260,7 @@ ctx AS (SELECT region, max(date) AS as_of, count(*) AS total, count(*) FILTER (W
 @query(f"""WITH {_SPREAD}, {_CONTEXT} SELECT region, as_of, total, on_alert, coalesce((SELECT string_agg(district_name || ' ' || printf('%.0f', risk_score), '; ' ORDER BY k) FROM shown s WHERE s.region = ctx.region), '') AS top,
 coalesce((SELECT string_agg(name, '; ' ORDER BY rank) FROM ol JOIN districts USING (district_id) WHERE ol.region = ctx.region), '') AS outlook, (SELECT string_agg(action, '; ' ORDER BY pos) FROM acts WHERE acts.region = ctx.region) AS actions FROM ctx""", "assessed", "latest", "districts", "actions")
 def briefing_context(spark, d):
-    outlook = ro.spread_outlook(_spread(spark, d), ri.latest_by_district(_risk(spark, d)))
-    found = br.briefing_context(_latest_assessed(spark, d), outlook)
+    found = _briefing(spark, d)
     joined = lambda c, f: F.array_join(F.transform(c, f), "; ")
     return found.select("region", "as_of", "total", "on_alert", joined("top", lambda x: F.concat(x["name"], F.lit(" "), x["risk"].cast("string"))).alias("top"), joined("outlook", lambda x: x["name"]).alias("outlook"), F.array_join("actions", "; ").alias("actions"))
 
@@ -268,8 +273,7 @@ def briefing_context(spark, d):
 (SELECT '## Recommended Actions' || chr(10) || string_agg(n || '. ' || action, chr(10) ORDER BY n) || chr(10) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pos) AS n FROM acts) a WHERE a.region = ctx.region),
 '_Generated from statistical surveillance models; it supports expert judgement and does not replace it._') AS body FROM ctx""", "assessed", "latest", "districts", "actions")
 def briefing_text(spark, d):
-    outlook = ro.spread_outlook(_spread(spark, d), ri.latest_by_district(_risk(spark, d)))
-    return br.briefing_text(br.briefing_context(_latest_assessed(spark, d), outlook))
+    return br.briefing_text(_briefing(spark, d))
 
 
 @query(f"""SELECT r.date, r.risk_score, r.level, {rnd('hospital', 4)} AS hospital, {rnd('search', 4)} AS search, {rnd('social', 4)} AS social, {rnd('wastewater', 4)} AS wastewater, l.date AS latest_date FROM risk r JOIN wide w USING (district_id, date) JOIN latest l USING (district_id) WHERE district_id = 'NATION_6'""", "latest")
@@ -291,7 +295,7 @@ def kg_edges(spark, d):
 
 @query(f"WITH {_KG}, lead AS (SELECT disease FROM matches WHERE rank = 1 GROUP BY disease ORDER BY count(*) DESC, disease LIMIT 1) SELECT DISTINCT dst AS neighbor FROM kg JOIN lead ON src = disease", "matches")
 def kg_neighbors(spark, d):
-    agg = _agg(spark, d)
+    agg = _signals(spark, d)
     first = kn.match_diseases(de.drivers(agg), kn.weather_state(agg)).where("rank = 1").groupBy("disease").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "disease").limit(1)
     edges = kn.kg_edges(spark).join(F.broadcast(first), F.col("src") == F.col("disease"))
     return edges.select(F.col("dst").alias("neighbor")).distinct()
@@ -310,6 +314,12 @@ def novelty_score(spark, d):
     return mo.novelty_score(de.drivers(_agg(spark, d)))
 
 
+@query()
+def novel_assessment(spark, d):
+    full = ri.full_assessment(_signals(spark, d), ad.districts(spark, d), _confidence(spark, d), mo.novelty_score)
+    return full.select("district_id", "date", "risk_score", "level", "confidence", "category", "likely_diseases", "best_match", "novelty_score", "novel", F.size("contributions").alias("n_contributions"))
+
+
 _FEATURES = ["discount", "tax", "quantity"]
 
 
@@ -325,14 +335,12 @@ def _accuracy(rows: DataFrame, weights: list[float]) -> DataFrame:
 
 @query()
 def grouped_param_average(spark, d):
-    rows = _labelled(spark, d).cache()
+    rows = written(_labelled(spark, d))
     return _accuracy(rows, mo.grouped_param_average(rows, "group", _FEATURES, "y"))
 
 
 @query()
 def pooled_logistic(spark, d):
-    rows = _labelled(spark, d).cache()
+    rows = written(_labelled(spark, d))
     return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y"))
 
-
-__all__ = ["_latest"]

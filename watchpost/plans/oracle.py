@@ -6,7 +6,7 @@ from watchpost.operators.alerts import CATEGORY_ACTIONS, LEVEL_ACTIONS
 from watchpost.operators.detectors import HOSPITAL, SEARCH
 from watchpost.operators.features import SIGNAL_TYPES
 from watchpost.operators.knowledge import DISEASES
-from watchpost.operators.risk import LABELS, WEATHER_LABELS, WEIGHTS
+from watchpost.operators.risk import ANOMALOUS, ELEVATED, FAVOURABLE, LABELS, WEATHER_LABELS, WEIGHTS
 from watchpost.sources.adapters import EVENT_SIGNALS, FLAG_SIGNALS, PRIORITY_SIGNALS, PULSE, PULSED, SEGMENT_SIGNALS
 
 
@@ -40,6 +40,10 @@ def anomaly(z: str) -> str:
     return f"CASE WHEN {z} <= 2 THEN 0.0 ELSE least(1.0, ({z} - 2) / 4) END"
 
 
+def tempered(confidence: str) -> str:
+    return rnd(f"CASE WHEN down > 0 THEN up / down ELSE 0.0 END * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * {confidence}) * 100", 2)
+
+
 LEVEL_ORDER = "CASE level WHEN 'Watch' THEN 1 WHEN 'Warning' THEN 2 WHEN 'Alert' THEN 3 WHEN 'Emergency' THEN 4 ELSE 0 END"
 
 
@@ -60,7 +64,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "daily": (("places",), f"""daily AS (SELECT region, district_id, date, signal_type, sum(cents) / count(*) / 100 AS value, source_id FROM (
         SELECT region, district_id, CAST(ts AS DATE) AS date, {case('event_type', EVENT_SIGNALS)} AS signal_type, {_h.format('value')} AS cents, 'src' || (event_id % 3) AS source_id
         FROM events JOIN customer ON user_id = c_custkey JOIN places ON c_nationkey = nation_key) GROUP BY ALL)"""),
-    "lines": (("places",), f"""lines AS (SELECT region, district_id, nation_key, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, {_h.format('l_quantity')} AS q, {_h.format('l_discount')} * 100 AS d, {_h.format('l_tax')} * 100 AS t, o_orderpriority, c_mktsegment, l_returnflag
+    "lines": (("places",), f"""lines AS (SELECT region, district_id, nation_key, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, {_h.format('l_quantity')} AS q, {_h.format('l_discount')} * 100 AS d, {_h.format('l_tax')} * 100 AS t, o_orderpriority, c_mktsegment, l_returnflag, 'src' || (l_orderkey % 3) AS source_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN places ON c_nationkey = nation_key)"""),
     "agg": (("lines",), f"""cells AS (SELECT region, district_id, nation_key, date, signal_type, sum(h) / count(*) / 100 AS value FROM (
         SELECT region, district_id, nation_key, date, {case('o_orderpriority', PRIORITY_SIGNALS)} AS signal_type, q AS h FROM lines
@@ -70,6 +74,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT region, district_id, nation_key, date, 'weather_rainfall', t FROM lines) WHERE signal_type IS NOT NULL GROUP BY ALL),
     agg AS (SELECT region, district_id, date, signal_type, value * CASE WHEN ({_pulse}) AND k >= 0 THEN 1 + {PULSE} / (1 + (k - 5) * (k - 5) / 9.0) ELSE 1.0 END AS value
         FROM (SELECT *, 11 - floor(((SELECT max(date) FROM cells) - date) / 7) AS k FROM cells))"""),
+    "raw": (("lines",), f"""raw_cells AS (SELECT region, district_id, nation_key, date, signal_type, source_id, sum(h) / count(*) / 100 AS value FROM (
+        SELECT region, district_id, nation_key, date, source_id, {case('o_orderpriority', PRIORITY_SIGNALS)} AS signal_type, q AS h FROM lines
+        UNION ALL SELECT region, district_id, nation_key, date, source_id, {case('c_mktsegment', SEGMENT_SIGNALS)}, q FROM lines
+        UNION ALL SELECT region, district_id, nation_key, date, source_id, {case('l_returnflag', FLAG_SIGNALS)}, q FROM lines
+        UNION ALL SELECT region, district_id, nation_key, date, source_id, 'weather_temp', d FROM lines
+        UNION ALL SELECT region, district_id, nation_key, date, source_id, 'weather_rainfall', t FROM lines) WHERE signal_type IS NOT NULL GROUP BY ALL),
+    raw AS (SELECT region, district_id, date, signal_type, source_id, value * CASE WHEN ({_pulse}) AND k >= 0 THEN 1 + {PULSE} / (1 + (k - 5) * (k - 5) / 9.0) ELSE 1.0 END AS value
+        FROM (SELECT *, 11 - floor(((SELECT max(date) FROM raw_cells) - date) / 7) AS k FROM raw_cells))"""),
     "districts": (("places",), """districts AS (SELECT district_id, 'District ' || nation_key AS name, region, coalesce(population, 10000) AS population, nation_key % 5 * CAST(0.7 AS DOUBLE) + 10 AS lat, floor(nation_key / 5) * CAST(0.9 AS DOUBLE) + 70 AS lon, nation_key,
         ['NATION_' || ((nation_key + 5) % 25), 'NATION_' || ((nation_key + 20) % 25)] AS neighbors
         FROM places LEFT JOIN (SELECT c_nationkey, count(*) * 10000 AS population FROM customer GROUP BY 1) ON nation_key = c_nationkey)"""),
@@ -91,7 +103,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     scores AS (SELECT district_id, date, 'search' AS detector, score FROM top2 UNION ALL SELECT district_id, date, 'hospital', score FROM hospital
         UNION ALL SELECT district_id, date, 'social', anomaly FROM trail WHERE signal_type = 'social_mentions' UNION ALL SELECT district_id, date, 'wastewater', anomaly FROM trail WHERE signal_type = 'wastewater_viral_load')"""),
     "wide": (("scores",), "wide AS (SELECT district_id, date, " + ", ".join(f"max(score) FILTER (WHERE detector = '{d}') AS {d}" for d in ("search", "hospital", "social", "wastewater")) + " FROM scores GROUP BY ALL)"),
-    "risk": (("wide",), "fused AS (SELECT district_id, date, " + rnd("CASE WHEN down > 0 THEN up / down ELSE 0.0 END * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * 1.0) * 100", 2) + " AS risk_score FROM (SELECT *, 0.0 + " + " + ".join(f"CAST({w} AS DOUBLE) * greatest(0.0, least(1.0, coalesce({d}, 0.0)))" for d, w in WEIGHTS.items()) + " AS up, 0.0 + " + " + ".join(f"CASE WHEN {d} IS NOT NULL THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for d, w in WEIGHTS.items()) + f" AS down FROM wide)),\n    risk AS (SELECT *, {level('risk_score')} AS level FROM fused)"),
+    "risk": (("wide",), "parts AS (SELECT *, 0.0 + " + " + ".join(f"CAST({w} AS DOUBLE) * greatest(0.0, least(1.0, coalesce({d}, 0.0)))" for d, w in WEIGHTS.items()) + " AS up, 0.0 + " + " + ".join(f"CASE WHEN {d} IS NOT NULL THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for d, w in WEIGHTS.items()) + f" AS down FROM wide),\n    fused AS (SELECT district_id, date, {tempered('1.0')} AS risk_score FROM parts),\n    risk AS (SELECT *, {level('risk_score')} AS level FROM fused)"),
     "latest": (("risk",), "latest AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY date DESC, risk_score DESC) AS k FROM risk) WHERE k = 1)"),
     "named": (("latest", "districts"), "named AS (SELECT l.*, coalesce(d.name, l.district_id) AS district_name, d.region FROM latest l LEFT JOIN districts d USING (district_id))"),
     "drivers": (("search", "context"), f"""drivers AS (SELECT district_id, date, signal_type, max({rnd('anomaly', 3)}) AS anomaly FROM (SELECT district_id, date, signal_type, anomaly FROM search
@@ -114,8 +126,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "contributions": (("drivers", "pct", "weather"), f"""ranked AS (SELECT d.*, row_number() OVER (PARTITION BY district_id, date ORDER BY anomaly DESC, signal_type) AS rank FROM drivers d WHERE anomaly > 0.01),
     valued AS (SELECT r.district_id, r.date, rank, {case('r.signal_type', LABELS)} AS label, CASE WHEN pct IS NOT NULL AND r.signal_type <> 'multivariate_context' THEN {rnd('pct', 1)} ELSE {rnd('anomaly * 100', 1)} END AS value, pct IS NOT NULL AND r.signal_type <> 'multivariate_context' AS known
         FROM ranked r LEFT JOIN pct p USING (district_id, date, signal_type) WHERE rank <= 6),
-    contributions AS (SELECT district_id, date, rank, label, value, CASE WHEN known THEN CASE WHEN value >= 0 THEN '+' ELSE '' END || CAST(CAST(value AS DECIMAL(18, 1)) AS VARCHAR) || '% vs baseline' ELSE 'anomalous pattern' END AS detail FROM valued
-        UNION ALL SELECT district_id, date, 6 + row_number() OVER (PARTITION BY district_id, date ORDER BY driver), {case('driver', WEATHER_LABELS)} || ' (favourable conditions)', 0.0, 'elevated — supports environmental transmission' FROM weather WHERE state = 'high')"""),
+    contributions AS (SELECT district_id, date, rank, label, value, CASE WHEN known THEN CASE WHEN value >= 0 THEN '+' ELSE '' END || CAST(CAST(value AS DECIMAL(18, 1)) AS VARCHAR) || '% vs baseline' ELSE {text(ANOMALOUS)} END AS detail FROM valued
+        UNION ALL SELECT district_id, date, 6 + row_number() OVER (PARTITION BY district_id, date ORDER BY driver), {case('driver', WEATHER_LABELS)} || {text(FAVOURABLE)}, 0.0, {text(ELEVATED)} FROM weather WHERE state = 'high')"""),
     "actions": ((), values("level_actions", "level, action", list(LEVEL_ACTIONS.items())) + ",\n    " + values("category_actions", "category, ord, action", [(c, i, a) for c, xs in CATEGORY_ACTIONS.items() for i, a in enumerate(xs)])),
 }
 
@@ -140,4 +152,4 @@ def build(final: str, *needs: str) -> str:
     return (f"WITH {head}\n" if head else "") + final
 
 
-__all__ = ["CTES", "LEVEL_ORDER", "SEARCH", "SIGNAL_TYPES", "anomaly", "build", "case", "level", "listed", "rnd", "rolling_z", "text", "values"]
+__all__ = ["CTES", "LEVEL_ORDER", "SEARCH", "SIGNAL_TYPES", "anomaly", "build", "case", "level", "listed", "rnd", "rolling_z", "tempered", "text", "values"]

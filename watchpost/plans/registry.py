@@ -17,8 +17,9 @@ from watchpost.operators import knowledge as kn
 from watchpost.operators import quality as qu
 from watchpost.operators import risk as ri
 from watchpost.operators import rollups as ro
-from watchpost.plans.oracle import LEVEL_ORDER, anomaly, build, listed, rnd
+from watchpost.plans.oracle import LEVEL_ORDER, anomaly, build, level, listed, rnd, tempered
 from watchpost.sources import adapters as ad
+from watchpost.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +41,11 @@ def _agg(spark, d) -> DataFrame:
     return ad.weekly_signals(spark, d).select("district_id", "date", "signal_type", "value")
 
 
+def _signals(spark, d) -> DataFrame:
+    """The same, written once: for queries that go through it more than once."""
+    return written(_agg(spark, d))
+
+
 def _risk(spark, d) -> DataFrame:
     return ri.assess_risk(_agg(spark, d))
 
@@ -47,11 +53,11 @@ def _risk(spark, d) -> DataFrame:
 def _latest(spark, d) -> DataFrame:
     """The latest risk of each district, with its name and region."""
     places = ad.districts(spark, d)
-    return ri.named(ri.latest_by_district(_risk(spark, d)), places).join(F.broadcast(places.select("district_id", "region")), "district_id", "left")
+    return ri.named(ri.latest_by_district(_risk(spark, d)), places).join(places.select("district_id", "region"), "district_id", "left")
 
 
 def _assessed(spark, d) -> DataFrame:
-    return ri.risk_assessment(_agg(spark, d), ad.districts(spark, d))
+    return ri.risk_assessment(_signals(spark, d), ad.districts(spark, d))
 
 
 # Scans and scalar rules
@@ -103,7 +109,7 @@ def weather_state(spark, d):
 
 
 @query(f"""WITH w AS (SELECT *, CASE source_id WHEN 'src0' THEN CAST(0.9 AS DOUBLE) WHEN 'src1' THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS w FROM daily)
-SELECT district_id, date, signal_type, {rnd('coalesce(sum(w * value), 0.0) / sum(w)', 4)} AS value FROM w GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY district_id, date, signal_type"), "daily")
+SELECT district_id, date, signal_type, {rnd('coalesce(CAST(sum(CAST(w AS DECIMAL(5, 4)) * CAST(value AS DECIMAL(28, 8))) AS DOUBLE), 0.0) / CAST(sum(CAST(w AS DECIMAL(5, 4))) AS DOUBLE)', 4)} AS value FROM w GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY district_id, date, signal_type"), "daily")
 def weighted_source_mean(spark, d):
     weights = spark.createDataFrame([("src0", 0.9), ("src1", 0.5)], "source_id string, reliability double")
     return fe.weighted_source_mean(ad.daily_signals(spark, d), weights).withColumn("value", sc.rounded("value", 4))
@@ -277,13 +283,13 @@ def signal_idf(spark, d):
 
 @query("SELECT district_id, date, disease, score, rank FROM matches", "matches")
 def disease_match(spark, d):
-    agg = _agg(spark, d)
+    agg = _signals(spark, d)
     return kn.match_diseases(de.drivers(agg), kn.weather_state(agg))
 
 
 @query("SELECT district_id, date, rank, label, value, detail FROM contributions", "contributions")
 def contributions(spark, d):
-    return ri.explanations(_agg(spark, d))
+    return ri.explanations(_signals(spark, d))
 
 
 @query("SELECT district_id, date, risk_score, level FROM risk", "risk")
@@ -291,9 +297,33 @@ def risk_score(spark, d):
     return _risk(spark, d)
 
 
-@query("SELECT district_id, date, district_name, risk_score, level, category, likely_diseases, best_match FROM assessed", "assessed")
+_RAW = ", ".join(x.replace("daily", "raw") for x in (_QUALITY, _MISSING, _OUTLIER))
+_CONFIDENCE = f"{_RAW}, conf AS (SELECT district_id, date, {rnd('greatest(0.0, least(1.0, (SELECT avg(reliability) FROM reliability) * (1 - CAST(0.6 AS DOUBLE) * missing_ratio) * (1 - CAST(0.3 AS DOUBLE) * outlier_ratio)))', 4)} AS confidence FROM missing JOIN outliers USING (district_id, date))"
+_TEMPERED = f"{_CONFIDENCE}, held AS (SELECT p.*, coalesce(confidence, 1.0) AS confidence FROM parts p LEFT JOIN conf USING (district_id, date)), tempered AS (SELECT *, {level('risk_score')} AS level FROM (SELECT district_id, date, confidence, {', '.join(de.DETECTORS)}, {tempered('confidence')} AS risk_score FROM held))"
+
+
+def _confidence(spark, d) -> DataFrame:
+    """Confidence of each day's weekly signals, by source."""
+    return written(qu.daily_confidence(written(ad.weekly_signals(spark, d, by_source=True))).select("district_id", "date", "confidence"))
+
+
+@query(f"WITH {_TEMPERED} SELECT district_id, date, confidence, risk_score, level FROM tempered", "risk", "raw")
+def confident_risk(spark, d):
+    confidence = _confidence(spark, d)
+    return ri.assess_risk(_agg(spark, d), confidence).join(confidence, ["district_id", "date"], "left").select("district_id", "date", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "risk_score", "level")
+
+
+_FULL = f"""{_TEMPERED}, why AS (SELECT district_id, date, string_agg(label || ' ' || detail, ' | ' ORDER BY rank) AS why FROM contributions GROUP BY district_id, date)
+SELECT t.district_id, t.date, coalesce(p.name, t.district_id) AS district_name, risk_score, level, confidence, {', '.join(rnd(x, 4) + f' AS {x}' for x in de.DETECTORS)}, CASE WHEN level <> 'Normal' THEN coalesce(category, 'Unknown') ELSE 'Unknown' END AS category,
+CASE WHEN level <> 'Normal' THEN coalesce(likely, '') ELSE '' END AS likely_diseases, CASE WHEN level <> 'Normal' THEN coalesce(best, 0.0) ELSE 0.0 END AS best_match, CASE WHEN level <> 'Normal' THEN coalesce(why, '') ELSE '' END AS contributions
+FROM tempered t LEFT JOIN best b USING (district_id, date) LEFT JOIN why USING (district_id, date) LEFT JOIN districts p USING (district_id)"""
+
+
+@query(f"WITH {_FULL}", "assessed", "contributions", "raw")
 def risk_assessment(spark, d):
-    return _assessed(spark, d)
+    full = ri.full_assessment(_signals(spark, d), ad.districts(spark, d), _confidence(spark, d))
+    why = F.array_join(F.transform("contributions", lambda x: F.concat(x["label"], F.lit(" "), x["detail"])), " | ").alias("contributions")
+    return full.select("district_id", "date", "district_name", "risk_score", "level", "confidence", *[sc.rounded(x, 4).alias(x) for x in de.DETECTORS], "category", "likely_diseases", "best_match", why)
 
 
 _NOVEL = "risk_score >= 55 AND novelty >= 0.6 AND best_match < 0.85"
@@ -301,7 +331,7 @@ _NOVEL = "risk_score >= 55 AND novelty >= 0.6 AND best_match < 0.85"
 
 @query(f"WITH n AS (SELECT a.*, least(1.0, coalesce(x, 0.0)) AS novelty FROM assessed a LEFT JOIN (SELECT district_id, date, max(anomaly) AS x FROM drivers GROUP BY district_id, date) USING (district_id, date)) SELECT district_id, date, {_NOVEL} AS novel, CASE WHEN {_NOVEL} THEN 'Unknown' ELSE category END AS category, CASE WHEN {_NOVEL} THEN '' ELSE likely_diseases END AS likely_diseases FROM n", "assessed", "drivers")
 def novelty_gate(spark, d):
-    agg = _agg(spark, d)
+    agg = _signals(spark, d)
     strongest = de.drivers(agg).groupBy("district_id", "date").agg(F.max("anomaly").alias("x"))
     scored = _assessed(spark, d).join(strongest, ["district_id", "date"], "left").withColumn("novelty", F.least(F.lit(1.0), F.coalesce("x", F.lit(0.0))))
     return ri.novelty_gate(scored).select("district_id", "date", "novel", "category", "likely_diseases")
@@ -391,9 +421,9 @@ def registry_latest(spark, d):
 _ALERTS = f"al AS (SELECT a.*, {LEVEL_ORDER} AS o FROM assessed a WHERE {LEVEL_ORDER} >= 1)"
 
 
-@query(f"WITH {_ALERTS} SELECT district_id, date, risk_score, level, category FROM al WHERE o >= 2", "assessed")
+@query(f"WITH {_ALERTS} SELECT district_id, date, risk_score, level, category, row_number() OVER (PARTITION BY date ORDER BY o DESC, risk_score DESC, district_id) AS rank FROM al WHERE o >= 2", "assessed")
 def alerts(spark, d):
-    return al.alert_filter(_assessed(spark, d), "Warning").select("district_id", "date", "risk_score", "level", "category")
+    return al.ranked(al.alert_filter(_assessed(spark, d), "Warning")).select("district_id", "date", "risk_score", "level", "category", "rank")
 
 
 @query(f"WITH {_ALERTS} SELECT district_id, date, substr(sha1(district_id || ':' || strftime(date, '%Y-%m-%d') || ':' || level), 1, 12) AS alert_id FROM al", "assessed")
@@ -411,8 +441,8 @@ why AS (SELECT district_id, date, string_agg(label || ' ' || detail, ' | ' ORDER
 SELECT district_id, date, concat_ws(' | ', why, CASE WHEN likely_diseases <> '' THEN 'Most likely: ' || likely_diseases END) AS reasons, concat_ws(' | ', la.action, acts) AS actions, array_to_string(['dashboard', 'email', 'sms', 'whatsapp'][1:o], ',') AS channels
 FROM al JOIN level_actions la USING (level) LEFT JOIN acts USING (category) LEFT JOIN why USING (district_id, date)""", "assessed", "contributions", "actions")
 def alert_payload(spark, d):
-    agg = _agg(spark, d)
-    rows = al.channels(al.actions(al.reasons(al.alert_filter(_assessed(spark, d)), ri.explanations(agg))))
+    agg = _signals(spark, d)
+    rows = al.channels(al.actions(al.reasons(al.alert_filter(ri.risk_assessment(agg, ad.districts(spark, d))), ri.explanations(agg))))
     return rows.select("district_id", "date", F.array_join("reasons", " | ").alias("reasons"), F.array_join("actions", " | ").alias("actions"), F.array_join("channels", ",").alias("channels"))
 
 
@@ -450,7 +480,7 @@ _SPREAD = f"{_EDGES}, {', '.join(_days)}, spread AS (" + " UNION ALL ".join(f"SE
 
 def _spread(spark, d) -> DataFrame:
     places = ad.districts(spark, d)
-    return gr.spread_forecast(ri.latest_by_district(_risk(spark, d)), places, gr.gravity_edges(places))
+    return gr.spread_forecast(written(ri.latest_by_district(_risk(spark, d))), places, gr.gravity_edges(places))
 
 
 @query(f"WITH {_SPREAD} SELECT * FROM spread", "latest", "districts")
@@ -465,7 +495,8 @@ def forecast_rank(spark, d):
 
 @query(f"WITH {_SPREAD} SELECT * FROM (SELECT region, district_id, risk_probability AS prob, row_number() OVER (PARTITION BY region ORDER BY risk_probability DESC, district_id) AS rank FROM spread WHERE horizon_days = 30 AND district_id NOT IN (SELECT district_id FROM latest WHERE level <> 'Normal')) WHERE rank <= 4", "latest", "districts")
 def spread_outlook(spark, d):
-    return ro.spread_outlook(_spread(spark, d), ri.latest_by_district(_risk(spark, d)))
+    places, latest = ad.districts(spark, d), written(ri.latest_by_district(_risk(spark, d)))
+    return ro.spread_outlook(gr.spread_forecast(latest, places, gr.gravity_edges(places)), latest)
 
 
 __all__ = ["QUERIES", "SQL", "listed"]

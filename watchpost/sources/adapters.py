@@ -47,9 +47,9 @@ def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("region", "district_id", "date", "signal_type", "value", "source_id")
 
 
-def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(region, district_id, date, signal_type, value): every order line counts towards its priority's, its segment's and its
-    flag's signal and two weather signals in one shuffle; a deterministic pulse raises some signals in the last weeks."""
+def weekly_signals(spark: SparkSession, sf_dir: str, by_source: bool = False) -> DataFrame:
+    """(region, district_id, date, signal_type, value), and source_id if asked for: every order line counts towards its priority's, its
+    segment's and its flag's signal and two weather signals in one shuffle; a deterministic pulse raises some signals in the last weeks."""
     lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     customer = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
@@ -64,15 +64,17 @@ def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("weather_temp").alias("signal_type"), (hundredths("l_discount") * 100).alias("h")),
         F.struct(F.lit("weather_rainfall").alias("signal_type"), (hundredths("l_tax") * 100).alias("h")),
     )
-    counted = joined.select("region", "district_id", "nation_key", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.explode(pairs).alias("x"))
-    cells = counted.groupBy("region", "district_id", "nation_key", "date", F.col("x.signal_type").alias("signal_type")).agg((F.sum("x.h") / F.count("*") / 100).alias("value"))
+    own = ["source_id"] if by_source else []
+    source = F.concat(F.lit("src"), (F.col("l_orderkey") % 3).cast("string")).alias("source_id")
+    counted = joined.select("region", "district_id", "nation_key", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.explode(pairs).alias("x"), *([source] if by_source else []))
+    cells = counted.groupBy("region", "district_id", "nation_key", "date", F.col("x.signal_type").alias("signal_type"), *own).agg((F.sum("x.h") / F.count("*") / 100).alias("value"))
     last = cells.agg(F.max("date").alias("last"))
     week = 11 - F.floor(F.datediff("last", "date") / 7)
     raised = F.lit(False)
     for key, signals in PULSED.items():
         raised = raised | ((F.col("nation_key") % 5 == key) & F.col("signal_type").isin(*signals))
     pulse = F.when(raised & (week >= 0), 1 + PULSE / (1 + (week - 5) * (week - 5) / 9.0)).otherwise(1.0)
-    return cells.where("signal_type is not null").crossJoin(F.broadcast(last)).select("region", "district_id", "date", "signal_type", (F.col("value") * pulse).alias("value"))
+    return cells.where("signal_type is not null").crossJoin(F.broadcast(last)).select("region", "district_id", "date", "signal_type", (F.col("value") * pulse).alias("value"), *own)
 
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,20 @@ def fill_daily(sparse: DataFrame, keys: tuple[str, ...] = ("district_id", "signa
 def broadcast_regional(series: DataFrame, districts: DataFrame) -> DataFrame:
     """A region's series for each of its districts; series without any value are left out."""
     usable = series.groupBy("region", "signal_type").agg(F.count("value").alias("n")).where("n > 0").select("region", "signal_type")
-    return series.join(usable, ["region", "signal_type"], "left_semi").join(F.broadcast(districts.select("region", "district_id")), "region").select("district_id", "date", "signal_type", "value")
+    return series.join(usable, ["region", "signal_type"], "left_semi").join(districts.select("region", "district_id"), "region").select("district_id", "date", "signal_type", "value")
+
+
+def read_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The frames of the sources that can be read, and the status of each: `ok`, or `error:` with Spark's reason. One source that fails
+    (no such table, no such column) leaves the others alone."""
+    frames, status = {}, {}
+    for name, read in readers.items():
+        try:
+            frames[name] = read()
+            status[name] = "ok"
+        except AnalysisException as e:
+            status[name] = f"error:{e.getCondition()}"
+    return frames, status
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
