@@ -37,7 +37,7 @@ COVERED = 0.8
 RUN = 30
 #: Distinct hashes of benchmark windows that are looked for in one pass over the documents.
 BLOCK = 4_000_000
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Kinds of windows; items of n < WIDTH words have the kind SHORT + n.
 PLAIN, TEMPLATE, SHORT = 0, 1, 10
 _NUMBER = re.compile(rb"[$]?[+-]?[0-9][0-9.,:/]*[%]?$")
@@ -69,16 +69,18 @@ class _Words:
             self.forget()
             new = words
         new = list(new)
-        start, digest, usual = len(self.number), xxhash.xxh64_intdigest, _NUMBER_WORDS | _UNITS
+        start, digest, usual, name = len(self.number), xxhash.xxh64_intdigest, _NUMBER_WORDS | _UNITS, xxhash.xxh64_intdigest(b"\x01name")
         while start + len(new) > len(self.rows):
             self.rows, self.flags = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
         rows, flags = [], []
         for word in new:
-            ends = word[-1:] in b".!?"
-            stem = word[:-1] if ends else word
-            if stem.isalpha() and stem.islower() and stem not in usual:  # ASCII letters: all forms are the word
-                h = digest(stem)
-                rows.append((h, h, h))
+            last = word[-1:]
+            ends = last in b".!?"
+            stem = word[:-1] if ends or last == b"," else word
+            # ASCII letters, lower-cased or capitalised, need no patterns: all forms are the word, or a name inside a sentence.
+            if stem.isalpha() and stem[1:].islower() and (plain := stem.lower()) not in usual:
+                h = digest(plain)
+                rows.append((h, h, h if plain == stem else name))
                 flags.append((ends, True))
             else:
                 plain, first, inside = forms(word)

@@ -266,14 +266,16 @@ def predict(docs: DataFrame, model: KneserNey, keep: list[str] | None = None, na
     row. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
-    columns = [*keep, *names]
+    columns, read = [*keep, *names], [*keep, *([] if "text" in keep else ["text"])]
+    at = read.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(("langid", name), lambda: shared.value)  # it remembers words between tasks
         for batch in slices(batches):
-            found = own.predict([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], columns)
+            found = own.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], columns)
 
     kinds = "".join(f"`{f}` {docs.schema[f].dataType.simpleString()}, " for f in keep)
     # Plain names on the way in, whatever the columns are called.
-    return docs.select(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kinds}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(read)]
+    return docs.select(*plain).mapInArrow(run, f"{kinds}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
