@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import AGG, RAW, series
 
 from watchpost.operators import alerts as al
+from watchpost.operators import briefing as br
 from watchpost.operators import detectors as de
 from watchpost.operators import features as fe
 from watchpost.operators import graph as gr
@@ -118,6 +119,18 @@ def test_region_configuration(spark, tmp_path):
     assert got["p"].neighbors == ["q"] and got["q"].neighbors == ["p"] and all(abs(r.population - 500_000) <= 1 for r in got.values())
 
 
+def test_briefing_lists_its_sources(spark):
+    rows = [("r", "a", "Alpha", DAY, 60.0, "Alert", "Vector", "Dengue"), ("q", "b", "Beta", DAY, 3.0, "Normal", "Unknown", "")]
+    assessed = spark.createDataFrame(rows, "region string, district_id string, district_name string, date date, risk_score double, level string, category string, likely_diseases string")
+    outlook = spark.createDataFrame([("q", "b", 0.25, 1)], "region string, district_id string, prob double, rank int")
+    context = br.briefing_context(assessed, outlook)
+    sources = F.create_map(F.lit("search"), F.lit("ok"), F.lit("events"), F.lit("error:PATH_NOT_FOUND"))
+    got = {r.region: r.body for r in br.briefing_text(context.withColumn("data_sources", sources)).collect()}
+    assert "## Data Sources\nevents (error:PATH_NOT_FOUND), search (ok)\n" in got["r"] and br.AHEAD not in got["r"]
+    assert f"{br.OUTLOOK}\n{br.AHEAD}\n- **Beta** — 25% probability by day 30\n" in got["q"] and br.CONCERN not in got["q"]
+    assert br.SOURCES not in br.briefing_text(context).where("region = 'r'").first().body
+
+
 def test_spread_of_a_star(spark):
     places = spark.createDataFrame([(n, n, "r", 1000, 10.0 + i / 10, 70.0, ["hub"]) for i, n in enumerate(["hub", "x", "y", "z", "alone"])], PLACES).withColumn("neighbors", F.when(F.col("district_id") == "alone", F.array().cast("array<string>")).otherwise(F.col("neighbors")))
     edges = gr.gravity_edges(places)

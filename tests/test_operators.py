@@ -169,13 +169,15 @@ def test_forest_and_averaging(spark):
     rows = spark.range(600).select((F.col("id") % 5).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 500 - 1).alias("x")).withColumn("y", (F.col("x") > 0.2).cast("double"))
     averaged, pooled = mo.grouped_param_average(rows, "g", ["x"], "y", rounds=5), mo.pooled_logistic(rows, ["x"], "y", rounds=5)
     assert abs(averaged[0] - pooled[0]) < 0.2 and averaged[0] > 0
+    assert mo.pooled_logistic(rows.limit(0), ["x"], "y", rounds=2) == [0.0, 0.0]
 
 
 def test_registered_models_are_fitted_whole(spark, monkeypatch):
     rows = spark.range(50).select(F.lit(0).alias("group"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)) / 100).alias(c) for c in jobs._FEATURES], (F.col("id") % 2).cast("double").alias("y"))
     monkeypatch.setattr(jobs, "_labelled", lambda *_: rows)
     steps = []
-    monkeypatch.setattr(mo, "_gradients", lambda data, features, weights: steps.append(1) or {g: ([0.0] * (len(features) + 1), 1) for g in weights})
+    step = mo._stepped
+    monkeypatch.setattr(mo, "_stepped", lambda *args: steps.append(1) or step(*args))
     for name in ("grouped_param_average", "pooled_logistic"):
         steps.clear()
         registry.QUERIES[name](spark, "")

@@ -266,11 +266,11 @@ def briefing_context(spark, d):
 
 
 @query(f"""WITH {_SPREAD}, {_CONTEXT} SELECT ctx.region, as_of, concat_ws(chr(10), '# ' || ctx.region || ' Health Intelligence Briefing', '_As of ' || strftime(as_of, '%Y-%m-%d') || '_' || chr(10),
-'## Executive Summary' || chr(10) || CASE WHEN on_alert = 0 THEN 'No districts currently exceed alert thresholds across ' || total || ' monitored districts. Surveillance signals are within expected ranges.'
-  ELSE '**' || on_alert || '** of ' || total || ' districts are showing elevated outbreak risk.' || coalesce((SELECT ' The highest concern is **' || district_name || '** (' || level || ', risk ' || printf('%.0f', risk_score) || '/100, likely ' || lower(category) || ').' FROM lead WHERE lead.region = ctx.region), '') END || chr(10),
-(SELECT '## Districts of Concern' || chr(10) || string_agg('- **' || district_name || '** — ' || level || ', risk ' || printf('%.0f', risk_score) || '/100 (' || category || ')' || CASE WHEN likely_diseases <> '' THEN ' — likely: ' || likely_diseases ELSE '' END, chr(10) ORDER BY k) || chr(10) FROM shown WHERE shown.region = ctx.region),
-(SELECT '## 30-Day Spread Outlook' || chr(10) || string_agg('- **' || name || '** — ' || printf('%.0f', prob * 100) || '% probability by day 30', chr(10) ORDER BY rank) || chr(10) FROM ol JOIN districts USING (district_id) WHERE ol.region = ctx.region),
-(SELECT '## Recommended Actions' || chr(10) || string_agg(n || '. ' || action, chr(10) ORDER BY n) || chr(10) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pos) AS n FROM acts) a WHERE a.region = ctx.region),
+'{br.SUMMARY}' || chr(10) || CASE WHEN on_alert = 0 THEN '{br.CALM[0]}' || total || '{br.CALM[1]}'
+  ELSE '**' || on_alert || '** of ' || total || '{br.RAISED}' || coalesce((SELECT '{br.HIGHEST}' || district_name || '** (' || level || ', risk ' || printf('%.0f', risk_score) || '/100, likely ' || lower(category) || ').' FROM lead WHERE lead.region = ctx.region), '') END || chr(10),
+(SELECT '{br.CONCERN}' || chr(10) || string_agg('- **' || district_name || '** — ' || level || ', risk ' || printf('%.0f', risk_score) || '/100 (' || category || ')' || CASE WHEN likely_diseases <> '' THEN ' — likely: ' || likely_diseases ELSE '' END, chr(10) ORDER BY k) || chr(10) FROM shown WHERE shown.region = ctx.region),
+(SELECT '{br.OUTLOOK}' || chr(10) || '{br.AHEAD}' || chr(10) || string_agg('- **' || name || '** — ' || printf('%.0f', prob * 100) || '{br.BY_DAY_30}', chr(10) ORDER BY rank) || chr(10) FROM ol JOIN districts USING (district_id) WHERE ol.region = ctx.region),
+(SELECT '{br.ACTIONS}' || chr(10) || string_agg(n || '. ' || action, chr(10) ORDER BY n) || chr(10) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pos) AS n FROM acts) a WHERE a.region = ctx.region),
 '_Generated from statistical surveillance models; it supports expert judgement and does not replace it._') AS body FROM ctx""", "assessed", "latest", "districts", "actions")
 def briefing_text(spark, d):
     return br.briefing_text(_briefing(spark, d))
@@ -328,19 +328,36 @@ def _labelled(spark, d) -> DataFrame:
     return lines.select((F.col("l_suppkey") % 5).alias("group"), (F.col("l_discount") * 10 - 0.5).alias("discount"), (F.col("l_tax") * 10 - 0.4).alias("tax"), (F.col("l_quantity") / 25 - 1).alias("quantity"), (F.col("l_extendedprice") > 30000).cast("double").alias("y"))
 
 
+_WEIGHTS = [f"w_{f}" for f in (*_FEATURES, "bias")]
+_ROUNDS, _EPOCHS, _RATE = 20, 3, 0.5
+
+
+def _averaged_sql(group: str) -> str:
+    """The same rounds of gradient steps as table expressions, and the accuracy by group of the last mean."""
+    z = "0.0 + " + " + ".join(f"{w} * {f}" for w, f in zip(_WEIGHTS, (*_FEATURES, "1.0"), strict=True))
+    steps = [f"""rows AS MATERIALIZED (SELECT l_suppkey % 5 AS "group", {group} AS g, l_discount * 10 - CAST(0.5 AS DOUBLE) AS discount, l_tax * 10 - CAST(0.4 AS DOUBLE) AS tax, l_quantity / 25 - 1 AS quantity, CASE WHEN l_extendedprice > 30000 THEN 1.0 ELSE 0.0 END AS y FROM lineitem)""", "m0 AS (SELECT " + ", ".join(f"CAST(0.0 AS DOUBLE) AS {w}" for w in _WEIGHTS) + ")"]
+    for r in range(_ROUNDS):
+        for e in range(_EPOCHS):
+            held = f"rows, m{r}" if e == 0 else f"rows JOIN s{r}_{e - 1} USING (g)"
+            moved = ", ".join(f"any_value({w}) - CAST({_RATE} AS DOUBLE) * sum(miss * {f}) / count(*) AS {w}" for w, f in zip(_WEIGHTS, (*_FEATURES, "1.0"), strict=True))
+            steps.append(f"s{r}_{e} AS MATERIALIZED (SELECT g, count(*) AS n, {moved} FROM (SELECT g, {', '.join([*_FEATURES, *_WEIGHTS])}, 1 / (1 + exp(-({z}))) - y AS miss FROM {held}) GROUP BY g)")
+        steps.append(f"m{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"sum(n * {w}) / sum(n) AS {w}" for w in _WEIGHTS) + f" FROM s{r}_{_EPOCHS - 1})")
+    shown = ", ".join(f"any_value({rnd(w, 6)}) AS {w}" for w in _WEIGHTS)
+    return f"WITH {', '.join(steps)} SELECT \"group\", {rnd(f'avg(CASE WHEN (1 / (1 + exp(-({z}))) >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END)', 6)} AS accuracy, {shown} FROM rows, m{_ROUNDS} GROUP BY 1"
+
+
 def _accuracy(rows: DataFrame, weights: list[float]) -> DataFrame:
     scored = rows.select("group", mo.logistic_probability(weights, _FEATURES).alias("p"), (F.col("y") == 1).alias("y"))
-    return po.binary_accuracy(scored, ["group"]).withColumn("weights", F.array(*[F.lit(round(w, 6)) for w in weights]))
+    return po.binary_accuracy(scored, ["group"]).withColumns({n: sc.rounded(F.lit(w), 6) for n, w in zip(_WEIGHTS, weights, strict=True)})
 
 
-@query()
+@query(_averaged_sql("l_suppkey % 5"))
 def grouped_param_average(spark, d):
     rows = written(_labelled(spark, d))
-    return _accuracy(rows, mo.grouped_param_average(rows, "group", _FEATURES, "y"))
+    return _accuracy(rows, mo.grouped_param_average(rows, "group", _FEATURES, "y", _ROUNDS, _EPOCHS, _RATE))
 
 
-@query()
+@query(_averaged_sql("'all'"))
 def pooled_logistic(spark, d):
     rows = written(_labelled(spark, d))
-    return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y"))
-
+    return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y", _ROUNDS, _EPOCHS, _RATE))
