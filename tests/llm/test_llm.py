@@ -339,10 +339,11 @@ def test_languages(spark):
 
 def test_odd_texts_and_clashing_columns(spark):
     model = langid.train(spark.createDataFrame([(i, EN if i % 2 else FR, "en" if i % 2 else "fr") for i in range(20)], "doc_id long, text string, lang string"))
-    texts = ["Q", "\u0301\u0302", "a\u0301", "é", "of " * 40000, EN, EN, "x" * 30000, " I ", "I a I"]
+    texts = ["Q", "\u0301\u0302", "a\u0301", "é", "of " * 40000, EN, EN, "x" * 30000, " I ", "I a I", "12ab34", "the river abc12def 9f"]
     odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"score": F.lit("mine"), "_text": F.lit(1), "a.b": F.lit(2)})
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
-    assert got[1].lang_pred == "und" and got[1].score == 0 and all(got[i].lang_pred in ("en", "fr") for i in range(10) if i != 1)
+    assert got[1].lang_pred == "und" and got[1].score == 0 and all(got[i].lang_pred in ("en", "fr") for i in range(12) if i != 1) and not got[11].rejected
+    assert langid.words_of(texts[11]) == ["the", "river"] and langid.words_of(texts[10]) == ["ab"]
     assert got[5][1:] == got[6][1:]
     kept = langid.predict(odd, model, keep=odd.columns, names=("_lang", "_score", "_rejected"))
     assert kept.columns == [*odd.columns, "_lang", "_score", "_rejected"] and {r.score for r in kept.select("score").collect()} == {"mine"}
@@ -412,10 +413,14 @@ def test_rejection_is_calibrated_on_rows_apart(spark):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(EN.split(), 12)) for _ in range(300)]
     model = langid.KneserNey.train({"en": texts})
-    assert np.isfinite(model.limits[:4]).all() and (np.diff(model.limits[:, 0]) <= 0).all()
+    assert np.isfinite(model.limits[:4]).all() and (np.diff(model.limits) <= 0).all()
     fresh = [" ".join(rng.choice(EN.split(), int(rng.integers(1, 14)))) for _ in range(500)]
     assert sum(x[2] for x in model.predict(fresh)) <= 1
     assert all(x[2] for x in model.predict(["xkcdq wvwzq qqjx zzkk pqpq wxyz", "ğüşöç ığdır çömçö ĵŝĉ"]))
+    french = [" ".join(rng.choice(FR.split(), 12)) for _ in range(300)]
+    both = langid.KneserNey.train({"en": texts, "fr": french})
+    mixed = [f"{a} {b}" for a, b in zip(texts[:50], french[:50], strict=True)]
+    assert not any(x[2] for x in both.predict([*mixed, *texts, *french])) and all(x[2] for x in both.predict(["xkcdq wvwzq qqjx zzkk pqpq wxyz vvvv kkqz"]))
 
 
 # Licences

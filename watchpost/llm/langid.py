@@ -8,9 +8,10 @@ character sum to 1 in every context. Probabilities of all n-grams that any langu
 n-gram hashes per order, with a column per language, so that a look-up by binary search scores all languages at once. A text's score for a
 language is its cross-entropy per character; the lowest one wins.
 
-Rejection is calibrated on labelled texts that the models haven't learned: excerpts of 1, 2, 4, .. words of them give the
-cross-entropies of true texts of each length, and a limit lies where an exponential tail would leave `FALSE_REJECTS` of them. A text
-without a letter, or above its length's limit, is rejected.
+Rejection asks whether a text is in any of the languages, mixed ones included: its strangeness is the cross-entropy with each word
+under the language that suits it best. It is calibrated on labelled texts that the models haven't learned: excerpts of 1, 2, 4, .. words of them
+give the strangeness of true texts of each length, and a limit lies where an exponential tail would leave `FALSE_REJECTS` of them. A
+text without a letter, or above its length's limit, is rejected.
 
 Training takes a bounded sample of the labelled rows: texts in hash order until `sample_chars` characters are reached, in equal shares
 for the languages; a text of over an eighth of a share is left to others.
@@ -39,18 +40,24 @@ DISCOUNT = 0.75
 #: Bound of the training sample, in characters over all languages, and the rows of a language that it draws from.
 SAMPLE_CHARS, SAMPLE_ROWS = 6_000_000, 3000
 #: Share of true texts that rejection may cost, by its calibration; one text in APART is kept for that.
-FALSE_REJECTS, APART = 1e-4, 5
+FALSE_REJECTS, APART = 1e-6, 5
 #: Fewer texts apart than this calibrate nothing: then only texts without a letter are rejected.
 LEAST_APART = 30
 #: Lengths of excerpts: 1, 2, 4, .. words.
 LENGTHS = 12
 REMEMBERED = 200_000
 UND = "und"
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Runs of letters that touch no digit, such as those inside a hexadecimal number do; where a text has no others, any run.
+_WORD, _ANY = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*+(?!\p{N})"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _PAD = np.uint32(0x110000)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return _WORD.findall(low) or _ANY.findall(low)
+
+
 def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each n-gram length, the hash of the n-gram that ends at each character of the marked words (0: the word hasn't that much
     before it); the place of each character in its word, 0 at the start mark, and its word."""
@@ -101,7 +108,7 @@ def _counts(words: Counter[str], order: int) -> list[dict]:
 
 class KneserNey:
     """`keys[n]` sorted hashes of n-grams of length n + 1, `values[n]` their log-probabilities (languages in columns),
-    `backoff[n]` the log-weights that contexts in `contexts[n]` leave to the shorter n-gram, `limits` by length and language."""
+    `backoff[n]` the log-weights that contexts in `contexts[n]` leave to the shorter n-gram, `limits` of strangeness by length."""
 
     def __init__(self, languages: list[str], keys, values, contexts, backoff, unseen: float, limits: np.ndarray):
         self.languages, self.keys, self.values, self.contexts, self.backoff = languages, keys, values, contexts, backoff
@@ -111,10 +118,10 @@ class KneserNey:
     @classmethod
     def train(cls, texts: dict[str, list[str]], order: int = ORDER) -> KneserNey:
         learned = {lang: [t for i, t in enumerate(own) if i % APART != APART - 1] for lang, own in texts.items()}
-        counters = {lang: Counter(w for t in own for w in _WORD.findall(t.lower())) for lang, own in learned.items()}
+        counters = {lang: Counter(w for t in own for w in words_of(t)) for lang, own in learned.items()}
         languages = sorted(lang for lang, own in counters.items() if own)
         if not languages:
-            return cls([], [], [], [], [], 0.0, np.zeros((LENGTHS, 0)))
+            return cls([], [], [], [], [], 0.0, np.zeros(LENGTHS))
         per = [_counts(counters[lang], order) for lang in languages]
         keys, values, contexts, backoff, shorter = [], [], [], [], None
         unseen = 1.0 / (len(np.unique(np.concatenate([p[0]["gram"] for p in per]))) + 1)
@@ -141,22 +148,21 @@ class KneserNey:
             contexts.append(all_contexts)
             backoff.append(np.log(weights).astype(np.float32))
             shorter = p_all
-        model = cls(languages, keys, values, contexts, backoff, float(np.log(unseen)), np.full((LENGTHS, len(languages)), np.inf))
-        for j, lang in enumerate(languages):
-            model.limits[:, j] = model._calibrated(j, texts[lang][APART - 1 :: APART])
+        model = cls(languages, keys, values, contexts, backoff, float(np.log(unseen)), np.full(LENGTHS, np.inf))
+        model.limits = model._calibrated([t for lang in languages for t in texts[lang][APART - 1 :: APART]])
         model.forget()
         return model
 
-    def _calibrated(self, j: int, apart: list[str]) -> np.ndarray:
-        """Limits of cross-entropy by length, from excerpts of texts of language j."""
+    def _calibrated(self, apart: list[str]) -> np.ndarray:
+        """Limits of strangeness by length, from excerpts of texts."""
         found: list[list[float]] = [[] for _ in range(LENGTHS)]
         for text in apart:
-            words = _WORD.findall(text.lower())
+            words = words_of(text)
             self.learn(set(words))
             for b in range(LENGTHS):
                 if len(words) >= 1 << b:
                     for start in np.unique(np.linspace(0, len(words) - (1 << b), 8).astype(int)).tolist():
-                        found[b].append(self._entropy(words[start : start + (1 << b)])[0][j])
+                        found[b].append(self._entropy(words[start : start + (1 << b)])[2])
         out, last = np.full(LENGTHS, np.inf), np.inf
         for b, own in enumerate(found):
             if len(apart) >= LEAST_APART and len(own) >= 10:
@@ -211,20 +217,20 @@ class KneserNey:
                 self.sums[start + i : start + i + len(new[i : i + 20_000])] = self._word_sums(new[i : i + 20_000])
             self.known |= {w: i for i, w in enumerate(new, start)}
 
-    def _entropy(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """Nats per character for each language, and the number of characters, of words that are remembered."""
+    def _entropy(self, words: list[str]) -> tuple[np.ndarray, int, float]:
+        """Nats per character for each language, the number of characters, and strangeness, of words that are remembered."""
         n = sum(map(len, words)) + len(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return -self.sums[at].sum(0, dtype=np.float64) / n, n
+        sums = self.sums[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        return -sums.sum(0, dtype=np.float64) / n, n, float(-sums.max(1).sum(dtype=np.float64) / n)
 
     def cross_entropy(self, text: str) -> tuple[np.ndarray, int]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         self.learn(set(words))
-        return self._entropy(words) if words else (np.zeros(len(self.languages)), 0)
+        return self._entropy(words)[:2] if words else (np.zeros(len(self.languages)), 0)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """Language, score and whether the text is rejected, of each text."""
-        all_words = [_WORD.findall(t.lower()) for t in texts]
+        all_words = [words_of(t) for t in texts]
         if self.languages:
             self.learn(set().union(*all_words))
         out = []
@@ -232,10 +238,10 @@ class KneserNey:
             if not words or not self.languages:
                 out.append((UND, 0.0, True))
                 continue
-            ce, n = self._entropy(words)
+            ce, n, strange = self._entropy(words)
             best = int(np.argmin(ce))
             share = np.exp(-(ce - ce[best]) * min(n, 50))
-            out.append((self.languages[best], float(1 / share.sum()), bool(ce[best] > self.limits[min(len(words).bit_length(), LENGTHS) - 1, best])))
+            out.append((self.languages[best], float(1 / share.sum()), bool(strange > self.limits[min(len(words).bit_length(), LENGTHS) - 1])))
         return out
 
 
