@@ -29,7 +29,7 @@ from watchpost.llm.common import kept, slices
 from watchpost.llm.mphash import PerfectHash
 
 #: Pre-tokens and words in a generation: a worker remembers the one that fills up and the one before, which bounds its memory.
-PIECES, WORDS = 500_000, 200_000
+PIECES, WORDS = 200_000, 100_000
 #: Fixed value: the public pattern that lets a text be cut at white space before it is matched; texts under other patterns are matched whole.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that isn't alone between words: such a text is matched as a whole too.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -52,6 +55,9 @@ def kept(name: tuple, make: Callable[[], Any]) -> Any:
     that a pipeline's memory is that of its largest stage."""
     if name not in _kept:
         _kept.clear()
+        gc.collect()
+        if sys.platform == "linux":  # freed memory goes back to the machine, not only to this process
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
         _kept[name] = make()
     return _kept[name]
 
