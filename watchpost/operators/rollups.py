@@ -9,7 +9,9 @@ from watchpost.functions.scoring import level_order, rounded
 
 
 def risk_timeline(risk: DataFrame) -> DataFrame:
-    return risk.groupBy("date").agg(rounded(F.avg("risk_score"), 2).alias("mean_risk"), rounded(F.max("risk_score"), 2).alias("max_risk"))
+    """(date, mean_risk, max_risk): risk has two decimals, so hundredths add up to the same mean in any order."""
+    hundredths = F.floor(F.col("risk_score") * 100 + 0.5).cast("long")
+    return risk.groupBy("date").agg(rounded(F.sum(hundredths) / F.count("risk_score") / 100, 2).alias("mean_risk"), rounded(F.max("risk_score"), 2).alias("max_risk"))
 
 
 def signal_daily_mean(agg: DataFrame, district_id: str) -> DataFrame:

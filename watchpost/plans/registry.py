@@ -345,7 +345,7 @@ def risk_named(spark, d):
     return _latest(spark, d).select("district_id", "district_name", "date", "risk_score", "level")
 
 
-@query(f"SELECT date, {rnd('avg(risk_score)', 2)} AS mean_risk, {rnd('max(risk_score)', 2)} AS max_risk FROM risk GROUP BY date", "risk")
+@query(f"SELECT date, {rnd('sum(CAST(floor(risk_score * 100 + 0.5) AS BIGINT)) / count(risk_score) / 100', 2)} AS mean_risk, {rnd('max(risk_score)', 2)} AS max_risk FROM risk GROUP BY date", "risk")
 def risk_timeline(spark, d):
     return ro.risk_timeline(_risk(spark, d))
 
