@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, decontam, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity
+from watchpost.llm import bpe, decontam, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity, whiten
 from watchpost.llm.common import held_out, table
 
 
@@ -66,8 +66,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "n_links")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whiten.fit(vectors)
+    return whiten.long_form(whiten.whiten(vectors, model), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op4_lm_scores, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op4_lm_scores, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash, op13_whitening)}
 
 
 _OP2 = r"""
