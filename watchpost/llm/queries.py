@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, decontam, jaccard, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity, whiten
+from watchpost.llm import align, bpe, decontam, jaccard, langid, lbl, licenses, linedup, rules, simhash, tokenbin, toxicity, whiten
 from watchpost.llm.common import held_out, table
 
 
@@ -66,6 +66,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "n_links")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_statistics(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard.similar_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
@@ -78,7 +82,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op4_lm_scores, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash, op12_jaccard_join, op13_whitening)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_files, op4_lm_scores, op5_byte_bpe, op6_language_id, op7_license_scan, op8_decontamination, op9_toxicity, op10_simhash, op11_tokenizer_alignment, op12_jaccard_join, op13_whitening)}
 
 
 _OP2 = r"""
