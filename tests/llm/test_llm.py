@@ -5,6 +5,7 @@ import collections
 import hashlib
 import pathlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -512,8 +513,97 @@ def test_repeated_windows_do_not_multiply(spark):
 
 
 def test_contradicting_slots_do_not_count():
-    pairs = [(0, 0, ["5", "7"], ["3", "3"]), (5, 5, ["5"], ["3"])]
-    assert decontam._held(10, pairs, True) < 1.0 == decontam._held(10, pairs, False)
+    windows = [([(0, ["5", "7"])], [(0, ["3", "3"])]), ([(5, ["5"])], [(5, ["3"])])]
+    assert decontam._agreeing(10, windows) < 0.8 <= 1.0 == decontam._covered(10, windows)
+    agreed = [([(0, ["5", "5"])], [(0, ["3", "3"])]), ([(5, ["5"])], [(5, ["3"])])]
+    assert decontam._agreeing(10, agreed) == 1.0
+
+
+def test_rows_of_numbers_are_no_evidence(spark):
+    items = [(1, "Sort: 3 1 4 7 5 9 2 6 8 0"), (2, "Here are " + " ".join(map(str, range(30))) + " and this is what you add up to get it"), (3, "Add 17 and 25 and then take 9 away from the sum")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    numbers = lambda n, a: " ".join(str(a + 7 * k) for k in range(n))
+    texts = [(1, f"table of results {numbers(12, 12)} and more words"), (2, numbers(250, 3)), (3, numbers(2000, 5)), (4, numbers(20000, 9)), (5, f"here are {numbers(20000, 11)} and this is what"), (6, items[0][1]), (7, items[1][1]), (8, "Add 40 and 51 and then take 6 away from the sum")]
+    start = time.perf_counter()
+    decontam.scan(make(spark, texts[:1]), bench).collect()
+    alone = time.perf_counter() - start
+    got = {r.doc_id: (r.item_ids, r.reparameterised) for r in decontam.scan(make(spark, texts), bench).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: ([], []), 4: ([], []), 5: ([], []), 6: ([1], []), 7: ([2], []), 8: ([3], [3])}
+    assert time.perf_counter() - start < 3 * alone + 10
+
+
+@pytest.mark.parametrize("n", [250, 2000, 20000])
+def test_judging_takes_time_by_positions(n):
+    words = 45
+    repeated = [([(p, []) for p in range(n)], [(i, []) for i in range(26)])]
+    numbers = [([(p, [str(p)]) for p in range(k, n, 5)], [(i, [str(i)]) for i in range(k, 30, 5)]) for k in range(5)]
+    start = time.perf_counter()
+    assert decontam._longest_run(30, repeated) == 30 and decontam._covered(30, repeated) == 1.0
+    decontam._agreeing(words, numbers)
+    assert time.perf_counter() - start < 1 + n / 2000
+
+
+def template_readings(text):
+    """Of each word that is left: plain form and the set of its template forms."""
+    out, start = [], True
+    for w in words(text):
+        plain, first, inside = decontam.forms(w.encode())
+        if plain:
+            out.append((plain, {first, inside} if start else {inside}))
+        start = w[-1] in ".!?"
+    return out
+
+
+def brute_template(text, item, covered=0.8, width=5):
+    """Whether a document holds an item as template: every alignment, its windows by distance, slots that agree."""
+    d, i = template_readings(text or ""), template_readings(item or "")
+    if len(i) < width:
+        return False
+    slots = {b"\x01number", b"\x01unit", b"\x01name"}
+    met = {}
+    for k in range(len(d) - width + 1):
+        for j in range(len(i) - width + 1):
+            forms = [x[1] & y[1] for x, y in zip(d[k : k + width], i[j : j + width], strict=True)]
+            options = [[]]
+            for f, x, y in zip(forms, d[k : k + width], i[j : j + width], strict=True):
+                options = [[*o, (y[0], x[0]) if form in slots else None] for o in options for form in sorted(f)]
+            met[j, k - j] = [[p for p in o if p] for o in options if sum(p is None for p in o) >= 2]
+    met = {key: o for key, o in met.items() if o}
+    reach = len(i) // 2 + width
+    for base in {s for _, s in met}:
+        order = []
+        for j in {j for j, _ in met}:
+            own = sorted(s for q, s in met if q == j)
+            below, above = [s for s in own if s < base], [s for s in own if s >= base]
+            order += [(abs(s - base), j, s) for s in below[-1:] + above[:2] if abs(s - base) <= reach]
+        seen, values = set(), {}
+        for _, j, s in sorted(order):
+            for pairs in met[j, s]:
+                read = dict(pairs)
+                if all(read[a] == b and values.get(a, b) == b for a, b in pairs):
+                    values |= read
+                    seen |= set(range(j, j + width))
+                    break
+        if len(seen) >= covered * len(i):
+            return True
+    return False
+
+
+def test_template_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    names, things = ["Ann", "Bob", "Cal", "Dana", "Eva", "Finn"], ["apples", "books", "coins", "pens"]
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    frames = ["{a} has {x} {t} and buys {y} more. {a} gives {x} {t} to {b}. How many {t} does {a} have now?", "A train runs {x} km in {y} hours. How far does it go in {z} hours at that speed?", "{a}, {b} and {a} share {x} {t}. Each of them gets {y}. What is left of the {t} in the end?", "Mix {x} ml of water with {y} g of salt, then wait {z} minutes. {a} stirs it {x} times before use."]
+    fill = lambda f: f.format(a=pick(names), b=pick(names), t=pick(things), x=rng.integers(2, 99), y=rng.integers(2, 99), z=rng.integers(2, 9))
+    items = [(k, fill(frames[k % 4])) for k in range(8)]
+    texts = [(k, "We read this. " * int(rng.integers(3)) + fill(frames[int(rng.integers(4))]) + " So be it." * int(rng.integers(3))) for k in range(60)]
+    texts += [(100 + k, " ".join(w for n, w in enumerate(fill(frames[k % 4]).split()) if n != 4 + k % 9)) for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (set(r.item_ids), set(r.reparameterised)) for r in decontam.scan(make(spark, texts), bench).collect()}
+    plain = {d: {i for i, item in items if brute_held(t, item)} for d, t in texts}
+    templates = {d: {i for i, item in items if brute_template(t, item)} - plain[d] for d, t in texts}
+    assert got == {d: (plain[d] | templates[d], templates[d]) for d, _ in texts}
+    assert 10 < sum(map(bool, templates.values())) < len(texts)
 
 
 def test_names_that_begin_sentences(spark):

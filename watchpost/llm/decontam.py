@@ -2,10 +2,12 @@
 
 Words lose punctuation at their ends and case; words of punctuation alone go. Beside this plain form, a template form has
 typed placeholders for numbers, units and names (capitalised words). A capitalised word that begins a sentence may be a name or
-not, and is read both ways. Windows of five words of both forms are hashed. Documents keep only windows whose hash some benchmark window has, told from a broadcast table of hashes that is
+not, and is read both ways. Windows of five words of both forms are hashed; template windows with fewer than LITERAL words that are no
+placeholders say nothing (a row of numbers is like any other) and are left out on both sides. Documents keep only windows whose hash some benchmark window has, told from a broadcast table of hashes that is
 filled in blocks of bounded size, so that a benchmark of any size takes more blocks, not more memory. The windows left are
 hash-joined with the benchmark's. A document holds an item if windows near each other cover 0.8 of the item's words: in
-plain form, or in template form when the slots agree, that is when equal values of the item are equal in the document; or if a run
+plain form, or in template form when the slots agree, that is when equal values of the item are equal in the document (read along an
+alignment of both texts, and from the windows nearest to it where words were put in or left out); or if a run
 of 30 words stands in both, whatever part of the item that is. Items of two to four words are one window of their own width, and
 an item of one word is held by documents of that word alone.
 
@@ -20,6 +22,7 @@ for all; items that repeat an item_id are found under it, each by its own words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,6 +38,8 @@ WIDTH = 5
 COVERED = 0.8
 #: Words in a row, in plain form, that are proof by themselves.
 RUN = 30
+#: Words of a template window that are no placeholders, at least.
+LITERAL = 2
 #: Distinct hashes of benchmark windows that are looked for in one pass over the documents.
 BLOCK = 4_000_000
 REMEMBERED = 300_000
@@ -110,6 +115,7 @@ def forms(word: bytes) -> tuple[bytes, bytes, bytes]:
 
 
 _SLOTS = frozenset((b"\x01number", b"\x01unit", b"\x01name"))
+_SLOT_HASHES = np.array([xxhash.xxh64_intdigest(x) for x in sorted(_SLOTS)], np.uint64)
 
 
 def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, widths: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
@@ -180,8 +186,9 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, w
     yield from by_text(sums[at], at, PLAIN, 0)
     inside = table[ids, 2]
     h = np.where(starts_sentence, table[ids, 1], inside)
+    is_slot, slot_inside = (np.logical_or.reduce([x == k for k in _SLOT_HASHES]) for x in (h, inside))
     sums = hashed([h[j : j + m] for j in range(WIDTH)], TEMPLATE)
-    at = asked(sums, whole)
+    at = asked(sums, whole & (sum(is_slot[j : j + m].astype(np.int8) for j in range(WIDTH)) <= WIDTH - LITERAL))
     yield from by_text(sums[at], at, TEMPLATE, 0)
     # A capitalised sentence start has two readings; windows that hold some are read in every other way too.
     either = starts_sentence & (h != inside)
@@ -193,7 +200,8 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, w
         own = some[(ways[some] & way) == way]
         if len(own):
             sums = hashed([inside[own + j] if way >> j & 1 else h[own + j] for j in range(WIDTH)], TEMPLATE)
-            at = asked(sums, np.ones(len(own), bool))
+            slots = sum((slot_inside if way >> j & 1 else is_slot)[own + j].astype(np.int8) for j in range(WIDTH))
+            at = asked(sums, slots <= WIDTH - LITERAL)
             yield from by_text(sums[at], own[at], TEMPLATE, way)
 
 
@@ -233,51 +241,85 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, f"doc long, row long, {_WINDOWS}")
 
 
-def _held(n_words: int, pairs: list[tuple[int, int, list[str], list[str]]], check_slots: bool) -> float:
-    """The largest part of an item's words that windows near each other cover; pairs: position in the document, in the
-    item, slots of either. With check_slots, windows that contradict the slots read so far don't count."""
-    pairs, reach, best = sorted(pairs, key=lambda x: x[:2]), n_words + n_words // 2 + WIDTH, 0.0
-    if not check_slots:
-        # One pass with two ends: how many of the windows within reach cover each word.
-        times, covered, low = [0] * n_words, 0, 0
-        for pos, item_pos, _, _ in pairs:
-            for j in range(item_pos, item_pos + WIDTH):
+Windows = list[tuple[list[tuple[int, list[str]]], list[tuple[int, list[str]]]]]
+
+
+def _reach(n_words: int) -> int:
+    return n_words + n_words // 2 + WIDTH
+
+
+def _covered(n_words: int, windows: Windows) -> float:
+    """The largest part of an item's words that windows near each other cover, whatever their slots. Equal windows that follow
+    each other within reach are one span, so that repetition costs no more than its positions."""
+    reach, events = _reach(n_words), []
+    for k, (own, theirs) in enumerate(windows):
+        words = sorted({j for i, _ in theirs for j in range(i, i + WIDTH)})
+        first = last = None
+        for pos in sorted(p for p, _ in own):
+            if last is None or pos - last > reach:
+                if last is not None:
+                    events += [(first, 0, k, words), (last + reach, 1, k, words)]
+                first = pos
+            last = pos
+        if last is not None:
+            events += [(first, 0, k, words), (last + reach, 1, k, words)]
+    times, covered, best = [0] * n_words, 0, 0
+    for _, ends, _, words in sorted(events, key=lambda e: e[:3]):
+        for j in words:
+            if ends:
+                times[j] -= 1
+                covered -= times[j] == 0
+            else:
                 covered += times[j] == 0
                 times[j] += 1
-            while pairs[low][0] < pos - reach:
-                for j in range(pairs[low][1], pairs[low][1] + WIDTH):
-                    times[j] -= 1
-                    covered -= times[j] == 0
-                low += 1
-            best = max(best, covered / n_words)
-        return best
-    tried = None
-    for k, (start, at, _, _) in enumerate(pairs):
-        if tried is not None and start - at == tried:
-            continue  # the same alignment as just before begins no better
-        tried = start - at
-        covered, values = np.zeros(n_words, bool), {}
-        for pos, item_pos, own, theirs in pairs[k:]:
-            if pos > start + reach:
-                break
-            read = dict(zip(theirs, own, strict=False))
-            if any(len({o for t, o in zip(theirs, own, strict=False) if t == v}) > 1 or values.get(v, read[v]) != read[v] for v in read):
-                continue
-            values |= read
-            covered[item_pos : item_pos + WIDTH] = True
-        best = max(best, covered.mean())
-        if best == 1:
+        best = max(best, covered)
+    return best / n_words
+
+
+def _agreeing(n_words: int, windows: Windows) -> float:
+    """The same, with slots that agree, as far as COVERED. For each alignment of the two texts its own windows come first, then those nearest
+    to it; a window that contradicts the values read so far doesn't count."""
+    if _covered(n_words, windows) < COVERED:
+        return 0.0
+    at: dict[int, dict[int, list[tuple[list[str], list[str]]]]] = {}  # by word of the item and alignment: slots of both sides
+    for own, theirs in windows:
+        for item_pos, wanted in theirs:
+            by_shift = at.setdefault(item_pos, {})
+            for pos, found in own:
+                by_shift.setdefault(pos - item_pos, []).append((found, wanted))
+    shifts = {i: sorted(x) for i, x in at.items()}
+    best, reach = 0.0, n_words // 2 + WIDTH
+    for base in sorted({d for x in shifts.values() for d in x}):
+        order = []
+        for i, own in shifts.items():
+            k = bisect_left(own, base)
+            order += [(abs(d - base), i, d) for d in own[max(0, k - 1) : k + 2] if abs(d - base) <= reach]
+        if 5 * len({i for _, i, _ in order}) < COVERED * n_words:
+            continue
+        covered, values = set(), {}
+        for _, i, d in sorted(order):
+            for found, wanted in at[i][d]:
+                read = dict(zip(wanted, found, strict=False))
+                if all(read[w] == f for w, f in zip(wanted, found, strict=False)) and all(values.get(w, f) == f for w, f in read.items()):
+                    values |= read
+                    covered.update(range(i, i + WIDTH))
+                    break
+        best = max(best, len(covered) / n_words)
+        if best >= COVERED:
             break
-    return float(best)
-
-
-def _longest_run(pairs: list[tuple[int, int, list[str], list[str]]]) -> int:
-    """Words of the longest run that stands in both texts."""
-    best = run = 0
-    last = None
-    for diagonal, pos in sorted({(x[0] - x[1], x[0]) for x in pairs}):
-        run = run + 1 if last == (diagonal, pos - 1) else 1
-        last, best = (diagonal, pos), max(best, run)
+    return best
+
+
+def _longest_run(n_words: int, windows: Windows) -> int:
+    """Words of the longest run that stands in both texts: a row of the item's positions goes along the document's."""
+    places = {pos: k for k, (own, _) in enumerate(windows) for pos, _ in own}
+    theirs = [np.array(sorted(i for i, _ in t), np.int64) for _, t in windows]
+    row, last, best = np.zeros(n_words + 2, np.int64), None, 0
+    for pos in sorted(places):
+        items = theirs[places[pos]]
+        now = np.zeros(n_words + 2, np.int64)
+        now[items + 1] = row[items] + 1 if last == pos - 1 else 1
+        row, last, best = now, pos, max(best, int(now[items + 1].max(initial=0)))
     return best + WIDTH - 1 if best else 0
 
 
@@ -288,11 +330,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n_words < WIDTH:
                 out.append((1.0, 1.0, n_words))
                 continue
-            by_kind: dict[int, list] = {PLAIN: [], TEMPLATE: []}
+            by_kind: dict[int, Windows] = {PLAIN: [], TEMPLATE: []}
             for m in shared:
-                by_kind[m["kind"]] += [(x["pos"], y["pos"], x["slots"], y["slots"]) for x in m["own"] for y in m["theirs"]]
-            plain, run = _held(n_words, by_kind[PLAIN], False), _longest_run(by_kind[PLAIN])
-            out.append((plain, plain if plain >= COVERED else _held(n_words, by_kind[TEMPLATE], True), run))
+                by_kind[m["kind"]].append(tuple([(x["pos"], x["slots"]) for x in m[side]] for side in ("own", "theirs")))
+            plain, run = _covered(n_words, by_kind[PLAIN]), _longest_run(n_words, by_kind[PLAIN])
+            out.append((plain, plain if plain >= COVERED else _agreeing(n_words, by_kind[TEMPLATE]), run))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())], ["doc", "row", "item_id", "plain", "template", "run"])
 
 
