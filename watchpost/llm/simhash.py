@@ -29,7 +29,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm import neardup
 from watchpost.llm.common import as_bytes, slices, written
 from watchpost.llm.components import components
 
@@ -206,13 +205,3 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 2, bu
     top = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     labels = written(named.join(top, "root").join(degree, "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "class_id", "n_links")
-
-
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, component_id) of texts whose sets of five-word shingles have a similarity of 0.8 or more.
-
-    Fingerprints can't find these at any size: on near copies at 0.8 and above of the check's documents 64 bits differ in 7 on average, and 12
-    are needed to find 0.93 of them; the best parts and thresholds for 12 bits then meet a fixed share of all pairs of
-    documents (README gives figures), which grows with their square. So candidates of this form of the operator come from minimum hashes of the same
-    shingles, and each is verified on the sets."""
-    return neardup.near_copy_groups(docs)
