@@ -73,18 +73,23 @@ def test_random_texts(spark, libraries, monkeypatch):
         assert tuple(r)[1:] == w, repr(text)
 
 
-def test_forgetting_changes_nothing(spark, libraries):
+def test_forgetting_changes_nothing(spark, libraries, monkeypatch):
     files = tuple(open(f, "rb").read() for f in FILES)
     own = align.Aligner(*files)
-    was, align.CHUNKS = align.CHUNKS, 7
-    try:
-        for text in TEXTS[4:] * 2:
-            known = own.learn(set(align.chunks_of(text)))
-            if all(known[c] for c in align.chunks_of(text)):
-                ids = np.frombuffer(b"".join(known[c].a for c in align.chunks_of(text)), np.int32).tolist()
-                assert ids == libraries[0].encode(" " + text, add_special_tokens=False).ids
-    finally:
-        align.CHUNKS = was
+    monkeypatch.setattr(align, "CHUNKS", 7)
+    for text in TEXTS[4:] * 2:
+        chunks = own.cut(text)
+        assert "".join(chunks) == " " + text
+        own.learn(set(chunks))
+        numbers = np.array([own.number[c] for c in chunks])
+        if own.sound[numbers].all():
+            assert own.rows[0].take(numbers)[0].tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
+            assert own.rows[1].take(numbers)[0].tolist() == libraries[1].encode(text)
+        if own.full():
+            own.forget()
+    with open(FILES[0]) as f:  # under another split pattern a text is one chunk
+        other = align.Aligner(f.read().replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false').encode(), files[1])
+    assert own.worded and not other.worded and other.cut("two words") == [" two words"]
 
 
 def test_align_returns_ids_and_groups(spark, libraries):
@@ -101,7 +106,12 @@ def test_groups_by_divide_and_conquer():
         n = rng.randrange(1, 60)
         a, b = (sorted({n, *rng.sample(range(1, n + 1), rng.randrange(n))}) for _ in range(2))
         want = [(a.index(e) + 1, b.index(e) + 1) for e in sorted(set(a) & set(b))]
-        assert align.shared_groups(a, b) == want
+        got = align.shared_groups(np.array(a), np.array(b), np.array([len(a)]), np.array([len(b)]))
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+        some = rng.choice(want)
+        parts = [np.array(sorted({some[k], (len(a), len(b))[k]})) for k in (0, 1)]
+        got = align.shared_groups(np.array(a), np.array(b), *parts)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
 def test_empty_and_null_ids(spark):

@@ -1,9 +1,11 @@
 """Alignment of two tokenizers' tokens over the same bytes: groups between shared cuts, links of overlapping tokens, counts of linked ids.
 
-Tokenizer A is byte-level BPE, B sentence pieces with byte fallback; A reads a space and the text, B adds that space itself. Neither lets a
-token go on past a space that follows a visible character, so texts are cut there into chunks, whose cuts both sides share; chunks repeat, so a
-worker aligns each new one once. Within a chunk the groups come by divide and conquer: the byte end common to both sides that is nearest
-to the middle (found by bisecting the other side's ends) parts the interval, both halves go on, an interval without such an end is a group.
+Tokenizer A is byte-level BPE, B sentence pieces with byte fallback; A reads a space and the text, B adds that space itself. Where neither lets a
+token go on, texts are cut into chunks, whose ends both sides share: before a space or line break that follows a visible character, and
+between letters and common punctuation. That depends on A's split pattern and B's vocabulary, which are looked at; under others
+a text is one chunk. Chunks repeat, so a worker aligns each new one once, many at a time. Within chunks the groups come by divide and
+conquer: the byte end common to both sides that is nearest to an interval's middle (found by bisecting the other side's ends) parts
+it, both halves go on, an interval without such an end is a group. All intervals of a level go together.
 
 A pair of ids counts as often as its tokens' byte ranges overlap in the corpus. Tasks add up their chunks' links before Spark adds
 the tasks'. The most frequent pairs, KNOWN at most, are broadcast with their counts; links of all other pairs are joined with the count table.
@@ -19,12 +21,9 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,47 +35,82 @@ from tokenizers import Tokenizer
 
 from watchpost.llm.common import kept, slices, written
 
-#: Chunks in a generation: a worker remembers the one that fills up and the one before; chunks of more characters than LONG are not remembered.
-CHUNKS, LONG = 60_000, 200
-#: Chunks whose occurrences a task counts before it sends their links, and pairs of ids that are broadcast.
-COUNTED, KNOWN = 150_000, 1 << 20
-#: White space that isn't alone between words: such a text is cut by the pattern below.
-_LOOSE = re.compile(r"\s(?:\s|\Z)|\A\s|[\u180e\u200b] ")
-_CUT = re.compile(r"(?<=[^\s\u180e\u200b])(?= )")
-
-
-def shared_groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(A tokens, B tokens) up to each group's end, from the byte ends of both sides, whose last ends are equal."""
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        middle, found = (a0 + a1 - 1) // 2, None
-        if b1 - b0 > 1:
-            for off in range(a1 - a0):
-                for i in {middle - off, middle + off}:
-                    if a0 <= i < a1 - 1:
-                        j = bisect_left(b, a[i], b0, b1 - 1)
-                        if j < b1 - 1 and b[j] == a[i]:
-                            found = (i + 1, j + 1)
-                            break
-                if found or (middle - off < a0 and middle + off >= a1 - 1):
-                    break
-        if found is None:
-            out.append((a1, b1))
-        else:
-            todo += [(found[0], a1, found[1], b1), (a0, found[0], b0, found[1])]
-    return out
+#: Chunks that a worker remembers, and the characters of all of them.
+CHUNKS, CHARACTERS = 250_000, 4_000_000
+#: Pairs of ids that are broadcast.
+KNOWN = 1 << 20
+#: Strings that no text may hold to be cut at line breaks and punctuation too; others are cut before spaces only.
+_LOOSE = ("  ", " \n", "\n ", "\n\n", "\u180e", "\u200b")
+_SPACED = re.compile(r"(?<=[^\s\u180e\u200b])(?= )")
+#: Punctuation before which a run of letters ends a chunk, and these letters, all of Latin script.
+_POINTS = ".,*$#%&|<>;:!?"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+_WORDED = re.compile(rf"[ \n][{_LETTERS}]++(?![^ \n{_POINTS}])|[ \n]?[^ \n]+")
+_JOINED = re.compile(rf"[{_LETTERS}][{_POINTS}]")
+
+
+def shared_groups(a: np.ndarray, b: np.ndarray, a_parts: np.ndarray, b_parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the groups as numbers of A and of B tokens, rising. a, b: rising byte ends; the parts' ends, likewise as numbers of tokens, are shared."""
+    a0, a1, b0, b1 = np.concatenate(([0], a_parts[:-1])), a_parts, np.concatenate(([0], b_parts[:-1])), b_parts
+    leaves: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(a1):
+        one = (a1 - a0 <= 1) | (b1 - b0 <= 1)
+        leaves.append((a1[one], b1[one]))
+        a0, a1, b0, b1 = (x[~one] for x in (a0, a1, b0, b1))
+        middle, cut_a, cut_b = (a0 + a1 - 1) // 2, np.full(len(a1), -1), np.full(len(a1), -1)
+        left, off = np.arange(len(a1)), 0
+        while len(left):
+            for at in (middle[left] - off, middle[left] + off)[: 1 + (off > 0)]:
+                inside = (at >= a0[left]) & (at < a1[left] - 1)
+                j = np.searchsorted(b, a[np.where(inside, at, 0)])
+                met = inside & (j < b1[left] - 1) & (j >= b0[left])
+                met &= b[np.where(met, j, 0)] == a[np.where(inside, at, 0)]
+                cut_a[left[met]], cut_b[left[met]] = at[met] + 1, j[met] + 1
+            off += 1
+            left = left[(cut_a[left] < 0) & ((middle[left] - off >= a0[left]) | (middle[left] + off < a1[left] - 1))]
+        whole = cut_a < 0
+        leaves.append((a1[whole], b1[whole]))
+        a0, a1, b0, b1, cut_a, cut_b = (x[~whole] for x in (a0, a1, b0, b1, cut_a, cut_b))
+        a0, a1, b0, b1 = np.concatenate((a0, cut_a)), np.concatenate((cut_a, a1)), np.concatenate((b0, cut_b)), np.concatenate((cut_b, b1))
+    ends = [np.concatenate([x[k] for x in leaves] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+    order = np.argsort(ends[0], kind="stable")
+    return ends[0][order], ends[1][order]
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in A and in B of all tokens whose byte ranges overlap; empty tokens overlap with none. Arguments are byte ends."""
+    """Positions in A and in B of all tokens whose byte ranges overlap. Arguments are rising byte ends."""
     starts = np.concatenate(([0], a[:-1])) if len(a) else a
     first, last = np.searchsorted(b, starts, "right"), np.searchsorted(b, a, "left")
-    n = np.where(a > starts, last - first + 1, 0)
+    n = last - first + 1
     at = np.repeat(np.arange(len(a)), n)
     return at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
+class Rows:
+    """Rows of numbers of different lengths in one array that grows."""
+
+    def __init__(self, kind: type):
+        self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0, 0
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(sizes) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.n, self.used = self.n + len(sizes), self.used + len(flat)
+
+    def sizes(self, rows: np.ndarray | slice) -> np.ndarray:
+        return (self.ends[1 : self.n + 1] - self.ends[: self.n])[rows]
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These rows one after the other, and their sizes."""
+        sizes = self.sizes(rows)
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.ends[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,93 +118,117 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(rest)}
 
 
-class Chunk:
-    """The tokens of one chunk: ids of both sides and tokens of each group as raw 32-bit integers, the pairs of linked ids, and the text of its groups."""
-
-    __slots__ = ("a", "b", "in_a", "in_b", "pairs", "text")
-
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]):
-        groups = shared_groups(a_ends, b_ends)
-        self.a, self.b = pack(f"={len(a)}i", *a), pack(f"={len(b)}i", *b)
-        sizes = [(i - k, j - m) for (i, j), (k, m) in zip(groups, [(0, 0), *groups], strict=False)]
-        self.in_a, self.in_b = (pack(f"={len(sizes)}i", *x) for x in zip(*sizes, strict=True))
-        if len(a) == 1 or len(b) == 1:
-            pairs = np.array([x << 32 | y for x in a for y in b], np.int64)
-        else:
-            i, j = overlaps(np.array(a_ends), np.array(b_ends))
-            pairs = np.array(a, np.int64)[i] << 32 | np.array(b, np.int64)[j]
-        self.pairs = pairs.tobytes()
-        told, k, m = [], 0, 0
-        for i, j in groups:
-            told.append(f"{','.join(map(str, a[k:i]))}|{','.join(map(str, b[m:j]))}")
-            k, m = i, j
-        self.text = ";".join(told).encode()
-
-
 class Aligner:
-    """Both tokenizers of a worker, with the chunks that it remembers. A chunk that one side's tokens don't spell is None."""
+    """Both tokenizers of a worker, with the chunks that it remembers by number: ids of both sides, tokens of each group, pairs of linked
+    ids, and the text of the groups. A chunk that one side's tokens don't spell is not sound and has none of these."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         self.a = Tokenizer.from_str(a_file.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         letters, whole = byte_alphabet(), json.loads(a_file)
-        size = 1 + max(chain(whole["model"]["vocab"].values(), (t["id"] for t in whole["added_tokens"])), default=-1)
-        self.a_bytes = [b""] * size
-        for token, i in whole["model"]["vocab"].items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        for token in whole["added_tokens"]:
-            self.a_bytes[token["id"]] = token["content"].encode()
-        piece = self.b.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        spelled: dict[int, bytes] = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in whole["model"]["vocab"].items()}
+        spelled |= {t["id"]: t["content"].encode() for t in whole["added_tokens"]}
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.spelled = [[spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)], [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]]
+        self.length = [np.array([len(x) for x in side]) for side in self.spelled]
+        self.told = [[[b"%d%s" % (i, mark) for i in range(len(side))] for mark in marks] for side, marks in zip(self.spelled, ((b",", b"|"), (b",", b";")), strict=True)]
         self.space = self.b.piece_to_id("▁")
-        self.now: dict[str, Chunk | None] = {}
-        self.before: dict[str, Chunk | None] = {}
-
-    def _new(self, chunks: list[str]) -> Iterator[tuple[str, Chunk | None]]:
-        coded = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        pieces = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for c, a, b in zip(chunks, coded, pieces, strict=True):
-            a, b = a.ids, b or [self.space]
-            own, theirs = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            raw = c.encode()
-            sound = b"".join(own) == raw == b"".join(theirs)
-            yield c, Chunk(a, b, list(accumulate(map(len, own))), list(accumulate(map(len, theirs)))) if sound else None
-
-    def learn(self, chunks: set[str]) -> dict[str, Chunk | None]:
-        """These chunks' alignments, among others."""
-        new = chunks.difference(self.now)
-        if len(self.now) + len(new) > CHUNKS:  # a new generation starts, which needs all of them
-            self.before, self.now, new = self.now, {}, chunks
-        found = new.intersection(self.before)
-        self.now |= {c: self.before[c] for c in found}
-        rest = list(new.difference(found))
-        for k in range(0, len(rest), 4096):
-            self.now.update(self._new(rest[k : k + 4096]))
-        return self.now
-
-    def forget_long(self, chunks: Iterable[str]) -> None:
-        for c in chunks:
-            if len(c) > LONG:
-                self.now.pop(c, None)
-
-
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a space and the text; each begins with a space."""
-    if _LOOSE.search(text):
-        return _CUT.split(f" {text}")
-    return [f" {word}" for word in text.split(" ")]
-
-
-def _cut(batch: pa.RecordBatch, at: int, aligner: Aligner) -> tuple[list[list[str]], dict[str, Chunk | None], set[str]]:
-    """The chunks of each text, their alignments, and the distinct ones; a text that can't be aligned has no chunks."""
-    cuts = [chunks_of(t) if t else [] for t in batch.column(at).to_pylist()]
-    every = set(chain.from_iterable(cuts))
-    known = aligner.learn(every)
-    lossy = {c for c in every if known[c] is None}
-    if lossy:
-        cuts = [[] if not lossy.isdisjoint(own) else own for own in cuts]
-    return cuts, known, every
+        cut = {k: v for k, v in (whole["pre_tokenizer"] or {}).items() if k != "trim_offsets"} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not whole["normalizer"]
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.spaced = cut and not any(re.search("[^▁]▁", p) for p in plain)
+        self.worded = self.spaced and self.space >= 0 and not any(_JOINED.search(p) or "\n" in p for p in plain)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sound = np.zeros(0, bool)
+        self.rows, self.in_a, self.in_b, self.pairs = [Rows(np.int32), Rows(np.int32)], Rows(np.int32), Rows(np.int32), Rows(np.int64)
+        self.text: list[bytes] = []
+        self.characters = 0
+
+    def full(self) -> bool:
+        return len(self.number) > CHUNKS or self.characters > CHARACTERS
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a space and the text."""
+        if not self.spaced:
+            return [f" {text}"]
+        # Single spaces and line breaks between words, and no other white space.
+        if not self.worded or any(x in text for x in _LOOSE) or text[0] in " \n" or text[-1] in " \n" or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return _SPACED.split(f" {text}")
+        return _WORDED.findall(f" {text}")
+
+    def learn(self, chunks: set[str]) -> None:
+        rest = list(chunks.difference(self.number))
+        for k in range(0, len(rest), 8192):
+            self._learn(rest[k : k + 8192])
+
+    def _learn(self, new: list[str]) -> None:
+        self.number |= {c: i for i, c in enumerate(new, len(self.number))}
+        self.characters += sum(map(len, new))
+        raw = [c.encode() for c in new]
+        # What doesn't begin with a space is read behind a line break, from which no piece goes on, so that B's own space comes before that.
+        late = [c[0] != " " for c in new]
+        pieces = self.b.encode([f"\n{c}" if l else c[1:] for c, l in zip(new, late, strict=True)], num_threads=1)
+        ids = [[e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], [p[2:] if l else p or [self.space] for p, l in zip(pieces, late, strict=True)]]
+        sizes = [np.fromiter(map(len, side), np.int64, len(new)) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, sizes, strict=True)]
+        whole, bytes_in = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        spelled = [b"".join([own[i] for i in f.tolist()]) for own, f in zip(self.spelled, flat, strict=True)]
+        sound = np.ones(len(new), bool)
+        if spelled != [whole, whole] or any((_sums(self.length[k][flat[k]], sizes[k]) != bytes_in).any() for k in (0, 1)):
+            x, y = self.spelled
+            sound = np.array([b"".join([x[i] for i in a]) == r == b"".join([y[i] for i in b]) for a, b, r in zip(*ids, raw, strict=True)], bool)
+            flat = [f[np.repeat(sound, n)] for f, n in zip(flat, sizes, strict=True)]
+            sizes = [np.where(sound, n, 0) for n in sizes]
+        ends = [np.cumsum(self.length[k][flat[k]]) for k in (0, 1)]
+        stops = [np.cumsum(n) for n in sizes]
+        full = sizes[0] > 0
+        groups = shared_groups(*ends, stops[0][full], stops[1][full])
+        owner = np.searchsorted(stops[0], groups[0] - 1, "right")  # the chunk of each group
+        n_groups = np.bincount(owner, minlength=len(new))
+        inside = [np.diff(g, prepend=0) for g in groups]
+        i, j = overlaps(*ends)
+        n_pairs = np.bincount(np.searchsorted(stops[0], i, "right"), minlength=len(new))
+        for k in (0, 1):
+            self.rows[k].append(flat[k], sizes[k])
+        self.in_a.append(inside[0], n_groups)
+        self.in_b.append(inside[1], n_groups)
+        self.pairs.append(flat[0][i] << 32 | flat[1][j], n_pairs)
+        self.sound = np.concatenate((self.sound, sound))
+        # The text of each group: its A ids, then its B ids, each with the mark that follows.
+        last = [np.isin(np.arange(len(f)), g - 1).tolist() for f, g in zip(flat, groups, strict=True)]
+        parts = [[marks[end][t] for t, end in zip(f.tolist(), e, strict=True)] for f, e, marks in zip(flat, last, self.told, strict=True)]
+        group_of = [np.repeat(np.arange(len(owner)), n) for n in inside]
+        order = np.argsort(np.concatenate(group_of), kind="stable")
+        both = parts[0] + parts[1]
+        lengths = np.fromiter(map(len, both), np.int64, len(both))[order]
+        blob = b"".join([both[k] for k in order.tolist()])
+        counts = sizes[0] + sizes[1]
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        self.text += [blob[x:y] for x, y in zip(upto, upto[1:])]
+
+
+def _cut(batch: pa.RecordBatch, at: int, aligner: Aligner) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the chunks of all texts, and how many each text has; a text that can't be aligned has none."""
+    cuts = [aligner.cut(t) if t else [] for t in batch.column(at).to_pylist()]
+    aligner.learn(set(chain.from_iterable(cuts)))
+    sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+    numbers = np.fromiter(map(aligner.number.__getitem__, chain.from_iterable(cuts)), np.int64, int(sizes.sum()))
+    odd = ~aligner.sound[numbers]
+    if odd.any():
+        texts = np.repeat(np.arange(len(sizes)), sizes)
+        stays = ~np.isin(texts, texts[odd])
+        numbers, sizes = numbers[stays], np.bincount(texts[stays], minlength=len(sizes))
+    return numbers, sizes
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of these sizes."""
+    upto = np.concatenate((np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, 0)))
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
 
 
 def _aligner(files: tuple[bytes, bytes]) -> Aligner:
@@ -190,14 +248,14 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared.value)
         for batch in slices(batches):
-            cuts, known, every = _cut(batch, 1, aligner)
+            numbers, sizes = _cut(batch, 1, aligner)
             columns = []
-            for name in ("a", "b", "in_a", "in_b"):
-                raw = [b"".join([getattr(known[c], name) for c in own]) for own in cuts]
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32))))
+            for rows in (*aligner.rows, aligner.in_a, aligner.in_b):
+                flat, each = rows.take(numbers)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(_sums(each, sizes)))).astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "a_ids", "b_ids", "in_a", "in_b"])
-            aligner.forget_long(every)
+            if aligner.full():
+                aligner.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, in_a array<int>, in_b array<int>")
@@ -208,26 +266,24 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     shared = _shared(docs, a_file, b_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts, pairs_of = _aligner(shared.value), Counter(), {}
+        aligner = _aligner(shared.value)
+        times = np.zeros(0, np.int64)  # of each chunk that is remembered
 
         def sent() -> pa.RecordBatch:
-            own = list(counts)
-            pairs = [np.frombuffer(pairs_of[c], np.int64) for c in own]
-            times = np.repeat(np.fromiter(map(counts.__getitem__, own), np.int64, len(own)), np.fromiter(map(len, pairs), np.int64, len(own)))
-            found, at = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_inverse=True)
+            used = np.flatnonzero(times)
+            pairs, sizes = aligner.pairs.take(used)
+            found, at = np.unique(pairs, return_inverse=True)
             sums = np.zeros(len(found), np.int64)
-            np.add.at(sums, at, times)
-            counts.clear()
-            pairs_of.clear()
+            np.add.at(sums, at, np.repeat(times[used], sizes))
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["pair", "n"])
 
         for batch in slices(batches):
-            cuts, known, every = _cut(batch, 0, aligner)
-            counts.update(chain.from_iterable(cuts))
-            pairs_of |= {c: known[c].pairs for c in every if c in counts}
-            aligner.forget_long(every)
-            if len(counts) > COUNTED or any(len(c) > LONG for c in every):
+            numbers, _ = _cut(batch, 0, aligner)
+            times = np.bincount(numbers, minlength=len(aligner.number)) + np.concatenate((times, np.zeros(len(aligner.number) - len(times), np.int64)))
+            if aligner.full():
                 yield sent()
+                aligner.forget()
+                times = np.zeros(0, np.int64)
         yield sent()
 
     sums = written(docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
@@ -260,47 +316,30 @@ def alignment_statistics(docs: DataFrame, a_file: str, b_file: str, known: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, (pairs, times, best) = _aligner(shared.value), frequent.value
-        place, rows, texts, rest = {}, np.zeros((0, 6), np.int64), [], {}
+        values, rest = np.zeros((0, 6), np.int64), Rows(np.int64)
 
-        def valued(new: list[str], found: dict[str, Chunk | None]) -> np.ndarray:
-            """n_a, n_b, n_groups, n_links, n_best and count_sum of each chunk; links of pairs that aren't among the frequent go to `rest`."""
-            own = [np.frombuffer(found[c].pairs, np.int64) for c in new]
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.concatenate([*own, np.zeros(0, np.int64)])
+        def valued(first: int) -> np.ndarray:
+            """n_a, n_b, n_groups, n_links, n_best and count_sum of the chunks from this number on; pairs that aren't among the frequent go to `rest`."""
+            new = np.arange(first, len(aligner.number))
+            flat, sizes = aligner.pairs.take(new)
             at = np.minimum(np.searchsorted(pairs, flat), max(0, len(pairs) - 1))
             met = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
-            starts = np.cumsum(sizes) - sizes
-            out = np.zeros((len(new), 6), np.int64)
-            for k, name in enumerate(("a", "b", "in_a")):
-                out[:, k] = [len(getattr(found[c], name)) // 4 for c in new]
-            out[:, 3] = sizes
-            if len(flat):  # every chunk has tokens, and so links
-                out[:, 4] = np.add.reduceat(np.where(met, best[at], 0) if len(pairs) else np.zeros(len(flat), np.int64), starts)
-                out[:, 5] = np.add.reduceat(np.where(met, times[at], 0) if len(pairs) else np.zeros(len(flat), np.int64), starts)
-                for i in np.flatnonzero(np.add.reduceat(~met, starts)):
-                    rest[new[i]] = own[i][~met[starts[i] : starts[i] + sizes[i]]]
-            return out
+            scores = np.where(met[:, None], np.stack((best[at], times[at]), 1), 0) if len(pairs) else np.zeros((len(flat), 2), np.int64)
+            rest.append(flat[~met], _sums((~met).astype(np.int64), sizes))
+            return np.concatenate((np.stack([r.sizes(new) for r in (*aligner.rows, aligner.in_a)] + [sizes], 1), _sums(scores, sizes)), 1)
 
         for batch in slices(batches):
-            cuts, found, every = _cut(batch, 1, aligner)
-            if len(place) > CHUNKS:
-                place, rows, texts = {}, np.zeros((0, 6), np.int64), []
-                rest.clear()
-            new = [c for c in every if c not in place and found[c] is not None]
-            place |= {c: len(place) + i for i, c in enumerate(new)}
-            rows = np.vstack([rows, valued(new, found)])
-            texts += [found[c].text for c in new]
-            sums, digests, open_ = np.zeros((len(cuts), 6), np.int64), [], []
-            for i, own in enumerate(cuts):
-                at = [place[c] for c in own]
-                sums[i] = rows[at].sum(0) if at else 0
-                digests.append(hashlib.sha256(b";".join([texts[k] for k in at])).hexdigest() if at else "")
-                open_.append(np.concatenate([rest[c] for c in own if c in rest] or [np.zeros(0, np.int64)]) if rest else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(sums[:, k]) for k in range(6)], pa.array(digests), pa.array(open_, pa.list_(pa.int64()))], ["doc_id", *_NAMES, "groups_sha256", "open"])
-            aligner.forget_long(every)
-            if any(len(c) > LONG for c in new):
-                place, rows, texts = {}, np.zeros((0, 6), np.int64), []
-                rest.clear()
+            numbers, sizes = _cut(batch, 1, aligner)
+            values = np.concatenate((values, valued(len(values))))
+            sums, ends, own = _sums(values[numbers], sizes), np.cumsum(sizes).tolist(), numbers.tolist()
+            text = aligner.text
+            digests = [hashlib.sha256(b"".join([text[k] for k in own[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            open_, each = rest.take(numbers)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(_sums(each, sizes)))).astype(np.int32)), pa.array(open_))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(sums[:, k]) for k in range(6)], pa.array(digests, pa.string()), lists], ["doc_id", *_NAMES, "groups_sha256", "open"])
+            if aligner.full():
+                aligner.forget()
+                values, rest = np.zeros((0, 6), np.int64), Rows(np.int64)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     told = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} long' for n in _NAMES)}, groups_sha256 string, open array<long>")
