@@ -142,3 +142,33 @@ def test_spread_of_a_star(spark):
         p = {n: min(1.0, v + (1 - v) * (0.04 * v + 0.085 * sum(weight.get(frozenset((n, o)), 0.0) * p[o] for o in p if o != n))) for n, v in p.items()}
         if day in gr.HORIZONS:
             assert all(got[n, day] == pytest.approx(v, abs=1e-4) for n, v in p.items())
+
+
+def test_sources_that_fail_leave_the_others_alone(spark):
+    rows = [("a", DAY, "mortality", 1.5), ("a", DAY, "icu_occupancy", None)]
+    good = lambda: spark.createDataFrame(rows, "district_id string, date date, signal_type string, value double")
+    texts = lambda: spark.createDataFrame([("b", "2024-03-01", "mortality", "2.5", "own"), ("b", "no day", "mortality", "1", "own"), (None, "2024-03-01", "mortality", "1", "own"), ("b", "2024-03-02", "mortality", "many", "own")], "district_id string, date string, signal_type string, value string, source_id string")
+
+    def raises():
+        raise OSError("no route to host")
+
+    def dies():
+        def some(batches):
+            for k, batch in enumerate(batches):
+                if k == 0 and batch.num_rows and batch.column(0)[0].as_py() == "z":
+                    raise RuntimeError("the line broke")
+                yield batch
+
+        df = spark.createDataFrame([("y", DAY, "mortality", 1.0, "s")] * 50 + [("z", DAY, "mortality", 1.0, "s")], ing.SIGNALS)
+        return df.coalesce(1).repartitionByRange(2, "district_id").mapInArrow(some, ing.SIGNALS)
+
+    readers = {"good": good, "texts": texts, "raises": raises, "dies": dies, "gone": lambda: spark.read.parquet("/tmp/no/such/table"), "narrow": lambda: good().drop("value"), "empty": lambda: good().limit(0)}
+    signals, bad, summary = ing.acquire(spark, readers)
+    told = {r.source: (r.status, r.n_rows, r.n_bad) for r in summary.collect()}
+    assert told["good"] == ("ok", 2, 0) and told["texts"] == ("ok", 1, 3) and told["empty"] == ("ok", 0, 0)
+    assert told["raises"] == ("error:OSError: no route to host", 0, 0) and told["narrow"] == ("error:no column value", 0, 0)
+    assert told["gone"] == ("error:PATH_NOT_FOUND", 0, 0) and told["dies"][0].startswith("error:") and told["dies"][1:] == (0, 0)
+    assert sorted(map(tuple, signals.collect()), key=str) == sorted([("a", DAY, "mortality", 1.5, "good"), ("a", DAY, "icu_occupancy", None, "good"), ("b", DAY, "mortality", 2.5, "own")], key=str)
+    assert sorted(json.loads(r.record).get("value") for r in bad.collect()) == ["1", "1", "many"]
+    assert ing.read_sources({"raises": raises, "good": good})[1] == {"raises": "error:OSError: no route to host", "good": "ok"}
+    assert [x.count() for x in ing.acquire(spark, {})] == [0, 0, 0]

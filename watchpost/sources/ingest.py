@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from operator import or_
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from watchpost.operators.detectors import HOSPITAL
+from watchpost.sources.shared import written
 
 BUNDLE = "resourceType string, entry array<struct<resource: struct<resourceType: string, code: struct<coding: array<struct<code: string>>>, subject: struct<reference: string>, effectiveDateTime: string, valueQuantity: struct<value: double>>>>"
 OBSERVATION = "main struct<temp: double, humidity: double>, rain struct<`1h`: double>"
@@ -56,18 +61,58 @@ def broadcast_regional(series: DataFrame, districts: DataFrame) -> DataFrame:
 
 
 def read_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """The frames of the sources that can be read, and the status of each: `ok`, or `error:` with Spark's reason. One source that fails
-    (no such table, no such column) leaves the others alone."""
+    """The frames of the sources that can be opened, and the status of each: `ok`, or `error:` with the reason, whatever was raised. Nothing is
+    read yet: a source may still fail while it runs, see acquire."""
     frames, status = {}, {}
     for name, read in readers.items():
         try:
             frames[name] = read()
             status[name] = "ok"
-        except AnalysisException as e:
-            status[name] = f"error:{e.getCondition()}"
+        except Exception as e:  # any reader, any reason: the others go on
+            status[name] = _reason(e)
     return frames, status
 
 
+def _reason(e: Exception) -> str:
+    """`error:` and Spark's condition or the first line of the message, with the exception's name."""
+    condition = e.getCondition() if isinstance(e, PySparkException) else None
+    first = next((x.strip() for x in str(e).splitlines() if x.strip()), "")
+    return f"error:{condition}" if condition else f"error:{type(e).__name__}: {first[:200]}"
+
+
+def acquire(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], at_once: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reads every source as jobs of its own, some at a time, and goes on whatever fails: (signals, bad, summary).
+
+    A reader returns rows with the columns of SIGNALS, of any types that these can be read from; source_id may be missing and is the source's
+    name then. signals has the sound rows of all sources that were read to their end. Rows without a district, day, type or number, after reading, are bad and stand apart as
+    (source, record JSON); missing values (null) are sound. summary: (source, status, n_rows, n_bad); a source that raises, when it is opened or while it is read,
+    has the status `error:...` and no rows at all, neither sound nor bad, whatever part of it had come before."""
+    fields = StructType.fromDDL(SIGNALS).fields
+
+    def one(name: str, read: Callable[[], DataFrame]) -> tuple[str, str, DataFrame | None]:
+        try:
+            df = read()
+            missing = [f.name for f in fields if f.name not in df.columns and f.name != "source_id"]
+            if missing:
+                return name, f"error:no column {', '.join(missing)}", None
+            read_as = {f.name: F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(name) for f in fields}
+            lost = [read_as[c].isNull() for c in ("district_id", "date", "signal_type")] + [read_as["value"].isNull() & F.col("value").isNotNull()]
+            record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+            told = df.select(F.lit(name).alias("source"), *[x.alias(c) for c, x in read_as.items()], F.when(reduce(or_, lost), record).alias("record"))
+            return name, "ok", written(told)
+        except Exception as e:  # any source, any reason: the others go on
+            return name, _reason(e), None
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(lambda x: one(*x)), readers.items()))
+    empty = spark.createDataFrame([], f"source string, {SIGNALS}, record string")
+    every = reduce(DataFrame.unionByName, [df for _, _, df in done if df is not None], empty)
+    counts = every.groupBy("source").agg(F.count(F.when(F.col("record").isNull(), 1)).alias("n"), F.count("record").alias("b"))
+    listed = spark.createDataFrame([(name, status) for name, status, _ in done], "source string, status string")
+    summary = listed.join(counts, "source", "left").select("source", "status", F.coalesce("n", F.lit(0)).alias("n_rows"), F.coalesce("b", F.lit(0)).alias("n_bad"))
+    return every.where("record is null").drop("source", "record"), every.where("record is not null").select("source", "record"), summary
+
+
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """All rows with the name of their source."""
     return reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(name)) for name, df in sources.items()])
