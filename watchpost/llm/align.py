@@ -7,8 +7,10 @@ a text is one chunk. Chunks repeat, so a worker aligns each new one once, many a
 conquer: the byte end common to both sides that is nearest to an interval's middle (found by bisecting the other side's ends) parts
 it, both halves go on, an interval without such an end is a group. All intervals of a level go together.
 
-A pair of ids counts as often as its tokens' byte ranges overlap in the corpus. Tasks add up their chunks' links before Spark adds
-the tasks'. The most frequent pairs, KNOWN at most, are broadcast with their counts; links of all other pairs are joined with the count table.
+A pair of ids counts as often as its tokens' byte ranges overlap in the corpus. Texts are read once: a row keeps the numbers of its chunks
+in its generation, a bounded dictionary of chunks that the task filled meanwhile, which is written beside the rows with each chunk's pairs and
+occurrences. Counts come from the generations; so do the sums of counts by chunk, for which the most frequent pairs, KNOWN at most, are broadcast
+and all others are joined; rows then meet their generation's sums.
 
 Defined cases: null and empty texts, and texts that one side's tokens don't spell (such as a text that holds U+2581) have no tokens:
 zeros, empty arrays and the empty digest; they count nowhere. Names of special tokens inside a text are plain text. Repeated rows count each;
@@ -37,8 +39,8 @@ from watchpost.llm.common import kept, slices, written
 
 #: Chunks that a worker remembers, and the characters of all of them.
 CHUNKS, CHARACTERS = 250_000, 4_000_000
-#: Pairs of ids that are broadcast.
-KNOWN = 1 << 20
+#: Chunks of texts, repeats included, of a generation, and pairs of ids that are broadcast.
+OCCURRENCES, KNOWN = 4_000_000, 1 << 20
 #: Strings that no text may hold to be cut at line breaks and punctuation too; others are cut before spaces only.
 _LOOSE = ("  ", " \n", "\n ", "\n\n", "\u180e", "\u200b")
 _SPACED = re.compile(r"(?<=[^\s\u180e\u200b])(?= )")
@@ -138,11 +140,9 @@ class Aligner:
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.spaced = cut and not any(re.search("[^▁]▁", p) for p in plain)
         self.worded = self.spaced and self.space >= 0 and not any(_JOINED.search(p) or "\n" in p for p in plain)
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.sound = np.zeros(0, bool)
+        self.seen = np.zeros(0, np.int64)
         self.rows, self.in_a, self.in_b, self.pairs = [Rows(np.int32), Rows(np.int32)], Rows(np.int32), Rows(np.int32), Rows(np.int64)
         self.text: list[bytes] = []
         self.characters = 0
@@ -150,6 +150,21 @@ class Aligner:
     def full(self) -> bool:
         return len(self.number) > CHUNKS or self.characters > CHARACTERS
 
+    def forget(self) -> None:
+        """Leaves the chunks met most often since the last time, a third of the bounds at most, under new numbers."""
+        names = list(self.number)
+        often = np.argsort(-self.seen, kind="stable")[: CHUNKS // 3]
+        often = np.sort(often[(self.seen[often] > 1) & (np.cumsum([len(names[i]) for i in often.tolist()]) <= CHARACTERS // 3)])
+        left = []
+        for rows, kind in ((self.rows[0], np.int32), (self.rows[1], np.int32), (self.in_a, np.int32), (self.in_b, np.int32), (self.pairs, np.int64)):
+            left.append(Rows(kind))
+            if rows.n:
+                left[-1].append(*rows.take(often))
+        self.rows, (self.in_a, self.in_b, self.pairs) = left[:2], left[2:]
+        self.number = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.sound, self.seen, self.text = self.sound[often], np.zeros(len(often), np.int64), [self.text[i] for i in often.tolist()]
+        self.characters = sum(map(len, self.number))
+
     def cut(self, text: str) -> list[str]:
         """The chunks of a space and the text."""
         if not self.spaced:
@@ -184,19 +199,22 @@ class Aligner:
             sizes = [np.where(sound, n, 0) for n in sizes]
         ends = [np.cumsum(self.length[k][flat[k]]) for k in (0, 1)]
         stops = [np.cumsum(n) for n in sizes]
-        full = sizes[0] > 0
-        groups = shared_groups(*ends, stops[0][full], stops[1][full])
-        owner = np.searchsorted(stops[0], groups[0] - 1, "right")  # the chunk of each group
-        n_groups = np.bincount(owner, minlength=len(new))
-        inside = [np.diff(g, prepend=0) for g in groups]
         i, j = overlaps(*ends)
         n_pairs = np.bincount(np.searchsorted(stops[0], i, "right"), minlength=len(new))
         for k in (0, 1):
             self.rows[k].append(flat[k], sizes[k])
-        self.in_a.append(inside[0], n_groups)
-        self.in_b.append(inside[1], n_groups)
         self.pairs.append(flat[0][i] << 32 | flat[1][j], n_pairs)
         self.sound = np.concatenate((self.sound, sound))
+        self._group(flat, sizes, ends, stops)
+
+    def _group(self, flat: list[np.ndarray], sizes: list[np.ndarray], ends: list[np.ndarray], stops: list[np.ndarray]) -> None:
+        full = sizes[0] > 0
+        groups = shared_groups(*ends, stops[0][full], stops[1][full])
+        owner = np.searchsorted(stops[0], groups[0] - 1, "right")  # the chunk of each group
+        n_groups = np.bincount(owner, minlength=len(full))
+        inside = [np.diff(g, prepend=0) for g in groups]
+        self.in_a.append(inside[0], n_groups)
+        self.in_b.append(inside[1], n_groups)
         # The text of each group: its A ids, then its B ids, each with the mark that follows.
         last = [np.isin(np.arange(len(f)), g - 1).tolist() for f, g in zip(flat, groups, strict=True)]
         parts = [[marks[end][t] for t, end in zip(f.tolist(), e, strict=True)] for f, e, marks in zip(flat, last, self.told, strict=True)]
@@ -216,6 +234,7 @@ def _cut(batch: pa.RecordBatch, at: int, aligner: Aligner) -> tuple[np.ndarray,
     aligner.learn(set(chain.from_iterable(cuts)))
     sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
     numbers = np.fromiter(map(aligner.number.__getitem__, chain.from_iterable(cuts)), np.int64, int(sizes.sum()))
+    aligner.seen = np.bincount(numbers, minlength=len(aligner.number)) + np.concatenate((aligner.seen, np.zeros(len(aligner.number) - len(aligner.seen), np.int64)))
     odd = ~aligner.sound[numbers]
     if odd.any():
         texts = np.repeat(np.arange(len(sizes)), sizes)
@@ -261,36 +280,78 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, in_a array<int>, in_b array<int>")
 
 
-def pair_counts(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """(pair, b, n, best): how often a pair of ids (A's in the upper 32 bits) is linked, and whether no pair of its B id is linked more often."""
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+
+
+_STATIC = ("n_a", "n_b", "n_groups", "n_links")
+_TOLD = f"gen long, doc_id {{kind}}, {', '.join(f'{n} long' for n in _STATIC)}, groups_sha256 string, numbers array<int>, used array<int>, times array<long>, sizes array<int>, pairs array<long>"
+
+
+def _told(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """Two kinds of rows: those of docs with what their groups tell and the numbers of their chunks, and those of generations (doc_id and
+    the rest null) with the chunks used, how often each was, and their pairs. Number `gen` is drawn, so the result is to be written once."""
     shared = _shared(docs, a_file, b_file)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared.value)
-        times = np.zeros(0, np.int64)  # of each chunk that is remembered
+        gen, times, met, form = _drawn(), np.zeros(0, np.int64), 0, None
 
-        def sent() -> pa.RecordBatch:
+        def generation() -> pa.RecordBatch:
             used = np.flatnonzero(times)
             pairs, sizes = aligner.pairs.take(used)
-            found, at = np.unique(pairs, return_inverse=True)
-            sums = np.zeros(len(found), np.int64)
-            np.add.at(sums, at, np.repeat(times[used], sizes))
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["pair", "n"])
+            columns = [_lists(x, np.array([len(x)])) for x in (used.astype(np.int32), times[used], sizes.astype(np.int32), pairs)]
+            return pa.RecordBatch.from_arrays([pa.array([gen]), pa.nulls(1, form), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), *columns], names)
 
+        names = [x.split()[0] for x in _TOLD.format(kind=kind).split(", ")]
         for batch in slices(batches):
-            numbers, _ = _cut(batch, 0, aligner)
+            form = batch.column(0).type
+            numbers, sizes = _cut(batch, 1, aligner)
             times = np.bincount(numbers, minlength=len(aligner.number)) + np.concatenate((times, np.zeros(len(aligner.number) - len(times), np.int64)))
-            if aligner.full():
-                yield sent()
-                aligner.forget()
-                times = np.zeros(0, np.int64)
-        yield sent()
+            each = np.stack([r.sizes(numbers) for r in (*aligner.rows, aligner.in_a, aligner.pairs)], 1)
+            sums, ends, own, text = _sums(each, sizes), np.cumsum(sizes).tolist(), numbers.tolist(), aligner.text
+            digests = [hashlib.sha256(b"".join([text[k] for k in own[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            n = batch.num_rows
+            none = [pa.nulls(n, pa.list_(t)) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gen)), batch.column(0), *[pa.array(sums[:, k]) for k in range(4)], pa.array(digests, pa.string()), _lists(numbers.astype(np.int32), sizes), *none], names)
+            met += len(numbers)
+            if aligner.full() or met > OCCURRENCES:
+                yield generation()
+                if aligner.full():
+                    aligner.forget()
+                gen, times, met = _drawn(), np.zeros(0, np.int64), 0
+        if met:
+            yield generation()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _TOLD.format(kind=kind))
+
 
-    sums = written(docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
+def _drawn() -> int:
+    return int.from_bytes(os.urandom(8), "little") >> 1
+
+
+def _counted(generations: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                times, sizes, pairs = (batch.column(c)[k].values.to_numpy() for c in range(3))
+                found, at = np.unique(pairs, return_inverse=True)
+                sums = np.zeros(len(found), np.int64)
+                np.add.at(sums, at, np.repeat(times, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["pair", "n"])
+
+    parts = generations.select("times", "sizes", "pairs").mapInArrow(run, "pair long, n long")
+    sums = written(parts.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
     most = sums.groupBy("b").agg(F.max("n").alias("_most"))
     return written(sums.join(most, "b").select("pair", "b", "n", (F.col("n") == F.col("_most")).alias("best")))
 
 
+def pair_counts(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """(pair, b, n, best): how often a pair of ids (A's in the upper 32 bits) is linked, and whether no pair of its B id is linked more often."""
+    return _counted(written(_told(docs, a_file, b_file).where("used is not null")))
+
+
 def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted pairs, counts and best of the pairs that are linked most often, `most` pairs at most."""
     sizes = counts.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()  # a few hundred rows
@@ -308,46 +369,55 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.
     return pairs[order], times[order], best[order]
 
 
-def alignment_statistics(docs: DataFrame, a_file: str, b_file: str, known: int = KNOWN) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row; the digest is of `a1,a2|b1;a3|b2,b3` in order."""
-    shared = _shared(docs, a_file, b_file)
-    counts = pair_counts(docs, a_file, b_file)
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(counts, known))  # `known` pairs at most
+def _valued(generations: DataFrame, counts: DataFrame, known: int) -> DataFrame:
+    """(gen, used, best, total, more): of each chunk used, its links whose count is the highest of their B id, and the sum of their counts. What pairs
+    outside the broadcast add stands in `more`, (number, best, total) of the chunks that have some."""
+    frequent = generations.sparkSession.sparkContext.broadcast(_frequent(counts, known))  # `known` pairs at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (pairs, times, best) = _aligner(shared.value), frequent.value
-        values, rest = np.zeros((0, 6), np.int64), Rows(np.int64)
-
-        def valued(first: int) -> np.ndarray:
-            """n_a, n_b, n_groups, n_links, n_best and count_sum of the chunks from this number on; pairs that aren't among the frequent go to `rest`."""
-            new = np.arange(first, len(aligner.number))
-            flat, sizes = aligner.pairs.take(new)
-            at = np.minimum(np.searchsorted(pairs, flat), max(0, len(pairs) - 1))
-            met = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
-            scores = np.where(met[:, None], np.stack((best[at], times[at]), 1), 0) if len(pairs) else np.zeros((len(flat), 2), np.int64)
-            rest.append(flat[~met], _sums((~met).astype(np.int64), sizes))
-            return np.concatenate((np.stack([r.sizes(new) for r in (*aligner.rows, aligner.in_a)] + [sizes], 1), _sums(scores, sizes)), 1)
+        pairs, times, best = frequent.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                used, sizes, flat = (batch.column(c)[k].values.to_numpy() for c in range(1, 4))
+                if len(pairs):
+                    at = np.minimum(np.searchsorted(pairs, flat), len(pairs) - 1)
+                    met = pairs[at] == flat
+                    scores = np.where(met[:, None], np.stack((best[at], times[at]), 1), 0)
+                else:
+                    met, scores = np.zeros(len(flat), bool), np.zeros((len(flat), 2), np.int64)
+                sums = _sums(scores, sizes.astype(np.int64))
+                columns = [used, np.ascontiguousarray(sums[:, 0]), np.ascontiguousarray(sums[:, 1]), np.repeat(used, sizes)[~met], flat[~met]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *[_lists(c, np.array([len(c)])) for c in columns]], ["gen", "used", "best", "total", "number", "pair"])
+
+    values = written(generations.select("gen", "used", "sizes", "pairs").mapInArrow(run, "gen long, used array<int>, best array<long>, total array<long>, number array<int>, pair array<long>"))
+    left = values.where(F.size("pair") > 0).select("gen", F.explode(F.arrays_zip("number", "pair")).alias("x")).select("gen", "x.number", "x.pair")
+    added = left.join(counts, "pair").groupBy("gen", "number").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("total"))
+    more = added.groupBy("gen").agg(F.collect_list(F.struct("number", "best", "total")).alias("more"))  # CHUNKS at most
+    return values.select("gen", "used", "best", "total").join(more, "gen", "left")
 
-        for batch in slices(batches):
-            numbers, sizes = _cut(batch, 1, aligner)
-            values = np.concatenate((values, valued(len(values))))
-            sums, ends, own = _sums(values[numbers], sizes), np.cumsum(sizes).tolist(), numbers.tolist()
-            text = aligner.text
-            digests = [hashlib.sha256(b"".join([text[k] for k in own[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            open_, each = rest.take(numbers)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(_sums(each, sizes)))).astype(np.int32)), pa.array(open_))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(sums[:, k]) for k in range(6)], pa.array(digests, pa.string()), lists], ["doc_id", *_NAMES, "groups_sha256", "open"])
-            if aligner.full():
-                aligner.forget()
-                values, rest = np.zeros((0, 6), np.int64), Rows(np.int64)
 
+def alignment_statistics(docs: DataFrame, a_file: str, b_file: str, known: int = KNOWN) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row; the digest is of `a1,a2|b1;a3|b2,b3` in order."""
+    told = written(_told(docs, a_file, b_file))
+    generations = told.where("used is not null")
+    values = _valued(generations, _counted(generations), known)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} long' for n in _NAMES)}, groups_sha256 string, open array<long>")
-    told = written(told.withColumn("_uid", F.monotonically_increasing_id()))
-    left = told.where(F.size("open") > 0).select("_uid", F.explode("open").alias("pair"))
-    added = left.join(counts.select("pair", "n", F.col("best").cast("long").alias("_b")), "pair").groupBy("_uid").agg(F.sum("n").alias("_n"), F.sum("_b").alias("_b"))
-    whole = told.join(added, "_uid", "left")
-    return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("_b", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("_n", F.lit(0))).alias("count_sum"), "groups_sha256")
-
 
-_NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    def met(rows: pa.Table, own: pa.Table) -> pa.Table:
+        """The rows of one generation, of OCCURRENCES chunks and one slice more at most, with its chunks' values."""
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            return rows.select(["doc_id", *_STATIC]).append_column("n_best", pa.array([], pa.int64())).append_column("count_sum", pa.array([], pa.int64())).append_column("groups_sha256", rows["groups_sha256"])
+        lists = rows["numbers"].chunk(0) if rows["numbers"].num_chunks else pa.array([], pa.list_(pa.int32()))
+        sizes, numbers = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        table = np.zeros((int(numbers.max(initial=-1)) + 1, 2), np.int64)
+        if own.num_rows:
+            used, best, total = (own[c][0].values.to_numpy() for c in ("used", "best", "total"))
+            table[used] = np.stack((best, total), 1)
+            for x in own["more"][0].as_py() or []:
+                table[x["number"]] += (x["best"], x["total"])
+        sums = _sums(table[numbers], sizes.astype(np.int64))
+        return pa.table({"doc_id": rows["doc_id"], **{c: rows[c] for c in _STATIC}, "n_best": sums[:, 0], "count_sum": sums[:, 1], "groups_sha256": rows["groups_sha256"]})
+
+    rows = told.where("used is null").select("gen", "doc_id", *_STATIC, "groups_sha256", "numbers")
+    return rows.groupBy("gen").cogroup(values.groupBy("gen")).applyInArrow(met, f"doc_id {kind}, {', '.join(f'{n} long' for n in _STATIC)}, n_best long, count_sum long, groups_sha256 string")
