@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchpost.functions.kernels import trailing
+
 SERIES = ("district_id", "signal_type")
 
 
 def rolling_robust_z(df: DataFrame, value: str = "value", out: str = "z", window: int = 42, least: int = 14, keys=SERIES) -> DataFrame:
     """Adds a trailing z: distance from the rolling median over the rolling MAD of each row's own distance (pop. deviation
     where the MAD is 0 or absent). Every stage needs `least` rows; no scale gives 0."""
-    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(window - 1), 0)
-    with_median = df.withColumns({
-        "_med": F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(0.5)).over(w)),
-        "_std": F.when(F.count(value).over(w) >= least, F.stddev_pop(value).over(w)),
-    }).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    with_mad = with_median.withColumn("_mad", F.when(F.count("_dev").over(w) >= least, F.percentile("_dev", F.lit(0.5)).over(w)))
-    scale = F.when(F.col("_mad") > 0, F.col("_mad") / 0.6745).otherwise(F.col("_std"))
-    z = (F.col(value) - F.col("_med")) / F.nullif(scale, F.lit(0.0))
-    return with_mad.withColumn(out, F.coalesce(z, F.lit(0.0))).drop("_med", "_std", "_dev", "_mad")
+    return trailing(df, list(keys), value, window=window, least=least, z=out)
 
 
 def deseasonal_z(df: DataFrame, value: str = "value", out: str = "z", period: int = 7, window: int = 42, keys=SERIES) -> DataFrame:
@@ -40,8 +34,7 @@ def deseasonal_z(df: DataFrame, value: str = "value", out: str = "z", period: in
 
 def pct_vs_baseline(df: DataFrame, window: int = 42, least: int = 10) -> DataFrame:
     """Adds baseline, the median of the rows before this one, and pct, the change against it in percent."""
-    w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-window, -1)
-    with_base = df.withColumn("baseline", F.when(F.count("value").over(w) >= least, F.percentile("value", F.lit(0.5)).over(w)))
+    with_base = trailing(df, list(SERIES), window=window, base_least=least, z=None, baseline="baseline")
     return with_base.withColumn("pct", (F.col("value") - F.col("baseline")) / F.nullif(F.abs("baseline"), F.lit(0.0)) * 100)
 
 

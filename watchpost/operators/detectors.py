@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -19,8 +20,9 @@ DETECTORS = ("search", "hospital", "social", "wastewater")
 CELL = ["district_id", "date"]
 
 
-def search_anomalies(agg: DataFrame) -> DataFrame:
-    z = deseasonal_z(agg.where(F.col("signal_type").isin(*SEARCH)))
+def search_anomalies(agg: DataFrame, deseasonalised: Callable[[DataFrame], DataFrame] = deseasonal_z) -> DataFrame:
+    """`deseasonalised` adds z: by the median cycle, or kernels.stl_residual_z for a cycle that changes and is robust against outbreaks."""
+    z = deseasonalised(agg.where(F.col("signal_type").isin(*SEARCH)))
     return z.select(*CELL, "signal_type", "z", anomaly_from_z("z").alias("anomaly"))
 
 
@@ -36,8 +38,8 @@ def corroborated_top2(anomalies: DataFrame) -> DataFrame:
     return ranked.groupBy(*CELL).agg(F.sum(F.when(F.col("_k") == 1, 0.6 * F.col("anomaly")).otherwise(0.4 * F.col("anomaly"))).alias("score"))
 
 
-def detect_search(agg: DataFrame) -> DataFrame:
-    return corroborated_top2(search_anomalies(agg)).select(*CELL, F.lit("search").alias("detector"), "score")
+def detect_search(agg: DataFrame, deseasonalised: Callable[[DataFrame], DataFrame] = deseasonal_z) -> DataFrame:
+    return corroborated_top2(search_anomalies(agg, deseasonalised)).select(*CELL, F.lit("search").alias("detector"), "score")
 
 
 def joint_context(anomalies: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchpost.functions import kernels as ke
 from watchpost.functions import scoring as sc
 from watchpost.operators import alerts as al
 from watchpost.operators import briefing as br
@@ -361,3 +362,32 @@ def grouped_param_average(spark, d):
 def pooled_logistic(spark, d):
     rows = written(_labelled(spark, d))
     return _accuracy(rows, mo.pooled_logistic(rows, _FEATURES, "y", _ROUNDS, _EPOCHS, _RATE))
+
+
+# Robust seasonal decomposition and sources that fail
+
+
+@query()
+def seasonal_decomposition(spark, d):
+    agg = ad.weekly_signals(spark, d).select("district_id", "date", "signal_type", "value")
+    return ke.stl_residual_z(agg).select("district_id", "date", "signal_type", sc.rounded("season", 4).alias("season"), sc.rounded("z", 4).alias("z"))
+
+
+@query()
+def detect_search_stl(spark, d):
+    agg = ad.weekly_signals(spark, d).select("district_id", "date", "signal_type", "value")
+    return de.detect_search(agg, ke.stl_residual_z).withColumn("score", sc.rounded("score", 4))
+
+
+@query("""SELECT 'daily' AS source, 'ok' AS status, (SELECT count(*) FROM daily) AS n_rows, 0 AS n_bad UNION ALL SELECT 'weekly', 'ok', (SELECT count(*) FROM agg), 0
+UNION ALL SELECT 'texts', 'ok', (SELECT count(*) FROM agg WHERE signal_type = 'mortality'), (SELECT count(*) FROM agg WHERE signal_type = 'icu_occupancy') UNION ALL SELECT 'down', 'error:ConnectionError: no answer', 0, 0""", "daily", "agg")
+def acquired_sources(spark, d):
+    """Four sources as jobs of their own: one that is down, one with numbers written as text, some of which are none."""
+
+    def down():
+        raise ConnectionError("no answer")
+
+    weekly = lambda: ad.weekly_signals(spark, d)
+    spoilt = F.when(F.col("signal_type") == "mortality", F.col("value").cast("string")).otherwise("n/a")
+    texts = lambda: weekly().where("signal_type in ('mortality', 'icu_occupancy')").withColumn("value", spoilt)
+    return ing.acquire(spark, {"daily": lambda: ad.daily_signals(spark, d), "weekly": weekly, "texts": texts, "down": down})[2]
