@@ -172,3 +172,33 @@ def test_sources_that_fail_leave_the_others_alone(spark):
     assert sorted(json.loads(r.record).get("value") for r in bad.collect()) == ["1", "1", "many"]
     assert ing.read_sources({"raises": raises, "good": good})[1] == {"raises": "error:OSError: no route to host", "good": "ok"}
     assert [x.count() for x in ing.acquire(spark, {})] == [0, 0, 0]
+
+
+def test_any_number_of_regions_is_one_plan(spark):
+    """Regions of two squares each: every region equals itself alone, and the plan's size doesn't depend on their number."""
+    square = lambda name, x, y: json.dumps({"properties": {"district": name}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]]]]}})
+    n = 1000
+    regions = spark.createDataFrame([(f"r{k}", None, "x.json", 1_000_000 + k, None) for k in range(n)] + [("listed", None, None, 5, [("d", "D", None, 1, 0.0, 0.0, None)])], config.REGION)
+    # Districts of all regions have the same names and, in pairs of regions, the same places.
+    shapes = spark.createDataFrame([(f"r{k}", square(d, k // 2 % 40 + dx, 10.0)) for k in range(n) for d, dx in (("a", 0.0), ("b", 1.0))] + [("listed", square("a", 0.0, 0.0)), ("unknown", square("a", 0.0, 0.0))], "region string, feature string")
+    df = config.derived_dim(regions, shapes)
+    got = df.collect()
+    assert len(got) == 2 * n and {r.region for r in got} == {f"r{k}" for k in range(n)}
+    assert all(r.neighbors == [{"a": "b", "b": "a"}[r.district_id]] for r in got)
+    assert all(abs(r.population - (1_000_000 + int(r.region[1:])) / 2) <= 1 for r in got)
+    alone = config.derived_dim(regions.where("region = 'r7'"), shapes).collect()
+    assert sorted(alone) == sorted(r for r in got if r.region == "r7")
+    size = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    assert size(df) < 1.2 * size(config.derived_dim(regions.where("region = 'r7'"), shapes)) + 2000
+    assert config.derived_dim(regions.where("region = 'listed'"), shapes).count() == 0
+
+
+def test_steps_of_few_groups_shuffle_no_rows(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), (F.col("id") % 7 / 7.0).alias("a"), (F.col("id") % 11 / 11.0).alias("b"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    plans, step = [], mo._stepped
+    monkeypatch.setattr(mo, "_stepped", lambda held, names, rate: plans.append(held) or step(held, names, rate))
+    few = mo.grouped_param_average(rows, "g", ["a", "b"], "y", rounds=2)
+    assert all("Exchange hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0] for p in plans)
+    monkeypatch.setattr(mo, "FEW_GROUPS", 2)
+    many = mo.grouped_param_average(rows, "g", ["a", "b"], "y", rounds=2)
+    assert few == pytest.approx(many, rel=1e-12)

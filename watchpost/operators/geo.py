@@ -1,25 +1,31 @@
-"""District geometry from GeoJSON: ring areas, derived districts and shared boundaries."""
+"""District geometry from GeoJSON: ring areas, derived districts and shared boundaries.
+
+Each operator takes `by`, further columns that keep places apart, such as the region: all regions go through one plan of one size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURE = "properties struct<district: string>, geometry struct<type: string, coordinates: array<array<array<array<double>>>>>"
 
 
-def rings(features: DataFrame, column: str = "feature") -> DataFrame:
-    """(district_id, ring, pos, x, y): points of all rings of MultiPolygon features."""
-    parsed = features.select(F.from_json(column, FEATURE).alias("f"))
-    flat = parsed.select(F.col("f.properties.district").alias("district_id"), F.flatten("f.geometry.coordinates").alias("rings"))
-    each = flat.select("district_id", F.posexplode("rings").alias("ring", "points"))
-    return each.select("district_id", "ring", F.posexplode("points").alias("pos", "p")).select("district_id", "ring", "pos", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+def rings(features: DataFrame, column: str = "feature", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, district_id, ring, pos, x, y): points of all rings of MultiPolygon features."""
+    parsed = features.select(*by, F.from_json(column, FEATURE).alias("f"))
+    flat = parsed.select(*by, F.col("f.properties.district").alias("district_id"), F.flatten("f.geometry.coordinates").alias("rings"))
+    each = flat.select(*by, "district_id", F.posexplode("rings").alias("ring", "points"))
+    return each.select(*by, "district_id", "ring", F.posexplode("points").alias("pos", "p")).select(*by, "district_id", "ring", "pos", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def ring_area(points: DataFrame) -> DataFrame:
-    """(district_id, ring, n_points, area, lon, lat): shoelace with longitudes scaled by the cosine of the ring's mean latitude.
+def ring_area(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, district_id, ring, n_points, area, lon, lat): shoelace with longitudes scaled by the cosine of the ring's mean latitude.
     Under three points, or no area, give area 0 and the first point."""
-    key = ["district_id", "ring"]
+    key = [*by, "district_id", "ring"]
     scaled = points.withColumn("_s", F.cos(F.radians(F.avg("y").over(Window.partitionBy(*key)))))
     w = Window.partitionBy(*key).orderBy("pos")
     x1, y1, x2, y2 = F.col("x") * F.col("_s"), F.col("y"), F.lead("x").over(w) * F.col("_s"), F.lead("y").over(w)
@@ -29,20 +35,22 @@ def ring_area(points: DataFrame) -> DataFrame:
     return sums.select(*key, F.col("n").alias("n_points"), F.when(flat, 0.0).otherwise(F.abs("a")).alias("area"), F.when(flat, F.col("x0")).otherwise(F.col("cx") / (6 * F.col("a")) / F.col("s")).alias("lon"), F.when(flat, F.col("y0")).otherwise(F.col("cy") / (6 * F.col("a"))).alias("lat"))
 
 
-def derived_districts(areas: DataFrame, total_population: int, least: int = 50_000) -> DataFrame:
-    """(district_id, area, lon, lat, population): areas of all rings add up, the ring with most points gives the centre, and
-    population follows area, at least `least`."""
+def derived_districts(areas: DataFrame, total_population: int | Column | str, least: int = 50_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, district_id, area, lon, lat, population): areas of all rings add up, the ring with most points gives the centre, and
+    population follows area, at least `least`. total_population: a number for all, or a column of areas with one value for each `by`."""
+    people = F.lit(total_population) if isinstance(total_population, int) else total_population if isinstance(total_population, Column) else F.col(total_population)
     biggest = F.struct("n_points", (-F.col("ring")).alias("r"))
-    merged = areas.groupBy("district_id").agg(F.sum("area").alias("area"), F.max_by("lon", biggest).alias("lon"), F.max_by("lat", biggest).alias("lat"))
-    whole = merged.agg(F.sum("area").alias("_all"))
+    merged = areas.groupBy(*by, "district_id").agg(F.sum("area").alias("area"), F.max_by("lon", biggest).alias("lon"), F.max_by("lat", biggest).alias("lat"), F.max(people).alias("_people"))
+    whole = merged.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("area").alias("_all"))
     share = F.col("area") / F.when(F.col("_all") > 0, F.col("_all")).otherwise(1.0)
-    return merged.crossJoin(F.broadcast(whole)).select("district_id", "area", "lon", "lat", F.greatest(F.lit(least), (share * total_population).cast("long")).alias("population"))
+    joined = merged.join(whole, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])) if by else merged.crossJoin(F.broadcast(whole))
+    return joined.select(*by, "district_id", "area", "lon", "lat", F.greatest(F.lit(least), (share * F.col("_people")).cast("long")).alias("population"))
 
 
-def boundary_adjacency(points: DataFrame, shared: int = 2) -> DataFrame:
-    """(u, v): districts that share at least `shared` points of three decimals, u < v: a join on the points, not on pairs."""
+def boundary_adjacency(points: DataFrame, shared: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, u, v): districts that share at least `shared` points of three decimals, u < v: a join on the points, not on pairs."""
     at = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
-    unique = points.select("district_id", at("x").alias("px"), at("y").alias("py")).distinct()
+    unique = points.select(*by, "district_id", at("x").alias("px"), at("y").alias("py")).distinct()
     other = unique.withColumnRenamed("district_id", "v")
-    pairs = unique.withColumnRenamed("district_id", "u").join(other, ["px", "py"]).where("u < v")
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared)
+    pairs = unique.withColumnRenamed("district_id", "u").join(other, [*by, "px", "py"]).where("u < v")
+    return pairs.groupBy(*by, "u", "v").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared)

@@ -13,6 +13,8 @@ from watchpost.operators.detectors import HOSPITAL, SEARCH
 from watchpost.operators.knowledge import DISEASES
 from watchpost.sources.shared import written
 
+#: Groups whose weights are broadcast.
+FEW_GROUPS = 100_000
 NOVELTY_SIGNALS = (*HOSPITAL, *SEARCH, "social_mentions", "wastewater_viral_load")
 
 
@@ -98,14 +100,16 @@ def joint_context_iforest(anomalies: DataFrame, trees: int = 120, sample: int =
 def grouped_param_average(rows: DataFrame, group: str, features: list[str], label: str, rounds: int = 20, epochs: int = 3, rate: float = 0.5) -> list[float]:
     """Rounds of local gradient steps in every group from shared weights, then the mean of the weights by group size. Groups' weights stay a
     table: a step joins it with the rows and sums gradients by group, so that no group has to fit anywhere; only the mean reaches the driver.
-    Rows with a missing value are left out; without rows all weights are 0."""
+    Up to FEW_GROUPS groups the weights are broadcast and the rows stay where they are: a step then shuffles one sum of each group and task. With more
+    groups rows and weights are joined by group. Rows with a missing value are left out; without rows all weights are 0."""
     data = written(rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop())
     names = [f"w{i}" for i in range(len(features) + 1)]
     mean = [0.0] * len(names)
+    few = data.select("g").distinct().count() <= FEW_GROUPS
     for _ in range(rounds):
         state = None
         for _ in range(epochs):
-            held = data.withColumns({w: F.lit(v) for w, v in zip(names, mean, strict=True)}) if state is None else data.join(state.drop("n"), "g")
+            held = data.withColumns({w: F.lit(v) for w, v in zip(names, mean, strict=True)}) if state is None else data.join(F.broadcast(state.drop("n")) if few else state.drop("n"), "g")
             state = _stepped(held, names, rate)
         found = state.agg(*[(F.sum(F.col("n") * F.col(w)) / F.sum("n")).alias(w) for w in names]).first()
         mean = [found[w] or 0.0 for w in names]

@@ -31,16 +31,17 @@ def district_dim(config: DataFrame) -> DataFrame:
 
 
 def derived_dim(config: DataFrame, features: DataFrame) -> DataFrame:
-    """The same for regions without listed districts, from (region, feature JSON): population by share of area, neighbours by boundary."""
-    out = None
-    for r in config.where("districts is null").select("region", F.coalesce("total_population", F.lit(0)).alias("people")).collect():
-        rings = geo.rings(features.where(F.col("region") == r.region).select("feature"))
-        placed = geo.derived_districts(geo.ring_area(rings), r.people)
-        both = geo.boundary_adjacency(rings)
-        near = both.select(F.col("u").alias("id"), F.col("v").alias("o")).unionByName(both.select(F.col("v").alias("id"), F.col("u").alias("o"))).groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("neighbors"))
-        found = placed.join(near, placed["district_id"] == near["id"], "left").select(F.lit(r.region).alias("region"), "district_id", F.col("district_id").alias("name"), F.lit(None).cast("string").alias("state"), F.col("population").cast("long").alias("population"), "lat", "lon", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else district_dim(config.where("districts is null"))
+    """The same for regions without listed districts, from (region, feature JSON): population by share of area, neighbours by boundary. All
+    regions go through one plan."""
+    by = ("region",)
+    people = config.where("districts is null").groupBy("region").agg(F.max(F.coalesce("total_population", F.lit(0))).alias("people"))
+    points = geo.rings(features.join(people.select("region"), "region", "left_semi"), by=by)
+    placed = geo.derived_districts(geo.ring_area(points, by=by).join(people, "region"), "people", by=by)
+    both = geo.boundary_adjacency(points, by=by)
+    near = both.select("region", F.col("u").alias("district_id"), F.col("v").alias("o")).unionByName(both.select("region", F.col("v").alias("district_id"), F.col("u").alias("o")))
+    near = near.groupBy("region", "district_id").agg(F.array_sort(F.collect_set("o")).alias("neighbors"))
+    found = placed.join(near, ["region", "district_id"], "left")
+    return found.select("region", "district_id", F.col("district_id").alias("name"), F.lit(None).cast("string").alias("state"), F.col("population").cast("long").alias("population"), "lat", "lon", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
 
 
 def dangling_neighbors(districts: DataFrame) -> DataFrame:
