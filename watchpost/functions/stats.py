@@ -34,7 +34,10 @@ def deseasonal_z(df: DataFrame, value: str = "value", out: str = "z", period: in
 
 def pct_vs_baseline(df: DataFrame, window: int = 42, least: int = 10) -> DataFrame:
     """Adds baseline, the median of the rows before this one, and pct, the change against it in percent."""
-    with_base = trailing(df, list(SERIES), window=window, base_least=least, z=None, baseline="baseline")
+    return against_baseline(trailing(df, list(SERIES), window=window, base_least=least, z=None, baseline="baseline"))
+
+
+def against_baseline(with_base: DataFrame) -> DataFrame:
     return with_base.withColumn("pct", (F.col("value") - F.col("baseline")) / F.nullif(F.abs("baseline"), F.lit(0.0)) * 100)
 
 

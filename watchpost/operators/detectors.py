@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchpost.functions.kernels import trailing
 from watchpost.functions.scoring import anomaly_from_z, rounded
 from watchpost.functions.stats import deseasonal_z, rolling_robust_z
 
@@ -90,6 +91,17 @@ def all_anomalies(agg: DataFrame) -> DataFrame:
     return search_anomalies(agg).unionByName(trailing_anomalies(agg, HOSPITAL + SOCIAL + WASTEWATER))
 
 
+def described(agg: DataFrame) -> DataFrame:
+    """agg with the trailing z and the baseline of every series, from one pass."""
+    return trailing(agg, ["district_id", "signal_type"], z="z", baseline="baseline")
+
+
+def anomalies_of(series: DataFrame) -> DataFrame:
+    """all_anomalies from `described` series, which should be written: only searches, without their season, are gone through once more."""
+    rest = series.where(F.col("signal_type").isin(*HOSPITAL, *SOCIAL, *WASTEWATER)).select(*CELL, "signal_type", "z", anomaly_from_z("z").alias("anomaly"))
+    return search_anomalies(series.select(*CELL, "signal_type", "value")).unionByName(rest)
+
+
 def scores_wide(anomalies: DataFrame) -> DataFrame:
     """The frame of all detectors' scores from all_anomalies, in one aggregation by cell."""
     of = lambda signals, x: F.when(F.col("signal_type").isin(*signals), x)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.functions.scoring import clamp, level_for, level_order, rounded, signed_percent
-from watchpost.functions.stats import pct_vs_baseline
-from watchpost.operators.detectors import DETECTORS, all_anomalies, drivers_of, scores_wide
+from watchpost.functions.stats import against_baseline, pct_vs_baseline
+from watchpost.operators.detectors import DETECTORS, all_anomalies, anomalies_of, described, drivers_of, scores_wide
 from watchpost.operators.knowledge import diseases, match_diseases, weather_state
 from watchpost.sources.shared import written
 
@@ -95,12 +95,13 @@ def full_assessment(agg: DataFrame, districts: DataFrame, confidence: DataFrame,
     """risk_assessment tempered by the days' confidence, with confidence (1 where unknown), contributions (array of label, value and
     detail, from Watch upwards) and, where `novelty` is given (from elevated drivers to district_id, date, novelty), novelty_score, 0 below Watch,
     and novel: such a pattern's category is unknown and it has no likely diseases."""
-    anomalies, weather = written(all_anomalies(agg)), weather_state(agg)
+    series, weather = written(described(agg)), weather_state(agg)
+    anomalies = written(anomalies_of(series))
     drivers = written(drivers_of(anomalies))
     core = _matched(anomalies, weather, districts, confidence)
     watched = level_order("level") >= 1
     rows = core.where(watched).select(*CELL)
-    known = [x.join(rows, CELL, "left_semi") for x in (drivers, pct_vs_baseline(agg), weather)]
+    known = [x.join(rows, CELL, "left_semi") for x in (drivers, against_baseline(series), weather)]
     why = contributions(*known).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "value", "detail"))).alias("_why"))
     none = F.array().cast("array<struct<rank:int,label:string,value:double,detail:string>>")
     out = core.join(confidence.select(*CELL, "confidence"), CELL, "left").join(why, CELL, "left").withColumns({"confidence": F.coalesce(clamp("confidence"), F.lit(1.0)), "contributions": F.coalesce("_why", none)}).drop("_why")
