@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -448,6 +449,10 @@ def test_whole_long_licenses(spark):
     rows = [*enumerate(texts), (50, cut), (51, "Copyright (c) 2020 Someone\n" + texts[0].upper()), (52, texts[1] + " more"), (53, texts[1][:9000])]
     got = {r.doc_id: r.license for r in licenses.scan(make(spark, rows)).collect()}
     assert got == {**dict(enumerate(files.values())), 50: "GPL-3.0", 51: "Apache-2.0", 52: None, 53: None}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r[1] for r in duck.execute(licenses.duckdb_sql()).fetchall()} == got
 
 
 # Decontamination

@@ -221,14 +221,16 @@ def duckdb_sql() -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     texts = ", ".join(f"({quoted(t)}, {quoted(name)})" for t, name in known_texts().items())
     notices = ", ".join(f"({quoted(t)}, {quoted(name)})" for t, name in known_notices().items())
+    digests = ", ".join(f"({quoted(digest)}, {quoted(name)})" for name, _, _, digest in WHOLE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace({low}, {quoted(COPYRIGHT)}, '', 'g'), {quoted(MARKS)}, ' ', 'g') AS t FROM documents),
 texts(whole, license) AS (VALUES {texts}),
+digests(digest, license) AS (VALUES {digests}),
 notices(line, license) AS (VALUES {notices}),
 w AS (SELECT r, doc_id, {respelled("trim(regexp_replace(t, '[ ' || chr(10) || ']+', ' ', 'g'), ' ')")} AS whole FROM d),
 s AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 l AS (SELECT s.r, n.license FROM (SELECT r, {respelled("trim(regexp_replace(line, ' +', ' ', 'g'), ' ')")} AS line FROM s WHERE line LIKE '%licen%' OR line LIKE '%under%') s JOIN notices n ON s.line = n.line),
 f AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM l GROUP BY r)
-SELECT w.doc_id, texts.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
-FROM w LEFT JOIN texts ON w.whole = texts.whole LEFT JOIN f ON w.r = f.r
+SELECT w.doc_id, coalesce(texts.license, digests.license) AS license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
+FROM w LEFT JOIN texts ON w.whole = texts.whole LEFT JOIN digests ON sha256(w.whole) = digests.digest LEFT JOIN f ON w.r = f.r
 """
