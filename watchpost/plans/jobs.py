@@ -10,6 +10,7 @@ from watchpost.functions import scoring as sc
 from watchpost.operators import alerts as al
 from watchpost.operators import briefing as br
 from watchpost.operators import detectors as de
+from watchpost.operators import drift as dr
 from watchpost.operators import geo
 from watchpost.operators import graph as gr
 from watchpost.operators import knowledge as kn
@@ -20,7 +21,7 @@ from watchpost.operators import risk as ri
 from watchpost.operators import rollups as ro
 from watchpost.operators import variants as va
 from watchpost.plans.oracle import LEVEL_ORDER, case, listed, rnd, values
-from watchpost.plans.registry import _SPREAD, _agg, _assessed, _confidence, _risk, _signals, query
+from watchpost.plans.registry import SQL, _SPREAD, _agg, _assessed, _confidence, _risk, _signals, query
 from watchpost.sources import adapters as ad
 from watchpost.sources import ingest as ing
 from watchpost.sources.shared import written
@@ -391,3 +392,17 @@ def acquired_sources(spark, d):
     spoilt = F.when(F.col("signal_type") == "mortality", F.col("value").cast("string")).otherwise("n/a")
     texts = lambda: weekly().where("signal_type in ('mortality', 'icu_occupancy')").withColumn("value", spoilt)
     return ing.acquire(spark, {"daily": lambda: ad.daily_signals(spark, d), "weekly": weekly, "texts": texts, "down": down})[2]
+
+
+@query()
+def drift_from_daily_sums(spark, d):
+    """drift_report from sums of days alone."""
+    return dr.drift_from_sums(dr.day_sums(_agg(spark, d)))
+
+
+SQL["drift_from_daily_sums"] = SQL["drift_report"]
+
+
+@query("SELECT district_id, signal_type, date, value, count(*) AS n FROM (SELECT district_id, signal_type, date, round(value, 4) AS value FROM daily) WHERE value IS NOT NULL GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY district_id, signal_type, date, value"), "daily")
+def daily_value_counts(spark, d):
+    return dr.value_counts(ad.daily_signals(spark, d).withColumn("value", F.round("value", 4)))
