@@ -10,7 +10,8 @@ Workers score texts with the counts of the `HOT` most frequent words at hand (a
 text becomes one (word hash, text, times) row that is joined with the table of all counts. Those words are rare, so the join has no hot key.
 
 The classes' vectors begin with a fit on about `SAMPLE_ROWS` training texts, which only gives all tasks one start. Then every task learns
-from all training texts of its partition, and the tasks' vectors are averaged by their tokens, so that the vectors learn from the whole corpus.
+from all training texts of its partition, and the tasks' vectors are averaged by their tokens, so that the vectors learn from the whole corpus. A task's part of the texts is
+its input split and its draws follow from the split's number, so scores are the same again for the same splits, and differ in later digits under others.
 
 Defined cases: null text has no words, and its end is scored; A-Z are lower-cased; rows that repeat a doc_id are learned and
 scored each; without training texts every probability is that of one unseen token. Columns other than doc_id and text are not looked at.
