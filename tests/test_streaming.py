@@ -98,3 +98,18 @@ def test_alerts_only_on_a_rise(spark, tmp_path):
     q = updates.rising_alerts(stream).writeStream.format("memory").queryName("rising_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(90)
     assert [(r.before, r.level) for r in spark.table("rising_out").orderBy("date").collect()] == [("Normal", "Watch"), ("Watch", "Alert"), ("Normal", "Watch")]
+
+
+def test_rises_of_a_table(spark):
+    rng = random.Random(1)
+    levels = ("Normal", "Watch", "Warning", "Alert", "Emergency", "odd")
+    rows = [(d, datetime.date(2024, 1, 1) + datetime.timedelta(k), rng.choice(levels)) for d in ("a", "b", None) for k in range(40)]
+    want = []
+    for d in ("a", "b", None):
+        seen = 0
+        for _, day, level in [r for r in rows if r[0] == d]:
+            now = max(0, levels.index(level)) % 5
+            if now > seen:
+                want.append((d, day, levels[seen], level))
+            seen = now
+    assert found(updates.rising_levels(spark.createDataFrame(rows, "district_id string, date date, level string"))) == sorted(want, key=str)

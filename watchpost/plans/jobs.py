@@ -24,7 +24,9 @@ from watchpost.plans.oracle import LEVEL_ORDER, case, listed, rnd, values
 from watchpost.plans.registry import SQL, _SPREAD, _agg, _assessed, _confidence, _risk, _signals, query
 from watchpost.sources import adapters as ad
 from watchpost.sources import ingest as ing
-from watchpost.sources.shared import written
+from watchpost.sources import registry as re
+from watchpost.sources.shared import shared_dir, written
+from watchpost.streaming import updates as up
 
 # Ingest
 
@@ -406,3 +408,57 @@ SQL["drift_from_daily_sums"] = SQL["drift_report"]
 @query("SELECT district_id, signal_type, date, value, count(*) AS n FROM (SELECT district_id, signal_type, date, round(value, 4) AS value FROM daily) WHERE value IS NOT NULL GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY district_id, signal_type, date, value"), "daily")
 def daily_value_counts(spark, d):
     return dr.value_counts(ad.daily_signals(spark, d).withColumn("value", F.round("value", 4)))
+
+
+# Stores, streams and registries over the test tables
+
+
+@query(f"SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, {rnd('sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / count(value) / 100', 2)} AS value FROM events GROUP BY 1, 2")
+def daily_event_aggregate(spark, d):
+    """The streaming aggregate of days, over the whole table at once."""
+    cents = ad.read(spark, d, "events", "ts", "event_type", "value").withColumn("value", F.floor(F.col("value") * 100 + 0.5))
+    return up.daily_aggregate(cents).withColumn("value", sc.rounded(F.col("value") / 100, 2))
+
+
+@query(f"WITH o AS (SELECT district_id, date, level, {LEVEL_ORDER} AS o FROM risk), p AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY district_id ORDER BY date), 0) AS b FROM o) SELECT district_id, date, list_extract(['Normal', 'Watch', 'Warning', 'Alert', 'Emergency'], b + 1) AS before, level FROM p WHERE o > b", "risk")
+def rising_levels(spark, d):
+    return up.rising_levels(_risk(spark, d))
+
+
+@query("SELECT DISTINCT region, r.district_id, r.date, risk_score, level FROM risk r JOIN agg a ON a.district_id = r.district_id AND a.date = r.date", "risk")
+def rescored_risk(spark, d):
+    """Risk kept up to date over three micro-batches of signals dealt by a hash of day and series, as late rows are."""
+    signals = written(ad.weekly_signals(spark, d).select("region", "district_id", "date", "signal_type", "value"))
+    places = signals.select("region", "district_id").distinct()
+    score = lambda df: ri.assess_risk(df.select("district_id", "date", "signal_type", "value")).join(places, "district_id").select("region", "district_id", "date", "risk_score", "level")
+    scores = up.Scores(spark, shared_dir(spark), score, signals.schema)
+    for k in range(3):
+        scores.take(signals.where(F.pmod(F.xxhash64("date", "signal_type"), F.lit(3)) == k), k)
+    return scores.read()
+
+
+@query("""WITH y AS (SELECT c_mktsegment AS name, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT name, 'v' || row_number() OVER w AS version, row_number() OVER w AS number, n::DOUBLE AS n_rows, count(*) OVER (PARTITION BY name) AS total_versions FROM y WINDOW w AS (PARTITION BY name ORDER BY y)""")
+def model_history(spark, d):
+    """A version of each segment's model for every year of orders, registered one after the other, read as history."""
+    runs = ad.read(spark, d, "orders", "o_custkey", "o_orderdate").join(ad.read(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    years = runs.groupBy("c_mktsegment", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n")).orderBy("c_mktsegment", "y").collect()  # segments x years
+    root = shared_dir(spark)
+    for r in years:
+        re.register_model(spark, root, r.c_mktsegment, {"n_rows": r.n}, {"year": r.y})
+    entries = re.history(spark, root)
+    total = re.latest_models(entries).select("name", "total_versions")
+    return entries.join(total, "name").select("name", "version", "number", F.col("metrics")["n_rows"].alias("n_rows"), "total_versions")
+
+
+@query("SELECT region, artifact, arg_max(rows, date) AS rows FROM (SELECT region, signal_type AS artifact, date, count(*) AS rows FROM daily GROUP BY region, signal_type, date) GROUP BY region, artifact", "daily")
+def merged_catalog(spark, d):
+    """The artifact catalog after merges of the days before and from the middle of the table's last month, as two writers would record them."""
+    log = written(ad.daily_signals(spark, d).groupBy("region", F.col("signal_type").alias("artifact"), "date").agg(F.count("*").alias("rows")))
+    last = log.agg(F.max("date").alias("_last"))
+    halves = log.crossJoin(F.broadcast(last)).withColumn("_new", F.col("date") > F.date_sub("_last", 15))
+    catalog = re.Catalog(spark, shared_dir(spark), compact_after=1)
+    for new in (False, True):
+        own = halves.where(F.col("_new") == new).groupBy("region", "artifact").agg(F.max_by("rows", "date").alias("rows"), F.max("date").cast("timestamp").alias("updated_at"))
+        catalog.record(own)
+    return catalog.read().select("region", "artifact", "rows")

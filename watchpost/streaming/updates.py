@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from watchpost.functions.scoring import LEVELS
+from watchpost.functions.scoring import LEVELS, level_order
 from watchpost.sources.keyed import KeyedTable
 from watchpost.sources.shared import scratch
 
@@ -116,3 +116,11 @@ class _Rising(StatefulProcessor):
 def rising_alerts(risk: DataFrame) -> DataFrame:
     """(district_id, date, before, level) whenever a district's level goes up. Needs the RocksDB state store."""
     return risk.groupBy("district_id").transformWithStateInPandas(_Rising(), "district_id string, date date, before string, level string", "Append", "None")
+
+
+def rising_levels(risk: DataFrame) -> DataFrame:
+    """The same rows from a table at once: (district_id, date, before, level) where a district's level is above that of its row before, Normal before the first."""
+    own = Window.partitionBy("district_id").orderBy("date")
+    ordered = risk.withColumns({"_now": level_order("level"), "_before": F.coalesce(F.lag(level_order("level")).over(own), F.lit(0))})
+    names = F.array(*[F.lit(x) for x in LEVELS])
+    return ordered.where(F.col("_now") > F.col("_before")).select("district_id", "date", names[F.col("_before")].alias("before"), "level")
