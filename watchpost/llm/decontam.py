@@ -186,9 +186,15 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, w
     yield from by_text(sums[at], at, PLAIN, 0)
     inside = table[ids, 2]
     h = np.where(starts_sentence, table[ids, 1], inside)
-    is_slot, slot_inside = (np.logical_or.reduce([x == k for k in _SLOT_HASHES]) for x in (h, inside))
+
+    def telling(at: np.ndarray, way: int) -> np.ndarray:
+        """Whether windows that begin there, of those asked for, hold enough words that are no placeholders."""
+        parts = [(inside if way >> j & 1 else h)[at + j] for j in range(WIDTH)]
+        return sum(np.isin(x, _SLOT_HASHES).astype(np.int8) for x in parts) <= WIDTH - LITERAL
+
     sums = hashed([h[j : j + m] for j in range(WIDTH)], TEMPLATE)
-    at = asked(sums, whole & (sum(is_slot[j : j + m].astype(np.int8) for j in range(WIDTH)) <= WIDTH - LITERAL))
+    at = asked(sums, whole)
+    at = at[telling(at, 0)]
     yield from by_text(sums[at], at, TEMPLATE, 0)
     # A capitalised sentence start has two readings; windows that hold some are read in every other way too.
     either = starts_sentence & (h != inside)
@@ -200,8 +206,8 @@ def _windows(texts: list[bytes], wanted: tuple[np.ndarray, np.ndarray] | None, w
         own = some[(ways[some] & way) == way]
         if len(own):
             sums = hashed([inside[own + j] if way >> j & 1 else h[own + j] for j in range(WIDTH)], TEMPLATE)
-            slots = sum((slot_inside if way >> j & 1 else is_slot)[own + j].astype(np.int8) for j in range(WIDTH))
-            at = asked(sums, slots <= WIDTH - LITERAL)
+            at = asked(sums, np.ones(len(own), bool))
+            at = at[telling(own[at], way)]
             yield from by_text(sums[at], own[at], TEMPLATE, way)
 
 
