@@ -664,6 +664,31 @@ def test_toxicity_edges(spark):
     assert toxicity.train(df.drop("lang"), marks).trained
 
 
+def test_toxicity_learns_from_rows_beyond_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    plain = [f"w{i}" for i in range(50)]
+    rows, labels = [], []
+    for i in range(600):
+        text = rng.choice(plain, 12).tolist()
+        if i % 3 == 0:
+            text[5] = "nastyword"
+        if i % 6 == 0:
+            text[6:7] = ["longbad"] + ["w1"] * 200  # too long for the sample
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, int(i % 3 == 0)))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen, learn, calibrate = {}, toxicity._learn_rows, toxicity._calibrate
+    monkeypatch.setattr(toxicity, "LONGEST", 400)
+    monkeypatch.setattr(toxicity, "_learn_rows", lambda r, start: seen.update(learned=[x.doc_id for x in r.collect()], before=start) or learn(r, start))
+    monkeypatch.setattr(toxicity, "_calibrate", lambda r, model: seen.update(apart=[x.doc_id for x in r.collect()]) or calibrate(r, model))
+    model = toxicity.train(df, marks, sample_rows=60)
+    assert sorted(seen["learned"] + seen["apart"]) == list(range(600)) and 60 < len(seen["apart"]) < 180
+    at = list(toxicity.features("longbad"))
+    assert not seen["before"].embedding[at].any() and model.embedding[at].any()
+    got = toxicity.score_documents(df, model).collect()
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in got]) > 0.95
+
+
 def test_operators_pass_by_clashing_columns(spark):
     texts = [(1, EN), (2, EN), (3, FR), (4, None), (4, None), (5, "x" * 40000)]
     df = make(spark, texts)
