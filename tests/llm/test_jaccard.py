@@ -86,6 +86,25 @@ def test_few_counters_more_rounds_and_shuffled_joins_change_nothing(spark, monke
     assert got(spark, rows, rounds=3) == brute(rows)
 
 
+def degrees(rows):
+    """n_links of each row: the different sets that its own is linked with."""
+    sets = [exact_set(t) for _, t in rows]
+    distinct = {s for s in sets if s}
+    links = {s: sum(s != o and 5 * len(s & o) >= 4 * len(s | o) for o in distinct if 5 * min(len(s), len(o)) >= 4 * max(len(s), len(o))) for s in distinct}
+    return sorted(((d, len(s), links.get(s, 0)) for (d, _), s in zip(rows, sets, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 6])
+def test_every_link_is_counted(spark, seed):
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(300)]
+    rows = [*draw(seed), *[(10000 + i, edited(rng, words, rng.randrange(9))) for i in range(120)]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    out = jaccard.similar_groups(df, every=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in out), key=str) == degrees(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(rows)
+
+
 def test_large_group_of_near_copies_makes_few_pairs(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]

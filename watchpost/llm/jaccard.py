@@ -15,7 +15,10 @@ What relates sets to each other saves most of the work in long lists:
   follows from the few tokens in which each differs from it; only the rest is intersected as whole sets.
 
 So no list is ever paired as a whole, none meets in one task, nothing is left out: components are those of all pairs at the similarity.
-`n_links` counts the links that had to be verified, not all that hold within a component.
+`n_links` counts the links that had to be verified, not all that hold within a component; with `every` it counts each link of the class.
+Then lists stay open until their pairs are decided, not only their components. A set's home is the nearest leader that it was compared with, from
+which it lacks g of m tokens and has c others. Two sets of one home share m - g - g' tokens at least, so they are linked for sure where
+5 (g + g') + 4 (c + c') <= m: such links are counted by sums over homes, never as pairs. All others are judged pair by pair.
 
 Defined cases: null or empty texts, and texts without words, have an empty set, link with nothing and are their own component;
 fewer words than a shingle give one shingle of all words; rows that repeat a doc_id keep their own set, class and component; a null
@@ -286,19 +289,43 @@ def _lists(entries: DataFrame, similar: tuple[int, int], keep: Keep) -> DataFram
 
 def _met_in_blocks(lists: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(lead, m, a, b, na, nb) of entries of different components that can be similar by sizes and positions, through blocks. lists: (token, node, n, pos,
-    comp, lead, m)."""
+    comp, lead, m), and x and most where sets of one component are open to each other too, if their x exceed most."""
+    inner = "x" in lists.columns
+    own = lambda side: [F.col("comp").alias(f"_c{side}"), *([F.col("x").alias(f"_x{side}")] if inner else [])]
     small, large = _blocks(lists, similar)
     left = F.col("n") - F.col("pos")
-    small = small.select("token", "_block", "lead", "m", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("_ca"), left.alias("_la"))
-    large = large.select("token", "_block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("_cb"), left.alias("_lb"))
+    small = small.select("token", "_block", "lead", "m", F.col("node").alias("a"), F.col("n").alias("na"), *own("a"), *(["most"] if inner else []), left.alias("_la"))
+    large = large.select("token", "_block", F.col("node").alias("b"), F.col("n").alias("nb"), *own("b"), left.alias("_lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = small.join(large, ["token", "_block"]).where(ordered & (F.col("_ca") != F.col("_cb")) & _may_link("na", "nb", similar) & _enough(F.least("_la", "_lb"), F.col("na") + F.col("nb"), similar))
+    apart = F.col("_ca") != F.col("_cb")
+    apart = apart | (F.col("_xa") + F.col("_xb") > F.col("most")) if inner else apart
+    met = small.join(large, ["token", "_block"]).where(ordered & apart & _may_link("na", "nb", similar) & _enough(F.least("_la", "_lb"), F.col("na") + F.col("nb"), similar))
     return met.groupBy("a", "b", "na", "nb").agg(F.min(F.struct("lead", "m")).alias("_l")).select("_l.lead", "_l.m", "a", "b", "na", "nb")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+def _homes(lists: DataFrame, answers: DataFrame, similar: tuple[int, int], keep: Keep) -> DataFrame:
+    """(node, comp, x, most) of every set in a list: its home as comp, and how far it is from it; two sets of a home are linked for sure where their x
+    add up to `most` at most. Sets that are near no leader are their own home."""
+    most, of = similar
+    far = of * F.size("gone") + most * F.size("come")
+    own = answers.where("gone is not null and come is not null").select("node", "lead", "m", far.alias("x"))
+    own = own.unionByName(answers.select(F.col("lead").alias("node"), "lead", "m", F.lit(0).alias("x")).distinct())
+    nearest = own.groupBy("node").agg(F.min(F.struct("x", "lead", "m")).alias("_l"))
+    found = lists.select("node").distinct().join(nearest, "node", "left")
+    return keep(found.select("node", F.coalesce("_l.lead", "node").alias("comp"), F.coalesce("_l.x", F.lit(0)).alias("x"), F.coalesce((of - most) * F.col("_l.m"), F.lit(0)).alias("most")))
+
+
+def _sure_links(homes: DataFrame, keep: Keep) -> DataFrame:
+    """(node, n_links): how many sets of its home each set is linked with for sure, by sums over the homes' values of x."""
+    sums = keep(homes.groupBy("comp", "x", "most").agg(F.count(F.lit(1)).alias("_n")))
+    other = sums.select("comp", F.col("x").alias("_x"), F.col("_n").alias("_k"))
+    met = sums.join(other, "comp").where(F.col("x") + F.col("_x") <= F.col("most")).groupBy("comp", "x").agg(F.sum("_k").alias("_k"))
+    return homes.join(met, ["comp", "x"]).select("node", (F.col("_k") - F.when(2 * F.col("x") <= F.col("most"), 1).otherwise(0)).alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, rounds: int = ROUNDS, every: bool = False) -> DataFrame:
     """(doc_id, row, n_shingles, class_id, component_id, n_links) of each row: row is the hash of its text, class_id the smallest doc_id with an
-    equal set, component_id the smallest doc_id that links reach."""
+    equal set, component_id the smallest doc_id that links reach, n_links how many links of its class were verified, or, with `every`, how many it has."""
     with scratch(docs.sparkSession) as keep:
 
         def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -309,8 +336,9 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int]
         counts = _count_table(docs.select("text"), hashes, keep)
         rows = keep(_indexed(docs, counts, width, similar))
         classes = keep(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("rep")))
-        nodes, found = _joined(docs, rows, classes, width, similar, rounds, keep)
-        degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        nodes, found, sure = _joined(docs, rows, classes, width, similar, rounds, every, keep)
+        ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+        degree = (ends if sure is None else ends.unionByName(sure)).groupBy("node").agg(F.sum("n_links").alias("n_links"))
         named = keep(classes.select(F.col("cls").alias("node"), "class_id").join(nodes, "node", "left").select("node", "class_id", F.coalesce("comp", "node").alias("comp")))
         top = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
         labels = keep(named.join(top, "comp").join(degree, "node", "left").select(F.col("node").alias("cls"), "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -319,8 +347,9 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int]
         return written(whole.unionByName(empty))
 
 
-def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similar: tuple[int, int], rounds: int, keep: Keep) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) of the classes that meet another in a list, and the links (a, b) that were verified."""
+def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similar: tuple[int, int], rounds: int, every: bool, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(node, comp) of the classes that meet another in a list, and the links (a, b) that were verified. With `every`, these are all links but
+    those that (node, n_links) counts."""
     entries = rows.where("prefix is not null").select(F.col("cls").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     lists = _lists(entries, similar, keep)
     nodes = keep(lists.select("node").distinct().withColumn("comp", F.col("node")))
@@ -344,7 +373,20 @@ def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, si
         nodes = _named(nodes, links, keep)
         open_ = _open_lists(open_.drop("comp"), nodes, keep)
         if not open_.take(1):
-            return nodes, keep(found)
+            break
+    sure = None
+    if every:
+        homes = _homes(lists, answers, similar, keep)
+        sure = _sure_links(homes, keep)
+        # What the sums count leaves the links found so far.
+        home = lambda x: homes.select(F.col("node").alias(x), F.col("comp").alias(f"_c{x}"), F.col("x").alias(f"_x{x}"), F.col("most").alias(f"_m{x}"))
+        ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = keep(ordered.join(home("a"), "a").join(home("b"), "b").where("_ca <> _cb or _xa + _xb > _ma").select("a", "b"))
+        named = keep(lists.join(_bounded(homes), "node"))
+        several = named.groupBy("token").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max("x").alias("_far"), F.min("most").alias("_most")).where("_x <> _y or 2 * _far > _most").select("token")
+        open_ = keep(named.join(several, "token", "left_semi"))
+    if not open_.take(1):
+        return nodes, keep(found), sure
     done = answers.select(F.col("lead").alias("a"), F.col("node").alias("b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = keep(_met_in_blocks(open_.join(first, "token"), similar).join(done, ["a", "b"], "left_anti"))
@@ -352,4 +394,5 @@ def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, si
     asked = pairs.select("lead", "m", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("x")).select("lead", "x.node", "m", "x.n").where("lead <> node").distinct()
     more = _answers(keep(asked.join(answers, ["lead", "node"], "left_anti")), sets, keep)
     links = keep(_by_answers(pairs, answers.unionByName(more), sets, similar, keep))
-    return _named(nodes, links, keep), keep(found.unionByName(links).distinct())
+    whole = found.unionByName(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _named(nodes, links, keep), keep(whole), sure
