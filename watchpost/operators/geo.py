@@ -11,6 +11,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchpost.sources.shared import written
+
 FEATURE = "properties struct<district: string>, geometry struct<type: string, coordinates: array<array<array<array<double>>>>>"
 
 
@@ -48,9 +50,19 @@ def derived_districts(areas: DataFrame, total_population: int | Column | str, le
 
 
 def boundary_adjacency(points: DataFrame, shared: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, u, v): districts that share at least `shared` points of three decimals, u < v: a join on the points, not on pairs."""
+    """(by, u, v): districts that share at least `shared` points of three decimals, u < v: a join on the points, not on pairs. Districts of
+    equal points are one outline: only outlines are joined and counted, and what they share is dealt to their districts without a shuffle of pairs."""
     at = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
-    unique = points.select(*by, "district_id", at("x").alias("px"), at("y").alias("py")).distinct()
-    other = unique.withColumnRenamed("district_id", "v")
-    pairs = unique.withColumnRenamed("district_id", "u").join(other, [*by, "px", "py"]).where("u < v")
-    return pairs.groupBy(*by, "u", "v").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared)
+    placed = points.select(*by, "district_id", at("x").alias("px"), at("y").alias("py")).where("district_id is not null and px is not null and py is not null")
+    drawn = placed.groupBy(*by, "district_id").agg(F.array_sort(F.collect_set(F.struct("px", "py"))).alias("_points"))
+    known = written(drawn)
+    # An outline goes by its least district, so that its points don't travel with its districts.
+    first = written(known.groupBy(*by, "_points").agg(F.min("district_id").alias("_outline")))
+    unique = first.select(*by, "_outline", F.explode("_points").alias("p")).select(*by, "_outline", "p.px", "p.py")
+    other = unique.withColumnRenamed("_outline", "_b")
+    pairs = unique.withColumnRenamed("_outline", "_a").join(other, [*by, "px", "py"]).where("_a <= _b")
+    met = written(pairs.groupBy(*by, "_a", "_b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared))
+    members = written(known.join(first, [*by, "_points"]).select(*by, "_outline", "district_id"))
+    left = met.join(members.select(*by, F.col("_outline").alias("_a"), F.col("district_id").alias("_x")), [*by, "_a"])
+    both = left.join(members.select(*by, F.col("_outline").alias("_b"), F.col("district_id").alias("_y")), [*by, "_b"])
+    return both.where("_x < _y or (_a <> _b and _x <> _y)").select(*by, F.least("_x", "_y").alias("u"), F.greatest("_x", "_y").alias("v"), "n_shared")
