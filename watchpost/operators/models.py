@@ -101,8 +101,10 @@ def grouped_param_average(rows: DataFrame, group: str, features: list[str], labe
     """Rounds of local gradient steps in every group from shared weights, then the mean of the weights by group size. Groups' weights stay a
     table: a step joins it with the rows and sums gradients by group, so that no group has to fit anywhere; only the mean reaches the driver.
     Up to FEW_GROUPS groups the weights are broadcast and the rows stay where they are: a step then shuffles one sum of each group and task. With more
-    groups rows and weights are joined by group. Rows with a missing value are left out; without rows all weights are 0."""
-    data = written(rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop())
+    groups rows and weights are joined by group. Equal rows of a group are one row with their number, which all steps go through instead. Rows with a
+    missing value are left out; without rows all weights are 0."""
+    whole = rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop()
+    data = written(whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("k")))
     names = [f"w{i}" for i in range(len(features) + 1)]
     mean = [0.0] * len(names)
     few = data.select("g").distinct().count() <= FEW_GROUPS
@@ -117,11 +119,11 @@ def grouped_param_average(rows: DataFrame, group: str, features: list[str], labe
 
 
 def _stepped(held: DataFrame, names: list[str], rate: float) -> DataFrame:
-    """(g, n, weights) after one step of each group: `held` has the rows with their group's weights."""
+    """(g, n, weights) after one step of each group: `held` has the rows, each with its number k and its group's weights."""
     inputs = [F.col(f"x{i}") for i in range(len(names) - 1)] + [F.lit(1.0)]
     z = sum((F.col(w) * x for w, x in zip(names, inputs, strict=True)), F.lit(0.0))
     miss = held.withColumn("_miss", 1 / (1 + F.exp(-z)) - F.col("y"))
-    sums = miss.groupBy("g").agg(F.count("*").alias("n"), *[F.first(w).alias(w) for w in names], *[F.sum(F.col("_miss") * x).alias(f"d{i}") for i, x in enumerate(inputs)])
+    sums = miss.groupBy("g").agg(F.sum("k").alias("n"), *[F.first(w).alias(w) for w in names], *[F.sum(F.col("k") * F.col("_miss") * x).alias(f"d{i}") for i, x in enumerate(inputs)])
     return sums.select("g", "n", *[(F.col(w) - rate * F.col(f"d{i}") / F.col("n")).alias(w) for i, w in enumerate(names)])
 
 
