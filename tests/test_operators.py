@@ -193,3 +193,37 @@ def test_novelty_orders_patterns(spark):
     quiet = [("quiet", day, "multivariate_context", 0.9)]
     got = {r.district_id: r.novelty for r in mo.novelty_score(spark.createDataFrame(known + novel + quiet, "district_id string, date date, signal_type string, anomaly double")).collect()}
     assert got["known"] < 0.4 < got["novel"] and got["quiet"] == 0.0
+
+
+def test_districts_of_one_outline_are_paired_without_a_join_of_their_points(spark):
+    from watchpost.operators import geo
+
+    square = [(0.0, 0.0), (0.25, 0.0), (0.25, 0.25), (0.0, 0.25)]
+    rows = [(f"a{i}", x, y) for i in range(30) for x, y in square] + [(f"b{i}", x + 0.25, y) for i in range(20) for x, y in square] + [("a0", 9.0, None)]
+    found = geo.boundary_adjacency(spark.createDataFrame(rows, "district_id string, x double, y double"))
+    got = [(r.u, r.v, r.n_shared) for r in found.collect()]
+    names = [f"a{i}" for i in range(30)] + [f"b{i}" for i in range(20)]
+    want = {(min(u, v), max(u, v)): 4 if u[0] == v[0] else 2 for u in names for v in names if u != v}
+    assert len(got) == len(want) and {(u, v): n for u, v, n in got} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "px" not in plan  # pairs of districts are dealt, never counted
+
+
+def test_equal_rows_are_one_row_of_a_step(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1.0, 1.0)] * 40 + [("b", -1.0, 0.0)] * 20, "g string, x double, y double")
+    seen, stepped = [], mo._stepped
+    monkeypatch.setattr(mo, "_stepped", lambda held, *rest: seen.append(held.count()) or stepped(held, *rest))
+    mo.grouped_param_average(rows, "g", ["x"], "y", rounds=1, epochs=2)
+    assert seen == [2, 2]
+
+
+def test_lines_are_read_once_for_signals_and_confidence(spark, monkeypatch):
+    from watchpost.plans import registry
+    from watchpost.sources import adapters
+
+    read, names = adapters.read, []
+    monkeypatch.setattr(adapters, "read", lambda s, d, name, *c: names.append(name) or read(s, d, name, *c))
+    for name in ("confident_risk", "risk_assessment", "novelty_gate"):
+        names.clear()
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert names.count("lineitem") == 1

@@ -21,7 +21,7 @@ from watchpost.operators import risk as ri
 from watchpost.operators import rollups as ro
 from watchpost.operators import variants as va
 from watchpost.plans.oracle import LEVEL_ORDER, case, listed, rnd, values
-from watchpost.plans.registry import SQL, _SPREAD, _agg, _assessed, _confidence, _risk, _signals, query
+from watchpost.plans.registry import SQL, _SPREAD, _agg, _assessed, _risk, _signals, _signals_and_confidence, query
 from watchpost.sources import adapters as ad
 from watchpost.sources import ingest as ing
 from watchpost.sources import registry as re
@@ -320,7 +320,8 @@ def novelty_score(spark, d):
 
 @query()
 def novel_assessment(spark, d):
-    full = ri.full_assessment(_signals(spark, d), ad.districts(spark, d), _confidence(spark, d), mo.novelty_score)
+    agg, confidence = _signals_and_confidence(spark, d)
+    full = ri.full_assessment(agg, ad.districts(spark, d), confidence, mo.novelty_score)
     return full.select("district_id", "date", "risk_score", "level", "confidence", "category", "likely_diseases", "best_match", "novelty_score", "novel", F.size("contributions").alias("n_contributions"))
 
 

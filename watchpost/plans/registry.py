@@ -302,15 +302,17 @@ _CONFIDENCE = f"{_RAW}, conf AS (SELECT district_id, date, {rnd('greatest(0.0, l
 _TEMPERED = f"{_CONFIDENCE}, held AS (SELECT p.*, coalesce(confidence, 1.0) AS confidence FROM parts p LEFT JOIN conf USING (district_id, date)), tempered AS (SELECT *, {level('risk_score')} AS level FROM (SELECT district_id, date, confidence, {', '.join(de.DETECTORS)}, {tempered('confidence')} AS risk_score FROM held))"
 
 
-def _confidence(spark, d) -> DataFrame:
-    """Confidence of each day's weekly signals, by source."""
-    return written(qu.daily_confidence(written(ad.weekly_signals(spark, d, by_source=True))).select("district_id", "date", "confidence"))
+def _signals_and_confidence(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The weekly signals, and the confidence of each of their days by source: order lines are read and joined once for both."""
+    cells = written(ad.weekly_cells(spark, d, by_source=True))
+    confidence = qu.daily_confidence(written(ad.signals_of(cells, by_source=True))).select("district_id", "date", "confidence")
+    return written(ad.signals_of(cells).select("district_id", "date", "signal_type", "value")), written(confidence)
 
 
 @query(f"WITH {_TEMPERED} SELECT district_id, date, confidence, risk_score, level FROM tempered", "risk", "raw")
 def confident_risk(spark, d):
-    confidence = _confidence(spark, d)
-    return ri.assess_risk(_agg(spark, d), confidence).join(confidence, ["district_id", "date"], "left").select("district_id", "date", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "risk_score", "level")
+    agg, confidence = _signals_and_confidence(spark, d)
+    return ri.assess_risk(agg, confidence).join(confidence, ["district_id", "date"], "left").select("district_id", "date", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "risk_score", "level")
 
 
 _FULL = f"""{_TEMPERED}, why AS (SELECT district_id, date, string_agg(label || ' ' || detail, ' | ' ORDER BY rank) AS why FROM contributions GROUP BY district_id, date)
@@ -321,7 +323,8 @@ FROM tempered t LEFT JOIN best b USING (district_id, date) LEFT JOIN why USING (
 
 @query(f"WITH {_FULL}", "assessed", "contributions", "raw")
 def risk_assessment(spark, d):
-    full = ri.full_assessment(_signals(spark, d), ad.districts(spark, d), _confidence(spark, d))
+    agg, confidence = _signals_and_confidence(spark, d)
+    full = ri.full_assessment(agg, ad.districts(spark, d), confidence)
     why = F.array_join(F.transform("contributions", lambda x: F.concat(x["label"], F.lit(" "), x["detail"])), " | ").alias("contributions")
     return full.select("district_id", "date", "district_name", "risk_score", "level", "confidence", *[sc.rounded(x, 4).alias(x) for x in de.DETECTORS], "category", "likely_diseases", "best_match", why)
 
@@ -333,7 +336,7 @@ _NOVEL = "risk_score >= 55 AND novelty >= 0.6 AND best_match < 0.85"
 def novelty_gate(spark, d):
     agg = _signals(spark, d)
     strongest = de.drivers(agg).groupBy("district_id", "date").agg(F.max("anomaly").alias("x"))
-    scored = _assessed(spark, d).join(strongest, ["district_id", "date"], "left").withColumn("novelty", F.least(F.lit(1.0), F.coalesce("x", F.lit(0.0))))
+    scored = ri.risk_assessment(agg, ad.districts(spark, d)).join(strongest, ["district_id", "date"], "left").withColumn("novelty", F.least(F.lit(1.0), F.coalesce("x", F.lit(0.0))))
     return ri.novelty_gate(scored).select("district_id", "date", "novel", "category", "likely_diseases")
 
 

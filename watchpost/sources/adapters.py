@@ -50,6 +50,11 @@ def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_signals(spark: SparkSession, sf_dir: str, by_source: bool = False) -> DataFrame:
     """(region, district_id, date, signal_type, value), and source_id if asked for: every order line counts towards its priority's, its
     segment's and its flag's signal and two weather signals in one shuffle; a deterministic pulse raises some signals in the last weeks."""
+    return signals_of(weekly_cells(spark, sf_dir, by_source), by_source)
+
+
+def weekly_cells(spark: SparkSession, sf_dir: str, by_source: bool = False) -> DataFrame:
+    """(region, district_id, nation_key, date, signal_type, h, n), and source_id if asked for: sums of hundredths and numbers of lines, which add up over sources."""
     lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     customer = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
@@ -67,7 +72,13 @@ def weekly_signals(spark: SparkSession, sf_dir: str, by_source: bool = False) ->
     own = ["source_id"] if by_source else []
     source = F.concat(F.lit("src"), (F.col("l_orderkey") % 3).cast("string")).alias("source_id")
     counted = joined.select("region", "district_id", "nation_key", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.explode(pairs).alias("x"), *([source] if by_source else []))
-    cells = counted.groupBy("region", "district_id", "nation_key", "date", F.col("x.signal_type").alias("signal_type"), *own).agg((F.sum("x.h") / F.count("*") / 100).alias("value"))
+    return counted.groupBy("region", "district_id", "nation_key", "date", F.col("x.signal_type").alias("signal_type"), *own).agg(F.sum("x.h").alias("h"), F.count("*").alias("n"))
+
+
+def signals_of(counted: DataFrame, by_source: bool = False) -> DataFrame:
+    """The weekly signals of such cells, over all sources or by source."""
+    own = ["source_id"] if by_source else []
+    cells = counted.groupBy("region", "district_id", "nation_key", "date", "signal_type", *own).agg((F.sum("h") / F.sum("n") / 100).alias("value"))
     last = cells.agg(F.max("date").alias("last"))
     week = 11 - F.floor(F.datediff("last", "date") / 7)
     raised = F.lit(False)
