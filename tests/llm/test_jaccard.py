@@ -105,6 +105,28 @@ def test_every_link_is_counted(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(rows)
 
 
+def test_links_of_a_large_group_are_counted_from_few_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, words, 1 + rng.randrange(3))) for i in range(300)]
+    seen, judge = [], jaccard._by_answers
+    monkeypatch.setattr(jaccard, "_by_answers", lambda pairs, *more: seen.append(pairs.count()) or judge(pairs, *more))
+    out = jaccard.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), every=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in out), key=str) == degrees(rows)
+    assert sum(seen) < 300 * 299 / 2 / 2  # half of all pairs
+
+
+@pytest.mark.parametrize("before", [1, 6])
+def test_copies_of_changed_copies_are_counted(spark, monkeypatch, before):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    changed = [edited(rng, words, 2).split() for _ in range(8)]  # groups within the group: they share differences from any one leader
+    rows = [(i, edited(rng, changed[i % 8], rng.randrange(4))) for i in range(160)]
+    monkeypatch.setattr(jaccard, "BEFORE", before)
+    out = jaccard.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), every=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in out), key=str) == degrees(rows)
+
+
 def test_large_group_of_near_copies_makes_few_pairs(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]

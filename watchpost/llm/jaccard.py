@@ -18,7 +18,8 @@ So no list is ever paired as a whole, none meets in one task, nothing is left ou
 `n_links` counts the links that had to be verified, not all that hold within a component; with `every` it counts each link of the class.
 Then lists stay open until their pairs are decided, not only their components. A set's home is the nearest leader that it was compared with, from
 which it lacks g of m tokens and has c others. Two sets of one home share m - g - g' tokens at least, so they are linked for sure where
-5 (g + g') + 4 (c + c') <= m: such links are counted by sums over homes, never as pairs. All others are judged pair by pair.
+5 (g + g') + 4 (c + c') <= m: such links are counted by sums over homes, never as pairs. What is over m must be made up for by tokens that both
+lack or both have besides, 9 for each, so others of one home meet in lists of these differences only; sets of different homes are judged pair by pair.
 
 Defined cases: null or empty texts, and texts without words, have an empty set, link with nothing and are their own component;
 fewer words than a shingle give one shingle of all words; rows that repeat a doc_id keep their own set, class and component; a null
@@ -34,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.llm.common import as_bytes, kept, slices, written
@@ -50,6 +51,8 @@ COUNTERS, PARTS = 21, 128
 ROUNDS = 1
 #: Blocks of a list hold sizes within a factor of exp(1 / BLOCKS).
 BLOCKS = 18
+#: Earlier tokens of a set that its entry in a list of differences knows, so that a pair is seldom met twice.
+BEFORE = 6
 #: Rows of keys and numbers that are broadcast at most; more of them are shuffled.
 SMALL = 300_000
 #: Words whose hashes a worker remembers, and sets that it knows to have sent already.
@@ -289,32 +292,51 @@ def _lists(entries: DataFrame, similar: tuple[int, int], keep: Keep) -> DataFram
 
 def _met_in_blocks(lists: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(lead, m, a, b, na, nb) of entries of different components that can be similar by sizes and positions, through blocks. lists: (token, node, n, pos,
-    comp, lead, m), and x and most where sets of one component are open to each other too, if their x exceed most."""
-    inner = "x" in lists.columns
-    own = lambda side: [F.col("comp").alias(f"_c{side}"), *([F.col("x").alias(f"_x{side}")] if inner else [])]
+    comp, lead, m)."""
     small, large = _blocks(lists, similar)
     left = F.col("n") - F.col("pos")
-    small = small.select("token", "_block", "lead", "m", F.col("node").alias("a"), F.col("n").alias("na"), *own("a"), *(["most"] if inner else []), left.alias("_la"))
-    large = large.select("token", "_block", F.col("node").alias("b"), F.col("n").alias("nb"), *own("b"), left.alias("_lb"))
+    small = small.select("token", "_block", "lead", "m", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("_ca"), left.alias("_la"))
+    large = large.select("token", "_block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("_cb"), left.alias("_lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    apart = F.col("_ca") != F.col("_cb")
-    apart = apart | (F.col("_xa") + F.col("_xb") > F.col("most")) if inner else apart
-    met = small.join(large, ["token", "_block"]).where(ordered & apart & _may_link("na", "nb", similar) & _enough(F.least("_la", "_lb"), F.col("na") + F.col("nb"), similar))
+    met = small.join(large, ["token", "_block"]).where(ordered & (F.col("_ca") != F.col("_cb")) & _may_link("na", "nb", similar) & _enough(F.least("_la", "_lb"), F.col("na") + F.col("nb"), similar))
     return met.groupBy("a", "b", "na", "nb").agg(F.min(F.struct("lead", "m")).alias("_l")).select("_l.lead", "_l.m", "a", "b", "na", "nb")
 
 
 def _homes(lists: DataFrame, answers: DataFrame, similar: tuple[int, int], keep: Keep) -> DataFrame:
     """(node, comp, x, most) of every set in a list: its home as comp, and how far it is from it; two sets of a home are linked for sure where their x
-    add up to `most` at most. Sets that are near no leader are their own home."""
+    add up to `most` at most. Of the leaders that a set is linked with, the home is one that many are linked with and that is near it: leaders live
+    with others too. Sets that are near no leader are their own home."""
     most, of = similar
     far = of * F.size("gone") + most * F.size("come")
     own = answers.where("gone is not null and come is not null").select("node", "lead", "m", far.alias("x"))
-    own = own.unionByName(answers.select(F.col("lead").alias("node"), "lead", "m", F.lit(0).alias("x")).distinct())
-    nearest = own.groupBy("node").agg(F.min(F.struct("x", "lead", "m")).alias("_l"))
+    own = keep(own.unionByName(answers.select(F.col("lead").alias("node"), "lead", "m", F.lit(0).alias("x")).distinct()))
+    limit = (of - most) * F.col("m")
+    guests = keep(own.where(F.col("x") <= limit).groupBy("lead").agg(F.count(F.lit(1)).alias("_guests")))
+    order = F.when(F.col("x") <= limit, -F.col("_guests") * (1 - F.col("x") / (limit + 1))).otherwise(F.col("x").cast("double"))
+    nearest = own.join(guests, "lead").groupBy("node").agg(F.min(F.struct(order.alias("o"), "x", "lead", "m")).alias("_l"))
     found = lists.select("node").distinct().join(nearest, "node", "left")
     return keep(found.select("node", F.coalesce("_l.lead", "node").alias("comp"), F.coalesce("_l.x", F.lit(0)).alias("x"), F.coalesce((of - most) * F.col("_l.m"), F.lit(0)).alias("most")))
 
 
+def _met_at_home(homes: DataFrame, answers: DataFrame, similar: tuple[int, int], keep: Keep) -> DataFrame:
+    """(lead, m, a, b, na, nb) of sets of one home that aren't linked for sure and can be: their x exceed `most` by what their common differences from
+    the home make up for, so only sets that differ from it in a common token meet. Differences of one set alone are common to none."""
+    widest = keep(homes.groupBy("comp").agg(F.max("x").alias("_far")))
+    open_ = homes.join(widest, "comp").where((F.col("x") > 0) & (F.col("x") + F.col("_far") > F.col("most"))).select("node", F.col("comp").alias("lead"), "x", "most")
+    known = answers.where("gone is not null and come is not null").select("lead", "node", "m", "n", F.explode(F.concat("gone", "come")).alias("token"))
+    each = keep(known.join(_bounded(keep(open_)), ["lead", "node"]))
+    shared = keep(each.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"))
+    by_node = Window.partitionBy("node").orderBy("_k", "token")
+    met = each.join(shared, ["lead", "token"]).withColumn("_left", F.count(F.lit(1)).over(Window.partitionBy("node")) - F.row_number().over(by_node) + 1)
+    met = keep(met.withColumn("_before", F.collect_list("token").over(by_node.rowsBetween(-BEFORE, -1))))
+    side = lambda x: met.select("lead", "token", "m", "most", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "x", "_left", "_before")])
+    total = F.col("xa") + F.col("xb")
+    could = (total > F.col("most")) & (total <= F.col("most") + sum(similar) * F.least("_lefta", "_leftb"))
+    # Of the tokens that two sets have in common the first is enough; it is the one that the bound above holds for.
+    once = ~F.arrays_overlap("_beforea", "_beforeb")
+    return side("a").join(side("b").drop("m", "most"), ["lead", "token"]).where((F.col("a") < F.col("b")) & could & once).select("lead", "m", "a", "b", "na", "nb").distinct()
+
+
 def _sure_links(homes: DataFrame, keep: Keep) -> DataFrame:
     """(node, n_links): how many sets of its home each set is linked with for sure, by sums over the homes' values of x."""
     sums = keep(homes.groupBy("comp", "x", "most").agg(F.count(F.lit(1)).alias("_n")))
@@ -374,7 +396,7 @@ def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, si
         open_ = _open_lists(open_.drop("comp"), nodes, keep)
         if not open_.take(1):
             break
-    sure = None
+    sure = inside = None
     if every:
         homes = _homes(lists, answers, similar, keep)
         sure = _sure_links(homes, keep)
@@ -383,13 +405,15 @@ def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, si
         ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = keep(ordered.join(home("a"), "a").join(home("b"), "b").where("_ca <> _cb or _xa + _xb > _ma").select("a", "b"))
         named = keep(lists.join(_bounded(homes), "node"))
-        several = named.groupBy("token").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max("x").alias("_far"), F.min("most").alias("_most")).where("_x <> _y or 2 * _far > _most").select("token")
+        several = named.groupBy("token").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("token")
         open_ = keep(named.join(several, "token", "left_semi"))
-    if not open_.take(1):
+        inside = keep(_met_at_home(homes, answers, similar, keep))
+    if not open_.take(1) and (inside is None or not inside.take(1)):
         return nodes, keep(found), sure
     done = answers.select(F.col("lead").alias("a"), F.col("node").alias("b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = keep(_met_in_blocks(open_.join(first, "token"), similar).join(done, ["a", "b"], "left_anti"))
+    met = _met_in_blocks(open_.join(first, "token"), similar)
+    pairs = keep((met if inside is None else met.unionByName(inside)).join(done, ["a", "b"], "left_anti"))
     # What the pairs' leaders haven't been asked yet: as many questions as sets and leaders, not as pairs.
     asked = pairs.select("lead", "m", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("x")).select("lead", "x.node", "m", "x.n").where("lead <> node").distinct()
     more = _answers(keep(asked.join(answers, ["lead", "node"], "left_anti")), sets, keep)
