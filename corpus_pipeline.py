@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm import bpe, decontam, jaccard, langid, linedup
+from watchpost.llm import bpe, decontam, langid, linedup, simhash
 from watchpost.llm.common import fresh, table, written
 
 
@@ -37,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles of similarity 0.8 or more) the document with the smallest doc_id stays (with every row that has this doc_id);
     rows without a doc_id stay if their group has no doc_id at all. Texts without words are no copies of each other.
-    The links are those of the exact join: fingerprints of 64 bits can't tell similarities of 0.8 (README has figures)."""
-    groups = jaccard.similar_groups(docs)
+    Fingerprints come first, their links are verified; the exact join finds those at 0.8 that 64 bits can't tell (README has figures)."""
+    groups = simhash.similar_groups(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     # A doc_id can be the smallest of one group and lose in another only where rows repeat it with other texts: it stays then.
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()

@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from watchpost.llm import jaccard
+import corpus_pipeline
+from watchpost.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -127,6 +129,28 @@ def test_copies_of_changed_copies_are_counted(spark, monkeypatch, before):
     assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in out), key=str) == degrees(rows)
 
 
+@pytest.mark.parametrize("all_pairs", [False, True])
+def test_near_copies_of_the_pipeline_are_fingerprinted_first_and_verified(spark, monkeypatch, all_pairs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(5, "\x20"), (6, None), (500, " ".join(words)), (501, " ".join([*words[:-1], "other"])), *draw(9)]
+    asked, found, answers, links = [], [], jaccard._answers, simhash.links
+    monkeypatch.setattr(jaccard, "_answers", lambda pairs, *more: asked.append(pairs.count()) or answers(pairs, *more))
+
+    def spied(classes, *more):
+        out = classes.select(F.col("fp").alias("a")).crossJoin(classes.select(F.col("fp").alias("b"))).where("a < b") if all_pairs else links(classes, *more)
+        found.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", spied)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    left = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert len(found) == 1 and found[0] > 0 and asked[0] > 0  # candidates of fingerprints are the first to be verified
+    want = brute(rows)
+    stays = {d for d, _, c in want if d == c}
+    assert {r.doc_id for r in left} == stays and 500 in stays and 501 not in stays
+
+
 def test_large_group_of_near_copies_makes_few_pairs(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]

@@ -345,9 +345,11 @@ def _sure_links(homes: DataFrame, keep: Keep) -> DataFrame:
     return homes.join(met, ["comp", "x"]).select("node", (F.col("_k") - F.when(2 * F.col("x") <= F.col("most"), 1).otherwise(0)).alias("n_links"))
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, rounds: int = ROUNDS, every: bool = False) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, rounds: int = ROUNDS, every: bool = False, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, row, n_shingles, class_id, component_id, n_links) of each row: row is the hash of its text, class_id the smallest doc_id with an
-    equal set, component_id the smallest doc_id that links reach, n_links how many links of its class were verified, or, with `every`, how many it has."""
+    equal set, component_id the smallest doc_id that links reach, n_links how many links of its class were verified, or, with `every`, how many it has.
+    near gives pairs (a, b) of classes (node, row) that another search takes for similar, row being the hash of a text of the class: they are verified first, and
+    lists that they join need no more work. It changes no component."""
     with scratch(docs.sparkSession) as keep:
 
         def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -358,7 +360,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int]
         counts = _count_table(docs.select("text"), hashes, keep)
         rows = keep(_indexed(docs, counts, width, similar))
         classes = keep(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("rep")))
-        nodes, found, sure = _joined(docs, rows, classes, width, similar, rounds, every, keep)
+        nodes, found, sure = _joined(docs, rows, classes, width, similar, rounds, every, near, keep)
         ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
         degree = (ends if sure is None else ends.unionByName(sure)).groupBy("node").agg(F.sum("n_links").alias("n_links"))
         named = keep(classes.select(F.col("cls").alias("node"), "class_id").join(nodes, "node", "left").select("node", "class_id", F.coalesce("comp", "node").alias("comp")))
@@ -369,7 +371,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int]
         return written(whole.unionByName(empty))
 
 
-def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similar: tuple[int, int], rounds: int, every: bool, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similar: tuple[int, int], rounds: int, every: bool, near: Callable[[DataFrame], DataFrame] | None, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(node, comp) of the classes that meet another in a list, and the links (a, b) that were verified. With `every`, these are all links but
     those that (node, n_links) counts."""
     entries = rows.where("prefix is not null").select(F.col("cls").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
@@ -378,6 +380,14 @@ def _joined(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, si
     sets = _sets(docs, nodes.join(classes, nodes["node"] == classes["cls"]).select("node", "rep.doc_id", "rep.row"), width, keep)
     answers = found = before = first = None
     open_ = lists.withColumn("comp", F.col("node"))
+    if near is not None:
+        size = keep(lists.select("node", "n").distinct())
+        taken = near(classes.select(F.col("cls").alias("node"), "rep.row")).select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("node")).where("lead <> node").distinct()
+        taken = taken.join(size, "node").join(size.select(F.col("node").alias("lead"), F.col("n").alias("m")), "lead").where(_may_link("m", "n", similar))
+        answers = _answers(keep(taken.select("lead", "node", "m", "n")), sets, keep)
+        found = answers.where(_enough(F.col("shared"), F.col("m") + F.col("n"), similar)).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        nodes = _named(nodes, found, keep)
+        open_ = open_ if every else _open_lists(lists, nodes, keep)
     for _ in range(rounds):
         # Leaders have the fewest rarer tokens before the list's own: near copies with few changes of their own.
         ranked = open_.withColumn("_o", F.struct(F.floor(4096 * F.col("pos") / F.col("n")).alias("o"), F.xxhash64("node").alias("h")))

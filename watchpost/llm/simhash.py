@@ -13,6 +13,9 @@ its members are dealt again by the values that lie within half the distance of t
 such a middle value, which few others can be near, and each value links its members to their smallest one.
 Links go through large-star / small-star rounds, written to the shared folder each time, until nothing changes.
 
+`similar_groups` takes these links of five-word fingerprints as candidates, verifies them on the sets of shingles and lets the exact join find the
+links that 64 bits can't tell.
+
 Defined cases: null text has no words; no words give fingerprint zero, which is linked like any other; fewer words than
 a shingle give one shingle of all words; rows that repeat a doc_id keep their own fingerprint and group; a null doc_id
 gets its group's smallest doc_id. Input columns other than doc_id and text are not looked at.
@@ -29,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchpost.llm import jaccard
 from watchpost.llm.common import as_bytes, slices, written
 from watchpost.llm.components import components
 
@@ -205,3 +209,19 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, distance: int = 2, bu
     top = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     labels = written(named.join(top, "root").join(degree, "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "class_id", "n_links")
+
+
+def similar_groups(docs: DataFrame, width: int = jaccard.WIDTH, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """The columns of `jaccard.similar_groups`: groups of documents by shingles of similarity 0.8 or more. Sets of one fingerprint, and those of
+    fingerprints within the distance, are verified first; the exact join then looks only at lists that these links leave in several groups."""
+
+    def near(classes: DataFrame) -> DataFrame:
+        prints = fingerprints(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width).select(F.col("doc_id").alias("row"), "fp")
+        held = written(classes.join(prints.dropDuplicates(["row"]), "row").select("node", "fp"))
+        first = written(held.groupBy("fp").agg(F.min("node").alias("first")))
+        same = held.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        own = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"_{x}"))
+        found = links(first.select("fp"), distance, bucket).join(own("a"), "a").join(own("b"), "b")
+        return same.unionByName(found.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+    return jaccard.similar_groups(docs, width, near=near)
